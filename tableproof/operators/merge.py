@@ -65,11 +65,11 @@ def neighbour(
     edges = rows.groupBy(*keys, "__bucket").agg(edge(payload, F.col(order)).alias("__edge"))
     across = Window.partitionBy(*keys).orderBy("__bucket")
     edges = edges.select(*keys, "__bucket", shift("__edge").over(across).alias("__far"))
-    return (
-        rows.join(edges, [*keys, "__bucket"])
-        .withColumn(out, F.coalesce("__local", "__far"))
-        .drop("__bucket", "__local", "__far")
+    group = [*keys, "__bucket"]
+    both = rows.alias("r").join(
+        edges.alias("e"), reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in group])
     )
+    return both.select(*[f"r.{c}" for c in df.columns], F.coalesce("r.__local", "e.__far").alias(out))
 
 
 def scd2_merge(
@@ -134,8 +134,8 @@ def cdc_snapshot(prev: DataFrame, curr: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def retention_purge(df: DataFrame, ts_col: str, days: int, as_of: Watermark) -> DataFrame:
-    """Rows newer than ``as_of - days``; the date is an argument, never the clock."""
-    return df.where(F.col(ts_col) > _horizon(df, ts_col, days, as_of))
+    """Rows newer than ``as_of - days``, and rows of unknown age; the date is an argument, never the clock."""
+    return df.where((F.col(ts_col) > _horizon(df, ts_col, days, as_of)) | F.col(ts_col).isNull())
 
 
 def _horizon(df: DataFrame, ts_col: str, days: int, as_of: Watermark) -> Column:
@@ -145,7 +145,7 @@ def _horizon(df: DataFrame, ts_col: str, days: int, as_of: Watermark) -> Column:
 
 
 def purge_report(df: DataFrame, ts_col: str, days: int, as_of: Watermark, group: str) -> DataFrame:
-    """Kept and purged rows per group; undated rows are never purged silently, they count on their own."""
+    """Kept, purged and undated (always kept) rows per group."""
     old = F.col(ts_col) <= _horizon(df, ts_col, days, as_of)
     return df.groupBy(group).agg(
         F.count_if(~old).alias("kept"), F.count_if(old).alias("purged"), F.count_if(F.col(ts_col).isNull()).alias("undated")
@@ -254,7 +254,3 @@ def sessionize(events: DataFrame, user_col: str, ts_col: str, gap_seconds: int,
 def replace_window(df: DataFrame, path: str, partition_col: str) -> None:
     """Overwrite only the partitions that ``df`` contains."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path)
-
-
-
-
