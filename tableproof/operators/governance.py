@@ -17,7 +17,7 @@ PII_NAME_PARTS = (
 PII_VALUE_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"\+?[0-9]{1,3}[-. ]\(?[0-9]{3}\)?[-. ][0-9]{3,4}[-. ]?[0-9]{0,4}",
-    "id": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "id": r"(^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}($|[^0-9])",
 }
 
 SENSITIVE = ("PII", "PHI", "PCI")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tableproof.operators.diff import row_diff
 from tableproof.operators.filters import delta_window, typed_literal
+from tableproof.session import materialize
 from tableproof.target import Target, Watermark
 
 OPEN_END = "9999-12-31"
@@ -54,22 +55,24 @@ def neighbour(
     """Struct ``out`` of the previous (or following) row's ``values`` in ``order`` within ``keys``.
 
     The window runs per key and time bucket, so that a hot key spreads over its
-    buckets; the edge rows of a bucket look at the nearest other bucket through one
-    combined row per key and bucket. ``order`` must be unique within a key.
+    buckets. The edge row of a bucket is carried over into the key's next bucket
+    that has rows, where it is the neighbour of the first row there; carried rows
+    are dropped again. ``order`` must be unique within a key. ``df`` is read twice:
+    pass a stored table.
     """
     shift = F.lead if following else F.lag
     edge = F.min_by if following else F.max_by
     payload = F.struct(*values)
-    local = Window.partitionBy(*keys, "__bucket").orderBy(order)
-    rows = df.withColumn("__bucket", bucket).withColumn("__local", shift(payload).over(local))
-    edges = rows.groupBy(*keys, "__bucket").agg(edge(payload, F.col(order)).alias("__edge"))
-    across = Window.partitionBy(*keys).orderBy("__bucket")
-    edges = edges.select(*keys, "__bucket", shift("__edge").over(across).alias("__far"))
-    group = [*keys, "__bucket"]
-    both = rows.alias("r").join(
-        edges.alias("e"), reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in group])
+    rows = df.withColumn("__bucket", bucket).withColumn("__payload", payload).withColumn("__carried", F.lit(False))
+    edges = rows.groupBy(*keys, "__bucket").agg(
+        edge("__payload", F.col(order)).alias("__payload"), edge(F.col(order), F.col(order)).alias(order)
     )
-    return both.select(*[f"r.{c}" for c in df.columns], F.coalesce("r.__local", "e.__far").alias(out))
+    # One row per key and bucket: bounded by the time span, however many rows a key has.
+    onward = (F.lag if following else F.lead)("__bucket").over(Window.partitionBy(*keys).orderBy("__bucket"))
+    carried = edges.withColumn("__bucket", onward).where(F.col("__bucket").isNotNull()).withColumn("__carried", F.lit(True))
+    local = Window.partitionBy(*keys, "__bucket").orderBy(order)
+    both = rows.unionByName(carried, allowMissingColumns=True).withColumn(out, shift("__payload").over(local))
+    return both.where(~F.col("__carried")).select(*df.columns, out)
 
 
 def scd2_merge(
@@ -95,12 +98,13 @@ def scd2_merge(
     # One version per key and moment; an update replaces the stored one.
     versions = versions.groupBy(*keys, "effective_from").agg(F.max("v").alias("v"))
     versions = versions.select(*keys, "effective_from", *[F.col(f"v.{c}").alias(c) for c in tracked])
-    versions = versions.withColumn("__now", F.struct(*tracked))
+    versions = materialize(versions.withColumn("__now", F.struct(*tracked)), "scd2-versions")
     time_bucket = F.date_trunc(bucket, F.col("effective_from").cast("timestamp"))
     seen = neighbour(versions, keys, "effective_from", ["__now"], time_bucket, "__before")
     changed = seen.where(
         F.col("__before").isNull() | ~F.col("__before.__now").eqNullSafe(F.col("__now"))
     ).drop("__before", "__now")
+    changed = materialize(changed, "scd2-changed")
     dated = neighbour(changed, keys, "effective_from", ["effective_from"], time_bucket, "__next", following=True)
     history = dated.select(
         *keys, *tracked, "effective_from",
