@@ -276,10 +276,22 @@ def references(io: DataFrame, edges: DataFrame) -> DataFrame:
 def upstream_closure(io: DataFrame, edges: DataFrame) -> DataFrame:
     """(pipeline, table): everything a pipeline refers to, through the producers of what it reads."""
     refs = references(io, edges)
-    made = io.where("mode = 'write'").select(F.col("pipeline"), F.col("table").alias("src"))
-    step = made.join(refs, "pipeline").select("src", F.col("table").alias("dst")).distinct()
-    pairs = transitive(refs.select(F.col("pipeline").alias("node"), F.col("table").alias("reached")), step)
-    return pairs.select(F.col("node").alias("pipeline"), F.col("reached").alias("table"))
+
+    def table(c: str):
+        return F.concat(F.lit("t:"), F.col(c))
+
+    def pipeline(c: str):
+        return F.concat(F.lit("p:"), F.col(c))
+
+    # Table -> its producers -> what they refer to: two plain edge lists instead of
+    # all pairs of a producer's outputs and inputs.
+    step = io.where("mode = 'write'").select(table("table").alias("src"), pipeline("pipeline").alias("dst")).unionAll(
+        refs.select(pipeline("pipeline").alias("src"), table("table").alias("dst"))
+    )
+    pairs = transitive(refs.select(F.col("pipeline").alias("node"), table("table").alias("reached")), step)
+    return pairs.where(F.col("reached").startswith("t:")).select(
+        F.col("node").alias("pipeline"), F.substring("reached", 3, 1 << 30).alias("table")
+    )
 
 
 def traversability_score(closure: DataFrame, io: DataFrame, objects: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from tableproof.plans import mart_queries, merge_queries, parity_queries, sample_queries
+from tableproof.plans import lineage_queries, mart_queries, merge_queries, parity_queries, sample_queries
 from tableproof.plans.parity_queries import flagship
 from tableproof.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "mart_queries", "merge_queries", "parity_queries", "sample_queries"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "lineage_queries", "mart_queries", "merge_queries", "parity_queries", "sample_queries"]
