@@ -20,6 +20,9 @@ PIPELINE_TYPES = ("PIPELINE", "SYNAPSE_PIPELINE")
 TABLE_TYPES = ("TABLE", "CONFIG_TABLE")
 VIEW_TYPE = "VIEW"
 
+# Propagation steps between two writes: enough to outweigh the cost of a write.
+ROUNDS_PER_TABLE = 3
+
 
 def of_type(edges: DataFrame, edge_type: str) -> DataFrame:
     """Distinct (src, dst) of one edge type."""
@@ -108,66 +111,69 @@ def pipeline_dependencies(io: DataFrame, edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Strongly connected component of every node: (node, component = its smallest member).
 
-    Forward colouring: nodes without a predecessor or a successor are components of
-    their own and are trimmed; every other node takes the smallest name that reaches
-    it, and the nodes of a colour that reach back to its origin form one component.
-    State is one row per node and never a table of pairs.
+    Edges that cannot lie on a cycle are trimmed. Every node left learns the smallest
+    name that reaches it and the smallest name it reaches: where both are the same
+    name, node and name are on a common cycle, so that is its component. Members of
+    one component agree on both names, so edges between nodes that do not are cut,
+    and what is left goes round again. State is one row per node, never pairs.
     """
-    left = materialize(nodes.select("node").distinct(), "scc-nodes")
-    live = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
+    every = materialize(nodes.select("node").distinct(), "scc-nodes")
+    live = _trim(edges.select("src", "dst").where("src <> dst").distinct())
     done = None
-
-    def add(rows: DataFrame) -> None:
-        nonlocal done
-        done = rows if done is None else done.unionAll(rows)
-
+    while not live.isEmpty():
+        names = _smallest_names(live)
+        found = names.where("up = down").select("node", F.col("up").alias("component"))
+        done = found if done is None else done.unionAll(found)
+        rest = names.where("up <> down")
+        s = rest.select(F.col("node").alias("src"), F.col("up").alias("u"), F.col("down").alias("v"))
+        d = rest.select(F.col("node").alias("dst"), F.col("up").alias("u"), F.col("down").alias("v"))
+        live = _trim(live.join(s, "src").join(d, ["dst", "u", "v"]).select("src", "dst"))
+    if done is None:
+        return every.select("node", F.col("node").alias("component"))
+    return every.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _trim(live: DataFrame) -> DataFrame:
+    """Drop edges that start where none arrives or end where none leaves, until all lie between such nodes."""
+    live = materialize(live, "scc-edges")
+    before = live.count()
+    while before:
+        for _ in range(ROUNDS_PER_TABLE):
+            fed = live.select(F.col("dst").alias("src")).distinct()
+            feeding = live.select(F.col("src").alias("dst")).distinct()
+            live = live.join(fed, "src", "left_semi").join(feeding, "dst", "left_semi").select("src", "dst")
+        live = materialize(live, "scc-edges")
+        after = live.count()
+        if after == before:
+            break
+        before = after
+    return live
+
+
+def _smallest_names(live: DataFrame) -> DataFrame:
+    """(node, up, down): the smallest name that reaches the node, and that it reaches, itself included."""
+    both_ways = materialize(live.select(F.inline(F.array(
+        F.struct(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(True).alias("forward")),
+        F.struct(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(False).alias("forward")),
+    ))), "scc-ways")
+    state = both_ways.select(F.col("at").alias("node")).distinct().select(
+        "node", F.col("node").alias("up"), F.col("node").alias("down")
+    )
+    state = materialize(state, "scc-names")
     while True:
-        while True:  # trim
-            on_path = live.select(F.col("src").alias("node")).distinct().join(
-                live.select(F.col("dst").alias("node")).distinct(), "node"
+        nxt = state.withColumns({"up0": F.col("up"), "down0": F.col("down")})
+        for _ in range(ROUNDS_PER_TABLE):
+            sent = both_ways.join(nxt, both_ways["at"] == nxt["node"]).select(
+                F.col("to").alias("node"),
+                F.when(F.col("forward"), F.col("up")).alias("up"), F.when(~F.col("forward"), F.col("down")).alias("down"),
             )
-            inner = materialize(on_path, "scc-inner")
-            add(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")))
-            left = materialize(left.join(inner, "node", "left_semi"), "scc-nodes")
-            kept = materialize(_inside(live, inner), "scc-edges")
-            shrunk = kept.count() < live.count()
-            live = kept
-            if not shrunk:
-                break
-        if live.isEmpty():
-            add(left.select("node", F.col("node").alias("component")))
-            return materialize(done, "components")
-        colour = materialize(left.select("node", F.col("node").alias("colour")), "scc-colour")
-        while True:  # smallest name that reaches the node
-            sent = live.join(colour, live["src"] == colour["node"]).select(F.col("dst").alias("node"), "colour")
-            best = sent.unionAll(colour).groupBy("node").agg(F.min("colour").alias("colour"))
-            nxt = materialize(best, "scc-colour")
-            moved = nxt.join(colour, ["node", "colour"], "left_anti")
-            if moved.isEmpty():
-                break
-            colour = nxt
-        same = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(
-            colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst"
-        ).where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        back = materialize(same, "scc-back")
-        found = materialize(colour.where("node = colour"), "scc-found")
-        fresh = found
-        while True:  # nodes of the colour that lead back to its origin
-            step = fresh.join(back, fresh["node"] == back["src"]).select(F.col("dst").alias("node"), "colour").distinct()
-            fresh = materialize(step.join(found, "node", "left_anti"), "scc-found")
-            if fresh.isEmpty():
-                break
-            found = found.unionAll(fresh)
-        add(found.select("node", F.col("colour").alias("component")))
-        left = materialize(left.join(found, "node", "left_anti"), "scc-nodes")
-        live = materialize(_inside(live, left), "scc-edges")
-
-
-def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends in ``nodes``."""
-    for end in ("src", "dst"):
-        edges = edges.join(nodes.select(F.col("node").alias(end)), end, "left_semi").select("src", "dst")
-    return edges
+            nxt = sent.unionByName(nxt, allowMissingColumns=True).groupBy("node").agg(
+                F.min("up").alias("up"), F.min("down").alias("down"), F.max("up0").alias("up0"), F.max("down0").alias("down0")
+            )
+        nxt = materialize(nxt, "scc-names")
+        state = nxt.select("node", "up", "down")
+        if nxt.where("up <> up0 OR down <> down0").isEmpty():
+            return state
 
 
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -193,13 +199,17 @@ def wave_layers(nodes: DataFrame, edges: DataFrame, comp: DataFrame | None = Non
     wave = comp.select("component", F.lit(0).alias("wave")).distinct()
     front, k = comp.select("component").distinct(), 0
     while True:
-        k += 1
-        front = materialize(
-            front.join(dag, front["component"] == dag["csrc"]).select(F.col("cdst").alias("component")).distinct(), "wave-front"
-        )
+        steps = None
+        for _ in range(ROUNDS_PER_TABLE):
+            k += 1
+            front = front.join(dag, front["component"] == dag["csrc"]).select(F.col("cdst").alias("component")).distinct()
+            step = front.withColumn("wave", F.lit(k))
+            steps = step if steps is None else steps.unionAll(step)
+        steps = materialize(steps, "wave-front")
+        wave = wave.unionAll(steps)
+        front = steps.where(F.col("wave") == k).select("component")
         if front.isEmpty():
             break
-        wave = wave.unionAll(front.withColumn("wave", F.lit(k)))
     top = wave.groupBy("component").agg(F.max("wave").alias("wave"))
     return comp.join(top, "component").select("node", "component", "wave")
 

@@ -1,7 +1,19 @@
 """All registered queries."""
 
-from tableproof.plans import lineage_queries, mart_queries, merge_queries, parity_queries, sample_queries
+from tableproof.plans import (
+    certify_queries,
+    governance_queries,
+    lineage_queries,
+    mart_queries,
+    merge_queries,
+    parity_queries,
+    sample_queries,
+    stream_queries,
+)
 from tableproof.plans.parity_queries import flagship
 from tableproof.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "lineage_queries", "mart_queries", "merge_queries", "parity_queries", "sample_queries"]
+__all__ = [
+    "ORACLES", "QUERIES", "certify_queries", "flagship", "governance_queries", "lineage_queries", "mart_queries",
+    "merge_queries", "parity_queries", "sample_queries", "stream_queries",
+]
