@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tableproof.functions.hashing import report_text
-from tableproof.operators.parity import SIGN, pinned, result, shared_columns, tagged
+from tableproof.operators.parity import SIGN, differing_keys, key_results, key_state, pinned, shared_columns, tagged
+from tableproof.session import materialize
 from tableproof.target import Target
 
 
@@ -24,12 +25,17 @@ def row_diff(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
 
     ``change`` is ``changed`` when a key has exactly one differing row on each side,
     else ``missing_in_build`` or ``extra_in_build`` with the multiplicity ``n_rows``.
-    Equal rows cancel before anything is grouped by key, so the second shuffle moves
-    differences only, and rows of a repeated key are never paired with each other.
+
+    Keys with row hashes are compared first, which shuffles a few bytes per row. The
+    keys that differ are written, so that their size is known, and only their rows
+    are fetched and compared value by value. Equal rows cancel, and rows of a
+    repeated key are never paired with each other.
     """
     cols = shared_columns(source, build, t)
     keys = list(t.keys)
-    diff = signed_difference(pinned(source, build, t, cols), cols)
+    both = pinned(source, build, t, cols)
+    suspects = materialize(differing_keys(key_state(both, keys, cols)).select(*keys), "differing-keys")
+    diff = signed_difference(both.join(suspects, _null_safe(both, suspects, keys), "left_semi"), cols)
     values = F.struct(*[F.col(c) for c in cols if c not in keys])
     per_key = diff.groupBy(*keys).agg(
         F.count_if(F.col("net") > 0).alias("s_variants"),
@@ -90,11 +96,7 @@ def row_level_sample(source: DataFrame, build: DataFrame, t: Target, limit: int
 
 def row_level_check(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
     cols = shared_columns(source, build, t)
-    n = signed_difference(pinned(source, build, t, cols), cols).agg(
-        F.coalesce(F.sum(F.when(F.col("net") > 0, F.col("net"))), F.lit(0)).alias("s"),
-        F.coalesce(F.sum(F.when(F.col("net") < 0, -F.col("net"))), F.lit(0)).alias("b"),
-    )
-    return result(n, t, "row_level_sample", (F.col("s") == 0) & (F.col("b") == 0), F.col("s"), F.col("b"))
+    return key_results(key_state(pinned(source, build, t, cols), t.keys, cols), t).where("check_name = 'row_level_sample'")
 
 
 # Reason code -> what it means and what to do about it.

@@ -73,15 +73,17 @@ def pipeline_io(edges: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def producers_consumers(io: DataFrame) -> DataFrame:
-    """Per table, how many and which pipelines produce and consume it."""
-    def names(mode: str):
-        return F.array_join(F.sort_array(F.collect_set(F.when(F.col("mode") == mode, F.col("pipeline")))), ";")
+    """Per table, how many pipelines produce and consume it, and the first of each.
 
+    The full lists are the rows of ``pipeline_io``; a table that a third of all
+    pipelines read is never gathered into one value.
+    """
+    wrote, read = F.col("mode") == "write", F.col("mode") == "read"
     return io.groupBy("table").agg(
-        F.count_if(F.col("mode") == "write").alias("n_producers"),
-        F.count_if(F.col("mode") == "read").alias("n_consumers"),
-        names("write").alias("producers"),
-        names("read").alias("consumers"),
+        F.count_if(wrote).alias("n_producers"),
+        F.count_if(read).alias("n_consumers"),
+        F.min(F.when(wrote, F.col("pipeline"))).alias("first_producer"),
+        F.min(F.when(read, F.col("pipeline"))).alias("first_consumer"),
     )
 
 
@@ -304,19 +306,26 @@ def upstream_closure(io: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def traversability_score(closure: DataFrame, io: DataFrame, objects: DataFrame) -> DataFrame:
-    """Share of a pipeline's references that are produced, defined or external."""
+def resolved_references(closure: DataFrame, io: DataFrame, objects: DataFrame) -> DataFrame:
+    """(pipeline, table, resolved): whether each reference is produced, defined or external."""
     produced = io.where("mode = 'write'").select("table")
     defined = objects.where(
         F.col("type").isin(*TABLE_TYPES, VIEW_TYPE) | (F.coalesce("external_system", F.lit("")) != "")
     ).select(F.lower("name").alias("table"))
-    known = produced.unionAll(defined).distinct().withColumn("known", F.lit(1))
-    per = closure.join(known, "table", "left").groupBy("pipeline").agg(
+    known = produced.unionAll(defined).distinct().withColumn("resolved", F.lit(True))
+    return closure.join(known, "table", "left").select("pipeline", "table", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+
+def traversability_score(closure: DataFrame, io: DataFrame, objects: DataFrame) -> DataFrame:
+    """Share of a pipeline's references that resolve, and the first that does not."""
+    refs = resolved_references(closure, io, objects)
+    per = refs.groupBy("pipeline").agg(
         F.count("*").alias("refs_total"),
-        F.count("known").alias("refs_resolved"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("known").isNull(), F.col("table")))), ";").alias("unresolved"),
+        F.count_if("resolved").alias("refs_resolved"),
+        F.min(F.when(~F.col("resolved"), F.col("table"))).alias("first_unresolved"),
     )
-    return per.withColumn("score", F.round((F.col("refs_resolved") / F.col("refs_total")).cast("decimal(20,10)"), 4).cast("decimal(6,4)"))
+    share = (F.col("refs_resolved") / F.col("refs_total")).cast("decimal(20,10)")
+    return per.withColumn("score", F.round(share, 4).cast("decimal(6,4)"))
 
 
 def landing_set(io: DataFrame) -> DataFrame:

@@ -37,16 +37,23 @@ def scd1_merge(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> Da
     """Upsert: matched rows take the update's columns, new keys are inserted.
 
     ``updates`` holds one row per key (``dedup`` first) and may lack columns, which
-    then keep the target's value.
+    then keep the target's value. The updates are written first: when they are few,
+    the planner sends them to the target and the target is not shuffled at all,
+    which a full outer join would always do.
     """
-    t = target.withColumn("__t", F.lit(True)).alias("t")
-    u = updates.withColumn("__u", F.lit(True)).alias("u")
-    both = t.join(u, reduce(lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]), "full")
-    return both.select(*[
-        F.when(F.col("__u"), F.col(f"u.{c}")).otherwise(F.col(f"t.{c}")).alias(c) if c in updates.columns
-        else F.col(f"t.{c}").alias(c)
+    u = materialize(updates, "updates")
+    marked = u.withColumn("__u", F.lit(True))
+    both = target.join(marked, keys_match(target, marked, keys), "left")
+    kept = both.select(*[
+        (F.when(F.col("__u"), marked[c]).otherwise(target[c]) if c in updates.columns and c not in keys else target[c]).alias(c)
         for c in target.columns
     ])
+    found = u.select(*keys)
+    found = target.select(*keys).join(found, keys_match(target, found, keys), "left_semi").distinct()
+    new = u.join(found, keys_match(u, found, keys), "left_anti").select(*[
+        F.col(c) if c in updates.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns
+    ])
+    return kept.unionByName(new)
 
 
 def neighbour(
@@ -87,7 +94,7 @@ def scd2_merge(
     """
     cols = [*keys, *tracked, "effective_from", "effective_to", "is_active"]
     from_type = target.schema["effective_from"].dataType
-    touched = updates.select(*keys).distinct()
+    touched = materialize(updates.select(*keys).distinct(), "scd2-touched")
     match = keys_match(target, touched, keys)
     untouched = target.join(touched, match, "left_anti").select(*cols)
     versions = target.join(touched, match, "left_semi").select(
@@ -115,11 +122,16 @@ def scd2_merge(
 
 
 def delta_apply(target: DataFrame, changes: DataFrame, keys: Sequence[str], op_col: str, seq_col: str) -> DataFrame:
-    """Apply I/U/D changes: the last change per key by sequence decides."""
+    """Apply I/U/D changes: the last change per key by sequence decides.
+
+    The collapsed changes are written first: few changes are sent to the target,
+    which then is not shuffled.
+    """
     cols = target.columns
     last = changes.groupBy(*keys).agg(
         F.max(F.struct(seq_col, op_col, *[c for c in cols if c not in keys])).alias("__last")
     )
+    last = materialize(last, "last-changes")
     gone = last.select(*keys)
     kept = target.join(gone, keys_match(target, gone, keys), "left_anti")
     new = last.where(F.col(f"__last.{op_col}") != "D").select(
@@ -197,12 +209,16 @@ def sql_steps(spark: SparkSession, inputs: Mapping[str, DataFrame], steps: Seque
     return out
 
 
-def dynamic_sql_expand(spark: SparkSession, config: DataFrame, template: str) -> DataFrame:
+def dynamic_sql_expand(spark: SparkSession, config: DataFrame, template: str, max_rows: int = 1000) -> DataFrame:
     """One SELECT per configuration row, all in one result.
 
-    Configuration rows are few and drive the plan, so they are read on the driver.
+    Configuration rows make the plan, so they are read on the driver; a table that
+    is too long to be configuration is refused.
     """
-    return reduce(DataFrame.unionByName, [spark.sql(template.format(**r.asDict())) for r in config.toLocalIterator()])
+    rows = config.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} configuration rows")
+    return reduce(DataFrame.unionByName, [spark.sql(template.format(**r.asDict())) for r in rows])
 
 
 def dim_date(bounds: DataFrame, from_col: str, to_col: str) -> DataFrame:

@@ -21,6 +21,7 @@ from tableproof.functions.hashing import (
     row_hash,
 )
 from tableproof.operators.filters import as_of, delta_window
+from tableproof.session import materialize
 from tableproof.target import FK, Target
 
 SIGN = "__sign"
@@ -58,27 +59,30 @@ def shared_columns(source: DataFrame, build: DataFrame, t: Target) -> list[str]:
     return [c for c in source.columns if c in other]
 
 
+def aligned(source: DataFrame, build: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the same columns. Columns of unequal type are compared as text."""
+    def side(df: DataFrame) -> DataFrame:
+        return df.select([
+            (F.col(c) if source.schema[c].dataType == build.schema[c].dataType else exact_text(F.col(c), df.schema[c].dataType)).alias(c)
+            for c in columns
+        ])
+
+    return side(source), side(build)
+
+
 def tagged(source: DataFrame, build: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Union of both sides with a sign. Columns of unequal type are compared as text."""
-    def side(df: DataFrame, sign: int) -> DataFrame:
-        cols = []
-        for c in columns:
-            mine, theirs = source.schema[c].dataType, build.schema[c].dataType
-            value = F.col(c) if mine == theirs else exact_text(F.col(c), df.schema[c].dataType)
-            cols.append(value.alias(c))
-        return df.select(*cols, F.lit(sign).alias(SIGN))
+    """Union of both sides with a sign."""
+    s, b = aligned(source, build, columns)
+    return s.withColumn(SIGN, F.lit(1)).unionAll(b.withColumn(SIGN, F.lit(-1)))
 
-    return side(source, 1).unionAll(side(build, -1))
+
+def _at_watermark(source: DataFrame, build: DataFrame, t: Target) -> tuple[DataFrame, DataFrame]:
+    return as_of(source, t.watermark_col, t.watermark), as_of(build, t.watermark_col, t.watermark)
 
 
 def pinned(source: DataFrame, build: DataFrame, t: Target, columns: Sequence[str] | None = None) -> DataFrame:
     """Both sides at the pinned watermark, tagged."""
-    columns = list(columns or shared_columns(source, build, t))
-    return tagged(
-        as_of(source, t.watermark_col, t.watermark),
-        as_of(build, t.watermark_col, t.watermark),
-        columns,
-    )
+    return tagged(*_at_watermark(source, build, t), list(columns or shared_columns(source, build, t)))
 
 
 def result(df: DataFrame, t: Target, check: str, passed, src, build) -> DataFrame:
@@ -91,6 +95,14 @@ def result(df: DataFrame, t: Target, check: str, passed, src, build) -> DataFram
     )
 
 
+def _verdict(check: str, passed, src, build):
+    """The same as one struct, for checks that unfold from one aggregate row."""
+    return F.struct(
+        F.lit(check).alias("check_name"), F.coalesce(passed, F.lit(False)).alias("passed"),
+        src.cast("string").alias("src_value"), build.cast("string").alias("build_value"),
+    )
+
+
 # --- 1 schema ---------------------------------------------------------------
 
 def observed_schema(df: DataFrame, prefix: str) -> DataFrame:
@@ -123,8 +135,8 @@ def observed_schema(df: DataFrame, prefix: str) -> DataFrame:
 
 def schema_parity_rows(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
     """One row per column of either side: name, position, type, nullability, width."""
-    s = observed_schema(as_of(source, t.watermark_col, t.watermark), "src")
-    b = observed_schema(as_of(build, t.watermark_col, t.watermark), "build")
+    s, b = _at_watermark(source, build, t)
+    s, b = observed_schema(s, "src"), observed_schema(b, "build")
     same = [F.col(f"src_{x}").eqNullSafe(F.col(f"build_{x}")) for x in ("ordinal", "type", "has_nulls", "width")]
     return s.join(b, "column_name", "full").withColumn("passed", reduce(lambda x, y: x & y, same))
 
@@ -160,14 +172,30 @@ def partition_row_count(source: DataFrame, build: DataFrame, t: Target, part_col
 
 # --- 3 keys -----------------------------------------------------------------
 
-def _key_counts(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
-    return _side_counts(pinned(source, build, t, t.keys), *t.keys)
+def key_state(both: DataFrame, keys: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
+    """Per key of a tagged union: rows of each side and, with ``columns``, the signed sums of two row hashes.
+
+    The sums are zero when both sides hold the same rows for the key. Two hashes of
+    64 bits make a false zero as unlikely as a collision of 128 bits.
+    """
+    aggs = []
+    if columns:
+        h = row_hash(columns)
+        again = F.xxhash64(F.lit(1), *[F.col(c) for c in columns], h)
+        aggs = [F.sum(F.when(F.col(SIGN) == 1, x.cast("decimal(38,0)")).otherwise(-x.cast("decimal(38,0)"))).alias(n) for n, x in (("__h1", h), ("__h2", again))]
+    return both.groupBy(*keys).agg(
+        F.count_if(F.col(SIGN) == 1).alias("src_rows"), F.count_if(F.col(SIGN) == -1).alias("build_rows"), *aggs
+    )
+
+
+def differing_keys(state: DataFrame) -> DataFrame:
+    return state.where((F.col("src_rows") != F.col("build_rows")) | (F.col("__h1") != 0) | (F.col("__h2") != 0))
 
 
 def key_parity_rows(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
     """Keys on one side only."""
     return (
-        _key_counts(source, build, t)
+        key_state(pinned(source, build, t, t.keys), t.keys)
         .where((F.col("src_rows") == 0) | (F.col("build_rows") == 0))
         .withColumn("side", F.when(F.col("build_rows") == 0, "missing_in_build").otherwise("extra_in_build"))
         .select("side", *t.keys)
@@ -179,19 +207,32 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def key_parity(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
-    n = _key_counts(source, build, t).agg(
+def key_results(state: DataFrame, t: Target) -> DataFrame:
+    """``key_parity`` and, when row hashes are there, ``row_level_sample``: one shuffle on the keys for both."""
+    hashed = "__h1" in state.columns
+    differs = (F.col("src_rows") != F.col("build_rows")) | (F.col("__h1") != 0) | (F.col("__h2") != 0) if hashed else F.lit(False)
+    n = state.agg(
         F.count_if(F.col("build_rows") == 0).alias("missing"),
         F.count_if(F.col("src_rows") == 0).alias("extra"),
         F.count_if(F.col("src_rows") > 1).alias("src_dupes"),
         F.count_if(F.col("build_rows") > 1).alias("build_dupes"),
+        F.count_if(differs).alias("differing"),
     )
     clean = (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("src_dupes") == 0) & (F.col("build_dupes") == 0)
-    return result(
-        n, t, "key_parity", clean,
+    rows = [_verdict(
+        "key_parity", clean,
         F.concat(F.lit("missing="), "missing", F.lit(" dupes="), "src_dupes"),
         F.concat(F.lit("extra="), "extra", F.lit(" dupes="), "build_dupes"),
-    )
+    )]
+    if hashed:
+        rows.append(_verdict(
+            "row_level_sample", F.col("differing") == 0, F.lit("0"), F.concat(F.lit("differing_keys="), "differing")
+        ))
+    return n.select(F.lit(t.table).alias("table_name"), F.inline(F.array(*rows)))
+
+
+def key_parity(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
+    return key_results(key_state(pinned(source, build, t, t.keys), t.keys), t)
 
 
 # --- 4 checksum -------------------------------------------------------------
@@ -229,29 +270,34 @@ def soak_delta_parity(source: DataFrame, build: DataFrame, t: Target) -> DataFra
 
 # --- 5, 6 column profile ----------------------------------------------------
 
-def profile_by(df: DataFrame, columns: Sequence[str], group: str, approx: bool = False) -> DataFrame:
-    """Per ``group`` and column: rows, non-null, null, distinct, min, max, sum.
+def side_summary(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """One wide row: rows, hash sum, and per column counts, extremes, sums and widest text.
 
-    Counts and extremes come from one wide aggregate. Exact distinct counts would
-    make Spark expand every row once per column with all columns as the grouping
-    key; instead narrow ``(column, value)`` rows are counted, combined on the map
-    side, so that a value shared by many rows is shuffled once per task.
+    Without grouping keys: extremes of strings would turn a grouped aggregate into one
+    that sorts every row first.
     """
     schema = df.schema
-    aggs = [F.count("*").alias("__rows")]
+    aggs = [F.count("*").alias("__rows"), hash_sum(row_hash(columns)).alias("__hash")]
     for i, c in enumerate(columns):
         dtype = schema[c].dataType
-        total = exact_sum(F.col(c), dtype).cast("string") if is_numeric(dtype) else F.lit(None).cast("string")
+        nothing = F.lit(None).cast("string")
+        wide = isinstance(dtype, (T.StringType, T.DecimalType))
         aggs += [
             F.count(c).alias(f"cnt_{i}"),
             report_text(F.min(c), dtype).alias(f"min_{i}"),
             report_text(F.max(c), dtype).alias(f"max_{i}"),
-            total.alias(f"sum_{i}"),
+            (exact_sum(F.col(c), dtype).cast("string") if is_numeric(dtype) else nothing).alias(f"sum_{i}"),
+            (F.max(F.length(F.col(c).cast("string"))) if wide else F.lit(None).cast("int")).alias(f"wid_{i}"),
         ]
         if approx:
             aggs.append(F.approx_count_distinct(c).alias(f"dis_{i}"))
-    wide = df.groupBy(group).agg(*aggs)
-    stats = wide.select(group, F.inline(F.array(*[
+    return df.agg(*aggs)
+
+
+def unfold_summary(wide: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """The summary as one row per column, any other columns (a side's sign) kept."""
+    parts = [c for c in wide.columns if c == SIGN]
+    return wide.select(*parts, F.inline(F.array(*[
         F.struct(
             F.lit(c).alias("column_name"),
             F.col("__rows").alias("row_count"),
@@ -264,24 +310,40 @@ def profile_by(df: DataFrame, columns: Sequence[str], group: str, approx: bool =
         )
         for i, c in enumerate(columns)
     ])))
-    if approx:
-        return stats
-    cells = df.select(group, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), exact_text(F.col(c), schema[c].dataType).alias("v")) for c in columns
-    ])))
-    distinct = (
-        cells.where(F.col("v").isNotNull())
-        .groupBy(group, "column_name", "v").agg(F.lit(1).alias("one"))
-        .groupBy(group, "column_name").agg(F.count("one").alias("distinct_count"))
-    )
-    # Both inputs have one row per group value and column.
-    return stats.join(distinct, [group, "column_name"], "left").na.fill(0, ["distinct_count"])
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column: distinct values, rows, and rows without a value.
+
+    One narrow aggregate per column, side by side in one job. Together they read each
+    column once, group typed values without expanding any row, and combine on the map
+    side; several distinct counts in one aggregate would expand every row once per column.
+    """
+    def one(c: str) -> DataFrame:
+        per_value = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        return per_value.agg(
+            F.count("v").alias("distinct_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+        ).select(F.lit(c).alias("column_name"), "*")
+
+    return reduce(DataFrame.unionAll, [one(c) for c in columns])
+
+
+def _distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return value_counts(df, columns).select("column_name", "distinct_count")
+
+
+def each_side(fn: Callable[[DataFrame], DataFrame], source: DataFrame, build: DataFrame) -> DataFrame:
+    """``fn`` of both sides, tagged with the sign."""
+    return fn(source).withColumn(SIGN, F.lit(1)).unionAll(fn(build).withColumn(SIGN, F.lit(-1)))
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Profile of one table, one row per column."""
+    """Profile of one table, one row per column: rows, non-null, null, distinct, min, max, sum."""
     columns = list(columns or df.columns)
-    return profile_by(df.select(*columns, F.lit(1).alias(SIGN)), columns, SIGN, approx).drop(SIGN)
+    stats = unfold_summary(side_summary(df, columns, approx), columns, approx)
+    # Both inputs have one row per column.
+    return stats if approx else stats.join(_distinct(df, columns), "column_name")
 
 
 _PROFILE = ("row_count", "non_null", "null_count", "distinct_count", "min_value", "max_value", "sum_value")
@@ -290,8 +352,11 @@ _PROFILE = ("row_count", "non_null", "null_count", "distinct_count", "min_value"
 def column_parity_rows(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
     """Both profiles side by side, one row per column, with the two verdicts."""
     cols = shared_columns(source, build, t)
-    p = profile_by(pinned(source, build, t, cols), cols, SIGN)
-    both = p.groupBy("column_name").agg(*[
+    return _side_by_side(each_side(lambda df: column_profile(df, cols), *aligned(*_at_watermark(source, build, t), cols)))
+
+
+def _side_by_side(profile: DataFrame) -> DataFrame:
+    both = profile.groupBy("column_name").agg(*[
         F.max(F.when(F.col(SIGN) == sign, F.col(x))).alias(f"{name}_{x}")
         for x in _PROFILE for name, sign in (("src", 1), ("build", -1))
     ])
@@ -424,45 +489,53 @@ def run_profile(
     rebuild: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Result rows of every check of a phase (``dev``, ``sit`` or ``soak``)."""
-    from tableproof.operators.diff import row_level_check
-
     wanted = PROFILES[env]
-    parts: list[DataFrame] = [schema_parity(source, build, t)]
-    if "row_count" in wanted:
-        cols = shared_columns(source, build, t)
-        sums = side_checksums(pinned(source, build, t, cols), cols)
-        # Counts and checksum share one scan: both rows unfold from one aggregate row.
-        parts.append(_counts_and_checksum(sums, t))
-        parts.append(_column_results(column_parity_rows(source, build, t), t))
-    parts.append(key_parity(source, build, t))
+    cols = shared_columns(source, build, t)
+    both = pinned(source, build, t, cols)
+    if "content_checksum" in wanted:
+        # Schema widths, counts, checksum and column statistics are one aggregate over one
+        # scan; its two rows are written, so that every check below reads them from there.
+        sides = aligned(*_at_watermark(source, build, t), cols)
+        one = materialize(each_side(lambda df: side_summary(df, cols), *sides), "summary")
+        distinct = each_side(lambda df: _distinct(df, cols), *sides)
+        profile = unfold_summary(one, cols).join(distinct, [SIGN, "column_name"])
+        parts = [_summary_results(one, source, build, cols, t), _column_results(_side_by_side(profile), t)]
+    else:
+        parts = [schema_parity(source, build, t)]
+    parts.append(key_results(key_state(both, t.keys or cols, cols), t))
     if fks:
         parts.append(referential_integrity(build, parents or {}, fks, t))
     parts.append(no_extra_output(build, contract or source.columns, t))
     parts.append(idempotency(rebuild or (lambda: build), t))
-    parts.append(row_level_check(source, build, t))
     if "soak_delta_parity" in wanted:
         parts.append(soak_delta_parity(source, build, t))
     return reduce(DataFrame.unionAll, parts)
 
 
-def _counts_and_checksum(sums: DataFrame, t: Target) -> DataFrame:
-    same_n = F.col("src_rows") == F.col("build_rows")
-    same_h = same_n & F.col("src_hash").eqNullSafe(F.col("build_hash"))
+def _summary_results(one: DataFrame, source: DataFrame, build: DataFrame, cols: Sequence[str], t: Target) -> DataFrame:
+    """``schema_parity``, ``row_count`` and ``content_checksum`` from the summary rows of both sides."""
+    src, new = F.col(SIGN) == 1, F.col(SIGN) == -1
+    shape_ok = [(f.name, f.dataType) for f in source.schema] == [(f.name, f.dataType) for f in build.schema]
 
-    def text(side: str):
-        return F.concat_ws(":", F.col(f"{side}_rows").cast("string"), F.col(f"{side}_hash").cast("string"))
+    def of(side, name: str):
+        return F.max(F.when(side, F.col(name)))
 
-    rows = F.array(
-        F.struct(
-            F.lit("row_count").alias("check_name"), same_n.alias("passed"),
-            F.col("src_rows").cast("string").alias("src_value"), F.col("build_rows").cast("string").alias("build_value"),
-        ),
-        F.struct(
-            F.lit("content_checksum").alias("check_name"), same_h.alias("passed"),
-            text("src").alias("src_value"), text("build").alias("build_value"),
-        ),
+    folded = one.agg(
+        F.coalesce(of(src, "__rows"), F.lit(0)).alias("src_rows"), F.coalesce(of(new, "__rows"), F.lit(0)).alias("build_rows"),
+        of(src, "__hash").alias("src_hash"), of(new, "__hash").alias("build_hash"),
+        reduce(lambda a, b: a & b, [
+            (of(src, f"wid_{i}").eqNullSafe(of(new, f"wid_{i}")))
+            & ((of(src, "__rows") > of(src, f"cnt_{i}")).eqNullSafe(of(new, "__rows") > of(new, f"cnt_{i}")))
+            for i in range(len(cols))
+        ]).alias("widths_ok"),
     )
-    return sums.select(F.lit(t.table).alias("table_name"), F.inline(rows))
+    same_n = F.col("src_rows") == F.col("build_rows")
+    text = [F.concat_ws(":", F.col(f"{s}_rows").cast("string"), F.col(f"{s}_hash").cast("string")) for s in ("src", "build")]
+    return folded.select(F.lit(t.table).alias("table_name"), F.inline(F.array(
+        _verdict("schema_parity", F.lit(shape_ok) & F.col("widths_ok"), F.lit(len(source.columns)), F.lit(len(build.columns))),
+        _verdict("row_count", same_n, F.col("src_rows"), F.col("build_rows")),
+        _verdict("content_checksum", same_n & F.col("src_hash").eqNullSafe(F.col("build_hash")), *text),
+    )))
 
 
 def stamp(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableproof.functions.hashing import exact_text, md5_key
+from tableproof.functions.hashing import md5_key
+from tableproof.operators.parity import value_counts
 from tableproof.session import materialize
 from tableproof.target import FK, SampleSpec
 
@@ -38,16 +39,19 @@ def top_by_digits(df: DataFrame, digits: Sequence[Column], rows: int) -> DataFra
     undecided = F.lit(True)
     for digit in digits:
         counts = df.where(undecided).groupBy(digit.alias("d")).agg(F.count("*").alias("n"))
-        running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("d")))
-        row = running.where(F.col("upto") >= need).orderBy("d").limit(1).first()
-        if row is None:  # fewer rows than asked for
+        found = None
+        for d, n in sorted(counts.collect()):  # at most 65,536 pairs
+            if n >= need:
+                found = (d, n)
+                break
+            need -= n
+        if found is None:  # fewer rows than asked for
             return df
-        need -= row["upto"] - row["n"]
-        cut.append(row["d"])
-        undecided = undecided & (digit == F.lit(row["d"]))
-        if row["n"] == need:
+        cut.append(found[0])
+        undecided = undecided & (digit == F.lit(found[0]))
+        if found[1] == need:
             return df.where(_below(digits, cut) | undecided)
-        if row["n"] <= _SORTABLE:
+        if found[1] <= _SORTABLE:
             break
     # Rows equal in every digit are ordered by content; equal rows are interchangeable.
     rest = df.where(undecided).orderBy(*digits, *df.columns).limit(need)
@@ -103,8 +107,10 @@ def fk_closure(
 ) -> dict[str, DataFrame]:
     """Add every parent row that a sampled child refers to, up to the grandparents.
 
-    Only distinct key values are shuffled to the parent. Without reference cycles
-    one pass, children first, is complete; with cycles it repeats until no row is new.
+    Only distinct key values meet the parent. They are written first, so that the
+    planner knows their size and leaves the parent where it lies when they are few.
+    Without reference cycles one pass, children first, is complete; with cycles it
+    repeats until no row is new.
     """
     closed = dict(samples)
     tables = sorted(set(sources) | set(samples))
@@ -122,6 +128,7 @@ def fk_closure(
                 ]).distinct()
                 if parent in closed:
                     wanted = wanted.join(closed[parent].select(key), key, "left_anti")
+                wanted = materialize(wanted, "wanted-keys")
                 new = sources[parent].join(wanted, key, "left_semi").select(*sources[parent].columns)
                 if cyclic:
                     new = materialize(new, "closure")
@@ -169,20 +176,9 @@ def sample_manifest(samples: Mapping[str, DataFrame], specs: Sequence[SampleSpec
 
 def infer_keys(df: DataFrame) -> DataFrame:
     """Columns whose values identify a row: no nulls, and as many values as rows.
-
-    Narrow (column, value) counting, combined on the map side.
     """
-    schema = df.schema
-    cols = [c for c in df.columns if not isinstance(schema[c].dataType, (T.MapType, T.ArrayType, T.StructType))]
-    cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), exact_text(F.col(c), schema[c].dataType).alias("v")) for c in cols
-    ])))
-    per_value = cells.groupBy("column_name", "v").agg(F.count("*").alias("n"))
-    return per_value.groupBy("column_name").agg(
-        F.sum("n").alias("row_count"),
-        F.count("v").alias("distinct_count"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-    ).withColumn("is_key", F.col("distinct_count") == F.col("row_count"))
+    cols = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
+    return value_counts(df, cols).withColumn("is_key", F.col("distinct_count") == F.col("row_count"))
 
 
 def candidate_fks(tables: Mapping[str, DataFrame], pks: Mapping[str, str], alias: Mapping[str, str] | None = None) -> list[tuple[str, FK]]:

@@ -50,8 +50,7 @@ def transitive_io(spark, d):
 @query("producers_consumers", f"""
 WITH {ESTATE_SQL}
 SELECT tbl AS "table", count(*) FILTER (mode = 'write') AS n_producers, count(*) FILTER (mode = 'read') AS n_consumers,
-       coalesce(string_agg(pipeline, ';' ORDER BY pipeline) FILTER (mode = 'write'), '') AS producers,
-       coalesce(string_agg(pipeline, ';' ORDER BY pipeline) FILTER (mode = 'read'), '') AS consumers
+       min(pipeline) FILTER (mode = 'write') AS first_producer, min(pipeline) FILTER (mode = 'read') AS first_consumer
 FROM pio GROUP BY tbl
 """)
 def producers_consumers(spark, d):
@@ -130,6 +129,11 @@ up AS (
   SELECT * FROM u)"""
 
 
+_RESOLVED = """
+known AS (SELECT tbl FROM pio WHERE mode = 'write' UNION SELECT name FROM objects WHERE type IN ('TABLE', 'CONFIG_TABLE', 'VIEW') OR ext IS NOT NULL),
+x AS (SELECT pipeline, tbl, tbl IN (SELECT tbl FROM known) AS ok FROM up)"""
+
+
 @query("upstream_closure", f"WITH {ESTATE_SQL}, {_UPSTREAM} SELECT pipeline, tbl AS \"table\" FROM up")
 def upstream_closure(spark, d):
     edges, _, io = _io(spark, d)
@@ -138,10 +142,9 @@ def upstream_closure(spark, d):
 
 @query("traversability_score", f"""
 WITH {ESTATE_SQL}, {_UPSTREAM},
-known AS (SELECT tbl FROM pio WHERE mode = 'write' UNION SELECT name FROM objects WHERE type IN ('TABLE', 'CONFIG_TABLE', 'VIEW') OR ext IS NOT NULL),
-x AS (SELECT pipeline, tbl, tbl IN (SELECT tbl FROM known) AS ok FROM up)
+{_RESOLVED}
 SELECT pipeline, count(*) AS refs_total, count(*) FILTER (ok) AS refs_resolved,
-       coalesce(string_agg(tbl, ';' ORDER BY tbl) FILTER (NOT ok), '') AS unresolved,
+       min(tbl) FILTER (NOT ok) AS first_unresolved,
        CAST(round(CAST(count(*) FILTER (ok) AS DOUBLE) / count(*), 4) AS DECIMAL(6,4)) AS score
 FROM x GROUP BY pipeline
 """)
@@ -150,6 +153,15 @@ def traversability_score(spark, d):
     return lineage.traversability_score(lineage.upstream_closure(io, edges), io, objects)
 
 
+@query("unresolved_references", f"""
+WITH {ESTATE_SQL}, {_UPSTREAM}, {_RESOLVED} SELECT pipeline, tbl AS "table" FROM x WHERE NOT ok
+""")
+def unresolved_references(spark, d):
+    edges, objects, io = _io(spark, d)
+    refs = lineage.resolved_references(lineage.upstream_closure(io, edges), io, objects)
+    return refs.where("NOT resolved").select("pipeline", "table")
+
+
 @query("landing_set", f"""
 WITH {ESTATE_SQL} SELECT pipeline, tbl AS "table" FROM pio WHERE mode = 'read' EXCEPT SELECT pipeline, tbl FROM pio WHERE mode = 'write'
 """)
