@@ -28,14 +28,15 @@ def row_diff(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
 
     Keys with row hashes are compared first, which shuffles a few bytes per row. The
     keys that differ are written, so that their size is known, and only their rows
-    are fetched and compared value by value. Equal rows cancel, and rows of a
-    repeated key are never paired with each other.
+    are fetched and compared value by value: two scans, whatever is done with the
+    result. Equal rows cancel, and rows of a repeated key are never paired.
     """
     cols = shared_columns(source, build, t)
     keys = list(t.keys)
     both = pinned(source, build, t, cols)
     suspects = materialize(differing_keys(key_state(both, keys, cols)).select(*keys), "differing-keys")
     diff = signed_difference(both.join(suspects, _null_safe(both, suspects, keys), "left_semi"), cols)
+    diff = materialize(diff, "differing-rows")
     values = F.struct(*[F.col(c) for c in cols if c not in keys])
     per_key = diff.groupBy(*keys).agg(
         F.count_if(F.col("net") > 0).alias("s_variants"),

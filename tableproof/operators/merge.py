@@ -88,9 +88,9 @@ def scd2_merge(
     """Historised merge: ``effective_from``, ``effective_to``, ``is_active``.
 
     ``updates`` carries keys, tracked columns and ``eff_col``, any number of changes
-    per key and in any order. The history of the touched keys is laid out anew, as
-    if the changes had arrived in order; versions that repeat their predecessor are
-    dropped; untouched keys pass through.
+    per key and in any order. The history of the touched keys is laid out anew with
+    the changes at their place in time, late ones included; versions that repeat
+    their predecessor are dropped; untouched keys pass through.
     """
     cols = [*keys, *tracked, "effective_from", "effective_to", "is_active"]
     from_type = target.schema["effective_from"].dataType
