@@ -7,7 +7,7 @@ extends what the round before it found.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tableproof.operators.filters import layer_of
 from tableproof.session import materialize
@@ -135,6 +135,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return every.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
 def _trim(live: DataFrame) -> DataFrame:
     """Drop edges that start where none arrives or end where none leaves, until all lie between such nodes."""
     live = materialize(live, "scc-edges")
@@ -178,33 +182,76 @@ def _smallest_names(live: DataFrame) -> DataFrame:
             return state
 
 
-def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components of more than one node, one row per member."""
-    comp = components(nodes, edges)
+def build_graph(reads: DataFrame, writes: DataFrame) -> DataFrame:
+    """Edges table -> writer -> table of distinct (src, table) lists.
+
+    A writer is a node of its own, so its inputs and outputs make a list and never all
+    their pairs. Two tables reach each other here exactly when they do in the graph of
+    pairs, because a writer on a cycle reads and writes tables of that cycle.
+    """
+    t, w = F.concat(F.lit("t:"), F.col("table")), F.concat(F.lit("w:"), F.col("src"))
+    return reads.select(t.alias("src"), w.alias("dst")).unionAll(writes.select(w.alias("src"), t.alias("dst"))).distinct()
+
+
+def table_components(edges: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The build graph of an estate, and (node, component) of its tables and writers."""
+    graph = materialize(build_graph(table_edges(edges, READS), table_edges(edges, WRITES)), "build-graph")
+    tables = all_tables(edges, objects).select(F.concat(F.lit("t:"), F.col("node")).alias("node"))
+    nodes = tables.unionAll(_ends(graph)).distinct()
+    # Tables sort before writers: a component with a table is named after a table.
+    return graph, materialize(components(nodes, graph), "components")
+
+
+def _tables_of(rows: DataFrame) -> DataFrame:
+    """Table rows only, without the node prefix."""
+    named = {c: F.substring(c, 3, 1 << 30) for c in rows.columns if c in ("node", "component", "cycle_id")}
+    return rows.where(F.col("node").startswith("t:")).withColumns(named)
+
+
+def cycles(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Tables that depend on each other: (node, cycle_id, cycle_size), one row per table on a cycle."""
+    comp = _tables_of(table_components(edges, objects)[1])
     size = comp.groupBy("component").agg(F.count("*").alias("cycle_size")).where("cycle_size > 1")
     return comp.join(size, "component").select("node", F.col("component").alias("cycle_id"), "cycle_size")
 
 
-def wave_layers(nodes: DataFrame, edges: DataFrame, comp: DataFrame | None = None) -> DataFrame:
-    """Build wave of every node: the longest path to its component from any start.
+def table_waves(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Build wave of every table: (node, component, wave)."""
+    graph, comp = table_components(edges, objects)
+    return _tables_of(wave_layers(graph, comp, F.col("node").startswith("t:")))
+
 
-    Round ``k`` finds the components that some component of wave ``k - 1`` feeds;
-    the last round that finds one is its wave. Ends after as many rounds as there
-    are waves, which the acyclic component graph guarantees.
+def wave_layers(edges: DataFrame, comp: DataFrame, counted: Column | None = None) -> DataFrame:
+    """Longest path, in components, from any start to the component of every node.
+
+    With ``counted`` only components that hold such a node make a step; the others
+    (writers) stand between two that do. Step ``k`` finds the components that some
+    component of step ``k - 1`` feeds; the last step that finds one is its wave. The
+    component graph has no cycle, so there are as many steps as waves.
     """
-    comp = materialize(comp if comp is not None else components(nodes, edges), "wave-comp")
+    comp = materialize(comp.withColumn("counted", F.lit(True) if counted is None else counted), "wave-comp")
+    kinds = comp.groupBy("component").agg(F.max("counted").alias("counted"))
     a = comp.select(F.col("node").alias("src"), F.col("component").alias("csrc"))
     b = comp.select(F.col("node").alias("dst"), F.col("component").alias("cdst"))
+    dag = edges.join(a, "src").join(b, "dst").where("csrc <> cdst").select("csrc", "cdst").distinct()
     dag = materialize(
-        edges.join(a, "src").join(b, "dst").where("csrc <> cdst").select("csrc", "cdst").distinct(), "wave-dag"
+        dag.join(kinds.select(F.col("component").alias("cdst"), F.col("counted").alias("to_counted")), "cdst")
+        .select("csrc", "cdst", "to_counted"), "wave-dag"
     )
-    wave = comp.select("component", F.lit(0).alias("wave")).distinct()
-    front, k = comp.select("component").distinct(), 0
+
+    def onward(front: DataFrame) -> DataFrame:
+        return front.join(dag, front["component"] == dag["csrc"]).select(F.col("cdst").alias("component"), "to_counted").distinct()
+
+    front, k = kinds.where("counted").select("component"), 0
+    wave = front.withColumn("wave", F.lit(0))
     while True:
         steps = None
         for _ in range(ROUNDS_PER_TABLE):
             k += 1
-            front = front.join(dag, front["component"] == dag["csrc"]).select(F.col("cdst").alias("component")).distinct()
+            near = onward(front)
+            if counted is not None:
+                near = near.unionAll(onward(near.where(~F.col("to_counted")).select("component")))
+            front = near.where("to_counted").select("component").distinct()
             step = front.withColumn("wave", F.lit(k))
             steps = step if steps is None else steps.unionAll(step)
         steps = materialize(steps, "wave-front")
@@ -242,33 +289,37 @@ def table_kind(edges: DataFrame, objects: DataFrame) -> DataFrame:
     )
 
 
-def order_audit(nodes: DataFrame, edges: DataFrame, published: DataFrame) -> DataFrame:
-    """Independent check of published waves (node, component, wave).
+def order_audit(tables: DataFrame, reads: DataFrame, writes: DataFrame, published: DataFrame) -> DataFrame:
+    """Independent check of published waves (node, component, wave) against (src, table) reads and writes.
 
-    C1 every node is published; C2 each wave equals one plus the greatest wave of its
-    component's predecessors (0 without any), which pins all waves; C3 no edge between
-    components runs backwards; C4 the nodes a build in wave order reaches: all whose
-    predecessors sit in earlier waves.
+    C1 every table is published; C2 each wave is one more than the greatest wave among
+    its component's inputs (0 without any), which pins all waves; C3 no table is built
+    from another component's later wave; C4 components whose inputs all come in earlier
+    waves, that is, what a build in wave order reaches. Per writer only its latest input
+    and the latest one of any other component are needed, never its pairs.
     """
-    own = nodes.select("node").distinct().join(published, "node", "full")
-    ends = edges.where("src <> dst").join(
-        published.select(F.col("node").alias("src"), F.col("component").alias("c1"), F.col("wave").alias("w1")), "src"
-    ).join(
-        published.select(F.col("node").alias("dst"), F.col("component").alias("c2"), F.col("wave").alias("w2")), "dst"
-    ).where("c1 <> c2")
-    expect = ends.groupBy(F.col("c2").alias("component")).agg(F.max("w1").alias("before"), F.count_if(F.col("w1") >= F.col("w2")).alias("late"))
-    by_comp = published.select("component", "wave").distinct().join(expect, "component", "left")
-    c1 = own.agg(F.count_if(F.col("wave").isNull()).alias("c1_missing"))
-    c2 = by_comp.agg(
-        F.count("*").alias("components"),
+    where = published.select(F.col("node").alias("table"), "component", "wave")
+    fed = reads.join(where, "table").groupBy("src", "component").agg(F.max("wave").alias("wave"))
+    latest = fed.groupBy("src").agg(F.max(F.struct("wave", "component")).alias("top"))
+    others = fed.join(latest, "src").where(F.col("component") != F.col("top.component")).groupBy("src").agg(F.max("wave").alias("next"))
+    inputs = latest.join(others, "src", "left")
+    built = writes.join(where, "table").join(inputs, "src", "left").select(
+        "component", "wave",
+        F.when(F.col("top.component") != F.col("component"), F.col("top.wave")).otherwise(F.col("next")).alias("before"),
+    )
+    by_comp = where.select("component", "wave").withColumn("before", F.lit(None).cast("int")).unionByName(built).groupBy(
+        "component"
+    ).agg(F.max("wave").alias("wave"), F.max("before").alias("before"))
+    c1 = tables.select("node").distinct().join(published, "node", "left").agg(F.count_if(F.col("wave").isNull()).alias("c1_missing"))
+    c234 = by_comp.agg(
         F.count_if(F.col("wave") != F.coalesce(F.col("before") + 1, F.lit(0))).alias("c2_mismatches"),
-        F.count_if(F.coalesce("late", F.lit(0)) == 0).alias("c4_reached"),
+        F.count_if(F.col("before") > F.col("wave")).alias("c3_violations"),
+        F.count_if(F.coalesce(F.col("before") < F.col("wave"), F.lit(True))).alias("c4_reached"),
+        F.count("*").alias("components"),
         F.max("wave").alias("last_wave"),
     )
-    c3 = ends.agg(F.count_if(F.col("w1") > F.col("w2")).alias("c3_violations"))
-    total = c1.unionByName(c2, True).unionByName(c3, True).agg(*[
-        F.max(c).alias(c) for c in ("c1_missing", "c2_mismatches", "c3_violations", "c4_reached", "components", "last_wave")
-    ])
+    names = ("c1_missing", "c2_mismatches", "c3_violations", "c4_reached", "components", "last_wave")
+    total = c1.unionByName(c234, True).agg(*[F.max(c).alias(c) for c in names])
     return total.withColumn(
         "passed",
         (F.col("c1_missing") == 0) & (F.col("c2_mismatches") == 0) & (F.col("c3_violations") == 0)

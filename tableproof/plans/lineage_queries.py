@@ -76,24 +76,19 @@ def producer_consumer_deps(spark, d):
     return lineage.pipeline_dependencies(io, edges)
 
 
-def _tables(spark, d):
-    edges, objects = _graph(spark, d)
-    return lineage.all_tables(edges, objects), materialize(lineage.table_dependencies(edges), "table-deps")
-
-
 @query("cycles", f"""
 WITH {ESTATE_SQL}, {_COMPONENTS}
 SELECT node, component AS cycle_id, n AS cycle_size FROM comp JOIN (SELECT component, count(*) AS n FROM comp GROUP BY 1 HAVING count(*) > 1) USING (component)
 """)
 def cycles(spark, d):
-    return lineage.cycles(*_tables(spark, d))
+    return lineage.cycles(*_graph(spark, d))
 
 
 @query("wave_layers", f"""
 WITH {ESTATE_SQL}, {_WAVES} SELECT node, component, CAST(wave AS INTEGER) AS wave FROM comp JOIN wv USING (component)
 """)
 def wave_layers(spark, d):
-    return lineage.wave_layers(*_tables(spark, d))
+    return lineage.table_waves(*_graph(spark, d))
 
 
 @query("order_audit", f"""
@@ -103,8 +98,10 @@ SELECT CAST(0 AS BIGINT) AS c1_missing, CAST(0 AS BIGINT) AS c2_mismatches, CAST
 FROM wv
 """)
 def order_audit(spark, d):
-    nodes, deps = _tables(spark, d)
-    return lineage.order_audit(nodes, deps, materialize(lineage.wave_layers(nodes, deps), "published"))
+    edges, objects = _graph(spark, d)
+    reads, writes = (lineage.table_edges(edges, kind) for kind in (lineage.READS, lineage.WRITES))
+    published = materialize(lineage.table_waves(edges, objects), "published")
+    return lineage.order_audit(lineage.all_tables(edges, objects), reads, writes, published)
 
 
 @query("table_kind", f"""

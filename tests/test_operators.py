@@ -303,14 +303,32 @@ def test_components_and_waves(spark, seed, n, m):
     for _ in wave:
         for a, b in dag:
             wave[b] = max(wave[b], wave[a] + 1)
-    waves = lineage.wave_layers(nd, ed)
-    assert {x["node"]: x["wave"] for x in waves.collect()} == {v: wave[comp[v]] for v in nodes}
-    audit = lineage.order_audit(nd, ed, waves).first()
+    plain = lineage.wave_layers(ed, got)
+    assert {x["node"]: x["wave"] for x in plain.collect()} == {v: wave[comp[v]] for v in nodes}
+    # The same through writers: each writer covers several edges; every pair it makes is an edge.
+    jobs = [(f"job{i}", {rnd.choice(nodes) for _ in range(2)}, {rnd.choice(nodes) for _ in range(2)}) for i in range(m // 4)]
+    pairs = {(a, b) for _, ins, outs in jobs for a in ins for b in outs if a != b}
+    r = reach(pairs)
+    comp = {v: min([v] + [w for w in nodes if w in r[v] and v in r[w]]) for v in nodes}
+    dag = {(comp[a], comp[b]) for a, b in pairs if comp[a] != comp[b]}
+    wave = {c: 0 for c in comp.values()}
+    for _ in wave:
+        for a, b in dag:
+            wave[b] = max(wave[b], wave[a] + 1)
+    log = [(j, "READS_TABLE", t) for j, ins, _ in jobs for t in ins] + [(j, "WRITES_TABLE", t) for j, _, outs in jobs for t in outs]
+    edges = spark.createDataFrame(log, "src_key string, edge_type string, dst_name string")
+    objects = spark.createDataFrame([(v, "TABLE") for v in nodes], "name string, type string")
+    waves = lineage.table_waves(edges, objects)
+    assert {x["node"]: (x["component"], x["wave"]) for x in waves.collect()} == {v: (comp[v], wave[comp[v]]) for v in nodes}
+    on_cycles = {v for v in nodes if sum(c == comp[v] for c in comp.values()) > 1}
+    assert {x["node"] for x in lineage.cycles(edges, objects).collect()} == on_cycles
+    reads, writes = lineage.table_edges(edges, lineage.READS), lineage.table_edges(edges, lineage.WRITES)
+    audit = lineage.order_audit(nd, reads, writes, waves).first()
     assert audit["passed"] and audit["components"] == len(set(comp.values()))
-    if m:
+    if dag:
         broken = waves.withColumn("wave", F.when(F.col("wave") == 1, 5).otherwise(F.col("wave")))
-        assert not lineage.order_audit(nd, ed, broken).first()["passed"]
-        assert lineage.order_audit(nd, ed, waves.where("wave > 0")).first()["c1_missing"] > 0
+        assert not lineage.order_audit(nd, reads, writes, broken).first()["passed"]
+        assert lineage.order_audit(nd, reads, writes, waves.where("wave > 0")).first()["c1_missing"] > 0
 
 
 def test_transitive(spark):
