@@ -83,7 +83,7 @@ def neighbour(
 
 
 def scd2_merge(
-    target: DataFrame, updates: DataFrame, keys: Sequence[str], tracked: Sequence[str], eff_col: str, bucket: str = "month"
+    target: DataFrame, updates: DataFrame, keys: Sequence[str], tracked: Sequence[str], eff_col: str, bucket: str = "day"
 ) -> DataFrame:
     """Historised merge: ``effective_from``, ``effective_to``, ``is_active``.
 

@@ -67,9 +67,13 @@ def with_positions(df: DataFrame, order_by: Sequence) -> DataFrame:
     A sort spreads the rows over range partitions; the row's number within its
     partition plus the rows of all earlier partitions is its position, so no task
     ever holds more than one range. The sorted rows are written first: range
-    bounds come from a sample and could differ between two runs of one plan.
+    bounds come from a sample and could differ between two runs of one plan. Rows that
+    tie are ordered by their other columns, and copies of a row by where they lie, so
+    that a sort value shared by many rows still spreads over several ranges.
     """
-    marked = materialize(df.orderBy(*order_by).withColumn("__id", F.monotonically_increasing_id()), "positions")
+    salted = df.withColumn("__salt", F.monotonically_increasing_id())
+    ordered = salted.orderBy(*order_by, *df.columns, "__salt").drop("__salt")
+    marked = materialize(ordered.withColumn("__id", F.monotonically_increasing_id()), "positions")
     part = F.shiftright("__id", 33)
     marked = marked.withColumn("__part", part).withColumn("__idx", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableproof.functions.hashing import md5_key
+from tableproof.functions.hashing import md5_key, row_hash
 from tableproof.operators.parity import value_counts
 from tableproof.session import materialize
 from tableproof.target import FK, SampleSpec
@@ -21,7 +21,10 @@ def order_digits(keys: Sequence[str], seed: int, digest: str) -> list[Column]:
     if digest == "md5":
         text = md5_key(keys, F.lit(str(seed)))
         return [F.conv(F.substring(text, 1 + 4 * i, 4), 16, 10).cast("int") for i in range(8)]
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    return _hash_digits(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+
+
+def _hash_digits(h: Column) -> list[Column]:
     return [F.shiftright(h, 48).cast("int")] + [
         F.shiftright(h, 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in (1, 2, 3)
     ]
@@ -33,8 +36,11 @@ def top_by_digits(df: DataFrame, digits: Sequence[Column], rows: int) -> DataFra
     Each step counts rows per value of the next digit (at most 65,536 counts) and
     finds the value at which the running count passes ``rows``. Everything below
     it is taken where it lies; only the rows of that one value go on to the next
-    digit, until so few are left that they can be sorted.
+    digit, until so few are left that they can be sorted. The last digits must tell
+    all rows apart that are not equal.
     """
+    if rows <= 0:
+        return df.limit(0)
     cut, need = [], rows
     undecided = F.lit(True)
     for digit in digits:
@@ -53,7 +59,11 @@ def top_by_digits(df: DataFrame, digits: Sequence[Column], rows: int) -> DataFra
             return df.where(_below(digits, cut) | undecided)
         if found[1] <= _SORTABLE:
             break
-    # Rows equal in every digit are ordered by content; equal rows are interchangeable.
+    else:
+        # A large group that no digit tells apart: copies of one row (or no digits left).
+        # Which copies are taken makes no difference, so one is repeated.
+        copy = df.where(undecided).limit(1).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(need)))).drop("__copy")
+        return df.where(_below(digits, cut)).unionAll(copy)
     rest = df.where(undecided).orderBy(*digits, *df.columns).limit(need)
     return df.where(_below(digits, cut)).unionAll(rest)
 
@@ -77,7 +87,9 @@ def seed_sample(
     """
     if mode == "none":
         return df
-    return top_by_digits(df, order_digits(list(keys) or df.columns, seed, digest), rows)
+    by_key = order_digits(list(keys) or df.columns, seed, digest)
+    by_row = _hash_digits(F.xxhash64(*[F.col(c) for c in df.columns], row_hash(df.columns)))
+    return top_by_digits(df, by_key + by_row, rows)
 
 
 def reference_copy(df: DataFrame) -> DataFrame:

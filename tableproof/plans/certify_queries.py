@@ -14,6 +14,8 @@ from tableproof.operators import certify, diff
 from tableproof.operators.parity import CHECKS, SAMPLE_CHECKS
 from tableproof.plans.pair import ORDERS, PAIR_SQL, build, source
 from tableproof.plans.registry import query
+from tableproof.session import fresh_path
+from tableproof.sources import tables
 from tableproof.sources.tables import read_table
 
 # Which measure must be zero for a check to pass; the others always pass here.
@@ -155,20 +157,55 @@ def v_bi_progress(spark, d):
     return certify.v_bi_progress(reports(spark, d))
 
 
-@query("ready_reports", """
-SELECT 'tile_' || p_partkey AS obj_id FROM part
-WHERE p_partkey IN (SELECT l_partkey FROM lineitem)
-  AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal <= 500)
+_CERTIFIED = "count(*) FILTER (l_returnflag = 'R') <= count(*) FILTER (l_returnflag = 'A')"
+
+
+@query("ready_reports", f"""
+WITH l AS (SELECT p_brand, p_type, l_returnflag FROM lineitem JOIN part ON p_partkey = l_partkey),
+     c AS (SELECT p_brand AS t FROM l GROUP BY 1 HAVING {_CERTIFIED} UNION ALL SELECT p_type FROM l GROUP BY 1 HAVING {_CERTIFIED})
+SELECT 'tile_' || p_partkey AS obj_id FROM part WHERE p_brand IN (SELECT t FROM c) AND p_type IN (SELECT t FROM c)
 """)
 def ready_reports(spark, d):
-    """A report reads one table per supplier of its part; a supplier's table is certified above a balance."""
-    used = read_table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    targets = used.groupBy("l_partkey").agg(
-        F.collect_set(F.concat(F.lit("Gold.S"), F.col("l_suppkey").cast("string"))).alias("target_tables")
+    """A report reads the tables of its brand and its type; a table is certified when no more lines came back than went out."""
+    parts = read_table(spark, d, "part")
+    objs = parts.select(
+        F.concat(F.lit("tile_"), F.col("p_partkey").cast("string")).alias("obj_id"),
+        F.array(*[F.concat(F.lit("Gold."), c) for c in ("p_brand", "p_type")]).alias("target_tables"),
+    )
+    per_part = read_table(spark, d, "lineitem").groupBy("l_partkey").agg(
+        F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "A").alias("a")
     )
-    objs = reports(spark, d).join(targets, F.col("p_partkey") == F.col("l_partkey")).select("obj_id", "target_tables")
-    done = read_table(spark, d, "supplier").where("s_acctbal > 500").select(F.concat(F.lit("gold.s"), F.col("s_suppkey").cast("string")).alias("table"))
-    return certify.ready_reports(objs, done).select("obj_id")
+    counts = per_part.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    done = counts.groupBy(F.col("p_brand").alias("t")).agg(F.sum("r").alias("r"), F.sum("a").alias("a")).unionAll(
+        counts.groupBy("p_type").agg(F.sum("r"), F.sum("a"))
+    ).where("r <= a")
+    return certify.ready_reports(objs, done.select(F.concat(F.lit("gold."), "t").alias("table"))).select("obj_id")
+
+
+@query("read_bi_objects", """
+SELECT 'tile_' || p_partkey AS obj_id, 'promo' AS system, p_name AS tile, p_size > 5 AS ordered FROM part WHERE p_type = 'PROMO'
+""")
+def read_bi_objects(spark, d):
+    """Round trip of report objects through JSON lines, one system of them."""
+    path = fresh_path(spark, "reports")
+    read_table(spark, d, "part").select(
+        F.concat(F.lit("tile_"), F.col("p_partkey").cast("string")).alias("obj_id"), F.lower("p_type").alias("system"),
+        F.col("p_name").alias("tile"), F.array(F.concat(F.lit("gold.p"), "p_type")).alias("target_tables"), (F.col("p_size") > 5).alias("ordered"),
+    ).write.json(path)
+    return tables.read_bi_objects(spark, path, "promo", lines=True).select("obj_id", "system", "tile", "ordered")
+
+
+@query("write_results", f"""
+WITH {RESULTS_SQL}
+SELECT pipeline, table_name, env, checkpoint, check_name, attempt, passed, CASE WHEN NOT passed THEN 'TRANSLATION' END AS reason_code FROM res
+WHERE env = 'sit'
+""")
+def write_results(spark, d):
+    """The results of a phase, appended to the results table and read back."""
+    path = fresh_path(spark, "results")
+    rows = check_results(spark, d).where("env = 'sit'").drop("last_order")
+    tables.write_results(rows.withColumn("reason_code", F.when(~F.col("passed"), "TRANSLATION")), path)
+    return spark.read.parquet(path)
 
 
 @query("app_gate", """

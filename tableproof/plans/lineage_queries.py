@@ -8,7 +8,9 @@ from tableproof.operators import lineage
 from tableproof.plans import estate
 from tableproof.plans.estate import ESTATE_SQL
 from tableproof.plans.registry import query
-from tableproof.session import materialize
+from tableproof.session import fresh_path, materialize
+from tableproof.sources import tables
+from tableproof.sources.tables import EDGE_COLUMNS, OBJECT_COLUMNS, read_table
 
 _COMPONENTS = """
 tclose AS (
@@ -192,8 +194,6 @@ FROM stat s LEFT JOIN w ON w.pipeline = s.pipeline
 def predecessor_gate(spark, d):
     edges, _, io = _io(spark, d)
     worst = F.max(F.when(F.col("event_type") == "error", F.col("value")))
-    from tableproof.sources.tables import read_table
-
     status = read_table(spark, d, "events").groupBy("user_id").agg(worst.alias("worst")).select(
         F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("pipeline"),
         F.when(F.col("worst") > 120, "PROVISIONAL").otherwise("CERTIFIED").alias("status"),
@@ -211,3 +211,23 @@ def layer_of(spark, d):
 
     nodes = lineage.all_tables(*_graph(spark, d))
     return nodes.select(F.col("node").alias("table"), layer(F.col("node")).alias("layer"))
+
+
+@query("read_estate", f"""
+WITH {ESTATE_SQL}
+SELECT src AS src_key, et AS edge_type, dst AS dst_name, type AS src_object_type FROM edges LEFT JOIN objects ON name = src
+""")
+def read_estate(spark, d):
+    """Round trip of the estate through its two CSV files."""
+    path = fresh_path(spark, "estate")
+    parts = (
+        ("edges", estate.edges(spark, d).distinct(), EDGE_COLUMNS), ("objects", estate.objects(spark, d), OBJECT_COLUMNS),
+    )
+    for name, df, columns in parts:
+        df.select([F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.csv(
+            f"{path}/{name}.csv", header=True
+        )
+    objects, edges = tables.read_estate(spark, path)
+    kinds = objects.select(F.col("name").alias("src_key"), F.col("type").alias("src_object_type"))
+    rows = edges.select("src_key", "edge_type", F.lower("dst_name").alias("dst_name")).distinct()
+    return rows.join(kinds, "src_key", "left")

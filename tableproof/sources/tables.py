@@ -51,9 +51,12 @@ BI_SCHEMA = T.StructType([
 ])
 
 
-def read_bi_objects(spark: SparkSession, path: str, system: str | None = None) -> DataFrame:
-    """Query-bearing report objects from a JSON array."""
-    df = spark.read.schema(BI_SCHEMA).json(path, multiLine=True)
+def read_bi_objects(spark: SparkSession, path: str, system: str | None = None, lines: bool = False) -> DataFrame:
+    """Query-bearing report objects from JSON: one array per file, or one object per line.
+
+    A file that holds one array is read by one task; large exports should come as lines.
+    """
+    df = spark.read.schema(BI_SCHEMA).json(path, multiLine=not lines)
     return df if system is None else df.where(F.col("system") == system)
 
 

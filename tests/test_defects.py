@@ -218,3 +218,6 @@ def test_positions_are_gapless(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("v"))
     got = results.with_positions(df, ["v"]).collect()
     assert sorted((r["position"], r["v"]) for r in got) == [(i, i) for i in range(1000)]
+    hot = df.select(F.when(F.col("v") < 400, 5).otherwise(F.col("v")).alias("v"))
+    got = sorted(tuple(r) for r in results.with_positions(hot, ["v"]).select("position", "v").collect())
+    assert [p for p, _ in got] == list(range(1000)) and [v for _, v in got] == sorted(v for _, v in got)
