@@ -21,7 +21,7 @@ TABLE_TYPES = ("TABLE", "CONFIG_TABLE")
 VIEW_TYPE = "VIEW"
 
 # Propagation steps between two writes: enough to outweigh the cost of a write.
-ROUNDS_PER_TABLE = 3
+ROUNDS_PER_TABLE = 2
 
 
 def of_type(edges: DataFrame, edge_type: str) -> DataFrame:

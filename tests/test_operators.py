@@ -270,6 +270,20 @@ def test_report_objects(spark, tmp_path):
     assert [r["obj_id"] for r in certify.ready_reports(objs, done).collect()] == ["b"]
 
 
+def test_catalog_tables(spark, tmp_path):
+    from tableproof.operators.parity import extra_tables
+
+    spark.sql(f"CREATE DATABASE proof_db LOCATION '{tmp_path}'")
+    try:
+        tables.replace_table(spark.range(3), "proof_db.wanted")
+        tables.replace_table(spark.range(2), "proof_db.wanted")
+        tables.replace_table(spark.range(1), "proof_db.stray")
+        assert spark.table("proof_db.wanted").count() == 2
+        assert [r["table_name"] for r in extra_tables(spark, "proof_db", ["wanted"]).collect()] == ["stray"]
+    finally:
+        spark.sql("DROP DATABASE proof_db CASCADE")
+
+
 def test_results_table(spark, tmp_path):
     rows = spark.createDataFrame([("t", "row_count", False, "1", "2")], "table_name string, check_name string, passed boolean, src_value string, build_value string")
     path = str(tmp_path / "results")
