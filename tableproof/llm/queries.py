@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableproof.llm import exact_dedup, sharding, url_filter
+import public_tokenizers
+
+from tableproof.llm import ann, chat_format, exact_dedup, license_scan, mixing, near_dup, packing, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,56 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@_query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document (grades 0 to 2), from a model fitted on the labelled ones."""
+    docs, p = _read(spark, sf_dir, "documents"), toxicity.OrdinalParams()
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"), p)
+    rated = docs.select("doc_id", toxicity.severity(F.col("text").cast("string"), model, p).alias("s"))
+    return rated.select(
+        "doc_id", F.col("s")[0].alias("severity"), F.col("s")[1].alias("p_toxic"), F.col("s")[2].alias("p_severe"),
+        (F.col("s")[0] >= p.reject_at).alias("rejected"),
+    )
+
+
+@_query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens; the other two limits never bind before that one."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op3_parity_jaccard")
+def op3_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked at a Jaccard similarity of 0.85 of their 4-word shingles."""
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), near_dup.Jaccard(words=4, percent=85))
+
+
+@_query("op4_cross_polytope")
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every row whose vec_id is divisible by 50, among all others."""
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def domain_of_label():
+    """Domain of a labelled document: good or poor prose, in short ``q1`` or ``q0``, toxic ones apart."""
+    return F.when(F.col("toxic") == 1, "toxic").otherwise(F.concat(F.lit("q"), F.col("quality")))
+
+
+@_query("op5_soft_mixing")
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of every document in a mixture whose expected domain totals follow tempered shares."""
+    docs = _read(spark, sf_dir, "documents")
+    model = mixing.train_domains(docs, _read(spark, sf_dir, "labels"), domain_of_label())
+    mixture = mixing.fit_rates(docs, model)
+    return mixing.mixed(docs.select("doc_id", "text"), mixture).select("doc_id", "__mix.*")
+
+
+@_query("op6_license_digests", sql=license_scan.scan_sql())
+def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest of every document, the licence it is, and the licences its lines announce."""
+    return license_scan.scan(_read(spark, sf_dir, "documents"), license_scan.known_digests(spark))
+
+
 @_query("op7_feistel_shards")
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards whose row counts differ by one at most."""
@@ -40,6 +92,15 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op8_chat_template", sql=chat_format.format_sql())
+def op8_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings, rendered and read back."""
+    says = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.format_conversations(rows.unionByName(own))
+
+
 @_query("op9_exact_dedup", sql="""
     WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
     g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
