@@ -100,9 +100,10 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
         lambda x: F.contains(low(x), F.lit("licens")) | F.contains(low(x), F.lit("licenc")),
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     own = F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("text")).alias("digest")))
     named = F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest")))
-    units = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.concat(own, named)).alias("u"))
+    units = rows.select("doc_id", "row", F.explode(F.concat(own, named)).alias("u"))
     units = units.select("doc_id", "row", "u.whole", "u.digest")
     known = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).select("digest", "license_id")
     if known.count() <= BROADCAST_ROWS:

@@ -145,8 +145,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: i
         end = np.array([end_id], np.uint32)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 ids = np.concatenate([ids, end]).astype("<u4", copy=False)
                 n = len(ids)
                 cut = n % max_tokens or max_tokens

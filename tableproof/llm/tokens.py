@@ -2,25 +2,27 @@
 
 Texts are cut at spaces. A space that does not touch other white space always begins a new
 pre-token, so a word with its leading space has the same ids wherever it stands. Each different
-word of a batch is therefore encoded once, and ids are gathered by numpy. Texts in which a space
-touches white space, or which end in a space, are encoded whole.
+word of a slice is therefore encoded once, and ids are gathered by numpy. Texts in which a space
+touches white space behind it, or which end in a space, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Fixed value: the pre-token pattern of the byte-level tokenizer.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_TOUCHING = re.compile(r" (?:\s|\Z)")
-#: Characters of text encoded together.
-SLICE = 4 << 20
-#: Words kept between batches.
+#: A space before any white space (more than Unicode's, to be safe) or at the end.
+_TOUCHING = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+#: Bytes of text encoded together.
+SLICE = 8 << 20
+#: Words kept between slices.
 CACHE = 1 << 18
 
 
@@ -43,55 +45,64 @@ class Tokenizer:
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self._core = tiktoken.Encoding(path, pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self._bytes[i] = len(token)
         self._known: dict[str, np.ndarray] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._core.encode_ordinary(text), np.uint32)
 
     def _words(self, words: list[str]) -> list[np.ndarray]:
-        known, encode = self._known, self._core.encode_ordinary
-        if len(known) > CACHE:
-            known.clear()
-        out = []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = np.array(encode(w), np.uint32)
-            out.append(ids)
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, in order."""
+        """Ids of each word with a space before it."""
+        if len(self._known) > CACHE:
+            self._known.clear()
+        known = self._known
+        new = [w for w in words if w not in known]
+        if new:
+            # Encoded in one go: words begin with their spaces, so none changes its neighbour's ids.
+            ids = self.whole(" " + " ".join(new))
+            ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
+            start = 0
+            for w, end in zip(new, ends.tolist()):
+                known[w] = ids[start:end]
+                start = end
+        return [known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string column, in order; null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        sizes = pc.binary_length(texts).to_numpy()
         start = 0
         while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) <= SLICE):
-                size += len(texts[end])
-                end += 1
-            yield from self._slice(texts[start:end])
+            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), SLICE, "right")))
+            yield from self._slice(texts.slice(start, end - start))
             start = end
 
-    def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
-        odd = [bool(_TOUCHING.search(t)) for t in texts]
-        number: dict[str, int] = {}
-        seen, counts = [], []
-        for text, is_odd in zip(texts, odd):
-            if is_odd or not text:
-                counts.append(0)
-                continue
-            first, *rest = text.split(" ")
-            # Every word but a text's first carries its space; a first word without one is a word of its own.
-            parts = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-            counts.append(len(parts))
-            seen += [number.setdefault(w, len(number)) for w in parts]
-        words = self._words(list(number))
-        sizes = np.array([len(w) for w in words], np.int64)
-        pool = np.concatenate(words) if words else np.zeros(0, np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        at = np.array(seen, np.int64)
-        n = sizes[at] if len(at) else at
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        odd = pc.match_substring_regex(texts, _TOUCHING).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        if isinstance(split, pa.ChunkedArray):
+            split = split.combine_chunks()
+        words = split.flatten().dictionary_encode()
+        at = words.indices.to_numpy().astype(np.int64)
+        counts = np.asarray(pc.list_value_length(split), np.int64)
+        first = np.cumsum(counts) - counts
+        names = words.dictionary.to_pylist()
+        # A text's first word has no space before it.
+        pool = self._words(names) + [self.whole(names[i]) for i in at[first].tolist()]
+        at[first] = len(names) + np.arange(len(first))
+        lengths = np.array([len(x) for x in pool], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        n = lengths[at]
         ends = np.cumsum(n)
-        flat = pool[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(begin[at], n)] if len(at) else pool[:0]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        for i, (text, is_odd) in enumerate(zip(texts, odd)):
-            yield self.whole(text) if is_odd else flat[bounds[i] : bounds[i + 1]]
+        flat = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
+        flat = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[at] - (ends - n), n)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].tolist()
+        nth = 0
+        for i, is_odd in enumerate(odd.tolist()):
+            if is_odd:
+                yield self.whole(texts[i].as_py())
+            else:
+                yield flat[bounds[nth] : bounds[nth + 1]]
+                nth += 1
