@@ -22,8 +22,6 @@ PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _TOUCHING = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 #: Bytes of text encoded together.
 SLICE = 8 << 20
-#: Words kept between slices.
-CACHE = 1 << 18
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -48,26 +46,22 @@ class Tokenizer:
         self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self._bytes[i] = len(token)
-        self._known: dict[str, np.ndarray] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._core.encode_ordinary(text), np.uint32)
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word with a space before it."""
-        if len(self._known) > CACHE:
-            self._known.clear()
-        known = self._known
-        new = [w for w in words if w not in known]
-        if new:
-            # Encoded in one go: words begin with their spaces, so none changes its neighbour's ids.
-            ids = self.whole(" " + " ".join(new))
-            ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
-            start = 0
-            for w, end in zip(new, ends.tolist()):
-                known[w] = ids[start:end]
-                start = end
-        return [known[w] for w in words]
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each with a space before it, laid end to end, and ids per word.
+
+        Encoded in one go: words begin with their spaces, so none changes its neighbour's ids, and
+        bytes per id tell where a word ends.
+        """
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        every = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+        ids = self.whole(" " + pc.binary_join(every, " ")[0].as_py())
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        return ids, np.diff(np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1, prepend=0)
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a string column, in order; null counts as empty."""
@@ -88,16 +82,17 @@ class Tokenizer:
         at = words.indices.to_numpy().astype(np.int64)
         counts = np.asarray(pc.list_value_length(split), np.int64)
         first = np.cumsum(counts) - counts
-        names = words.dictionary.to_pylist()
+        pool, lengths = self._words(words.dictionary)
         # A text's first word has no space before it.
-        pool = self._words(names) + [self.whole(names[i]) for i in at[first].tolist()]
-        at[first] = len(names) + np.arange(len(first))
-        lengths = np.array([len(x) for x in pool], np.int64)
+        names = words.dictionary.take(pa.array(at[first])).to_pylist()
+        at[first] = len(lengths) + np.arange(len(first))
+        heads = [self.whole(w) for w in names]
+        pool = np.concatenate([pool, *heads])
+        lengths = np.concatenate([lengths, np.array([len(h) for h in heads], np.int64)])
         begin = np.cumsum(lengths) - lengths
         n = lengths[at]
         ends = np.cumsum(n)
-        flat = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
-        flat = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[at] - (ends - n), n)]
+        flat = pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[at] - (ends - n), n)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].tolist()
         nth = 0
         for i, is_odd in enumerate(odd.tolist()):
