@@ -58,8 +58,7 @@ class Tokenizer:
         """
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        every = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
-        ids = self.whole(" " + pc.binary_join(every, " ")[0].as_py())
+        ids = self.whole(" " + " ".join(words.to_numpy(zero_copy_only=False)))
         ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
         return ids, np.diff(np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1, prepend=0)
 
