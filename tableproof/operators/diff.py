@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from tableproof.functions.hashing import report_text
-from tableproof.operators.parity import SIGN, differing_keys, key_results, key_state, pinned, shared_columns, tagged
+from tableproof.operators.parity import SIGN, differing_keys, key_state, pinned, shared_columns, tagged
 from tableproof.session import materialize
 from tableproof.target import Target
 
@@ -95,22 +96,10 @@ def row_level_sample(source: DataFrame, build: DataFrame, t: Target, limit: int
     return column_diff(source, build, t).orderBy(*t.keys, "column_name", "change").limit(limit)
 
 
-def row_level_check(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
-    cols = shared_columns(source, build, t)
-    return key_results(key_state(pinned(source, build, t, cols), t.keys, cols), t).where("check_name = 'row_level_sample'")
-
-
-# Reason code -> what it means and what to do about it.
-REASON_CODES = {
-    "TRANSLATION": "build logic differs from the source: correct it and re-run",
-    "SCHEMA": "type, order or nullability mismatch: align the table definition",
-    "TIMING": "rows at the edge of the load window: align the watermark",
-    "SOURCE-CHANGE": "source changed since capture: capture again",
-    "TYPE-NUANCE": "rounding, collation, case or time zone: match the casts",
-    "LEGACY-BUG": "confirmed defect of the source: sign-off to keep or fix",
-    "INCREMENTAL-LOGIC": "incremental step diverges over runs: fix, backfill, soak again",
-    "LATE-DATA": "late rows handled differently: align late handling, soak again",
-}
+# The reason codes.
+REASON_CODES = (
+    "TRANSLATION", "SCHEMA", "TIMING", "SOURCE-CHANGE", "TYPE-NUANCE", "LEGACY-BUG", "INCREMENTAL-LOGIC", "LATE-DATA",
+)
 
 
 def drift_reason(
@@ -120,20 +109,26 @@ def drift_reason(
     mistyped: Sequence[str] = (),
     edge: str = "0 days",
     waivers: DataFrame | None = None,
+    scales: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Reason code for every cell difference.
 
     ``diffs`` are ``column_diff`` rows with the row's event time in ``event_col``.
     ``waivers`` (keys, ``column_name``, ``reason_code``) carries what only a person
-    can decide and wins over the rules.
+    can decide and wins over the rules; of several waivers of a cell the first by name
+    counts, and null keys match. ``scales`` names the columns in which values that agree
+    at so many decimals are one value; without it nothing is rounded.
     """
     time = F.col(event_col)
     wm = F.lit(str(t.watermark)).cast(diffs.schema[event_col].dataType)
     src, build = F.lower(F.trim("src_value")), F.lower(F.trim("build_value"))
-    rounded = [F.round(F.col(c).try_cast("decimal(38,6)"), 1) for c in ("src_value", "build_value")]
+    alike = src.eqNullSafe(build)
+    for name, scale in (scales or {}).items():
+        rounded = [F.round(F.col(c).try_cast("decimal(38,18)"), scale) for c in ("src_value", "build_value")]
+        alike = alike | ((F.col("column_name") == name) & F.coalesce(rounded[0] == rounded[1], F.lit(False)))
     changed = F.col("change") == "changed"
     rule = F.when(F.col("column_name").isin(list(mistyped)), "SCHEMA").when(
-        changed & (src.eqNullSafe(build) | (rounded[0] == rounded[1])), "TYPE-NUANCE"
+        changed & alike, "TYPE-NUANCE"
     )
     if t.prev_watermark is not None:
         prev = F.lit(str(t.prev_watermark)).cast(diffs.schema[event_col].dataType)
@@ -144,10 +139,12 @@ def drift_reason(
     out = diffs.withColumn("reason_code", rule.otherwise("TRANSLATION"))
     if waivers is None:
         return out
-    w = waivers.select(*t.keys, "column_name", F.col("reason_code").alias("waived"))
+    on = [*t.keys, "column_name"]
+    w = waivers.groupBy(*on).agg(F.min("reason_code").alias("waived"))
+    w = w.select(*[F.col(k).alias(f"__w_{k}") for k in on], "waived")
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__w_{k}")) for k in on])
     return (
-        out.join(w, [*t.keys, "column_name"], "left")
+        out.join(w, match, "left")
         .withColumn("reason_code", F.coalesce("waived", "reason_code"))
-        .drop("waived")
+        .drop("waived", *[f"__w_{k}" for k in on])
     )
-

@@ -144,53 +144,49 @@ def access_audit(spark, d):
     return governance.access_audit(principals, grants(spark, d), names, secrets, connections, classification)
 
 
-# Query text made of the rows of part: one statement per part, in the source dialects.
-_TSQL = """
-q AS (SELECT p_partkey, 'SELECT ' || CASE WHEN p_size > 25 THEN 'TOP ' || p_size || ' ' ELSE '' END || 'ISNULL([' || p_type || '],''' || p_name ||
-             '''), len(name), GetDate() FROM dbo.' || replace(p_brand, '#', '_') || ' WHERE id = newid( )' AS sql_text FROM part)"""
+# Query text made of the rows of part, one statement per part, in the source dialects. The oracles build the expected
+# text from the same columns, not by rewriting.
+_BRAND = "replace(p_brand, '#', '_')"
+_TSQL = f"""
+q AS (SELECT p_partkey, 'SELECT ' || CASE WHEN p_size > 25 THEN 'TOP (' || p_size || ') ' ELSE '' END || 'ISNULL ([' || p_type || '],''' || p_name ||
+             '''), len(name), ''len(x) [y]'', [unit price], GetDate( ) ' || CASE WHEN p_size % 3 = 0 THEN ', CONVERT(int, a)' ELSE '' END ||
+             ' FROM [dbo].' || {_BRAND} || ' WHERE id = newid( ) -- GETDATE()' AS sql_text,
+             'SELECT ' || CASE WHEN p_size > 25 THEN 'TOP (' || p_size || ') ' ELSE '' END || 'coalesce(' || p_type || ',''' || p_name ||
+             '''), length(name), ''len(x) [y]'', `unit price`, current_timestamp() ' || CASE WHEN p_size % 3 = 0 THEN ', CONVERT(int, a)' ELSE '' END ||
+             ' FROM dbo.' || {_BRAND} || ' WHERE id = uuid() -- GETDATE()' AS translated,
+             concat_ws(';', CASE WHEN p_size > 25 THEN 'TOP' END, CASE WHEN p_size % 3 = 0 THEN 'CONVERT' END) AS needs_review FROM part)"""
 
 
 def _tsql(spark, d) -> DataFrame:
-    top = F.when(F.col("p_size") > 25, F.concat(F.lit("TOP "), F.col("p_size").cast("string"), F.lit(" "))).otherwise("")
+    top = F.when(F.col("p_size") > 25, F.concat(F.lit("TOP ("), F.col("p_size").cast("string"), F.lit(") "))).otherwise("")
+    convert = F.when(F.col("p_size") % 3 == 0, ", CONVERT(int, a)").otherwise("")
     return read_table(spark, d, "part").select("p_partkey", F.concat(
-        F.lit("SELECT "), top, F.lit("ISNULL(["), "p_type", F.lit("],'"), "p_name", F.lit("'), len(name), GetDate() FROM dbo."),
-        F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(" WHERE id = newid( )"),
+        F.lit("SELECT "), top, F.lit("ISNULL (["), "p_type", F.lit("],'"), "p_name",
+        F.lit("'), len(name), 'len(x) [y]', [unit price], GetDate( ) "), convert, F.lit(" FROM [dbo]."),
+        F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(" WHERE id = newid( ) -- GETDATE()"),
     ).alias("sql_text"))
 
 
-def _chain(col: str, rewrites) -> str:
-    for pattern, to in rewrites:
-        body, flags = (pattern[4:], "gi") if pattern.startswith("(?i)") else (pattern, "g")
-        col = f"regexp_replace({col}, '{body.replace(chr(39), chr(39) * 2)}', '{to.replace('$1', chr(92) + '1')}', '{flags}')"
-    return col
-
-
-@query("translate_queries", f"""
-WITH {_TSQL}
-SELECT p_partkey, sql_text, {_chain('sql_text', translate.TSQL_REWRITES)} AS translated,
-       CASE WHEN regexp_matches(sql_text, '\\bTOP\\s+[0-9]+\\b', 'i') THEN 'TOP' ELSE '' END AS needs_review
-FROM q
-""")
+@query("translate_queries", f"WITH {_TSQL} SELECT * FROM q")
 def translate_tsql(spark, d):
     return translate.translate_queries(_tsql(spark, d), "sql_text", "tsql")
 
 
-_PG = """
-q AS (SELECT p_partkey, 'SELECT ''' || p_name || '''::text, ' || p_size || '::int8, price::numeric, now( ) FROM mart.sales_by_day WHERE name ' ||
-             CASE WHEN p_size > 25 THEN 'ILIKE' ELSE 'LIKE' END || ' ''' || p_type || '''' AS sql_text FROM part)"""
-
-
-@query("translate_postgres", f"""
-WITH {_PG}
-SELECT p_partkey, regexp_replace({_chain('sql_text', translate.POSTGRES_REWRITES)}, 'mart\\.sales_by_day', 'gold.daily', 'gi') AS translated,
-       CASE WHEN regexp_matches(sql_text, '\\bILIKE\\b', 'i') THEN 'ILIKE' ELSE '' END AS needs_review
-FROM q
+@query("translate_postgres", """
+SELECT p_partkey, 'SELECT CAST(''' || p_name || ''' AS STRING), CAST((' || p_size || ' + 1) AS BIGINT), CAST(sum(price) AS DECIMAL(12,2)), ' ||
+       '''now() at noon'', current_timestamp(), left(CAST(code AS STRING), 3), CAST(CAST(s.x AS INT) AS DOUBLE), `Odd Name` FROM gold.daily WHERE name ' ||
+       CASE WHEN p_size > 25 THEN 'ILIKE' ELSE 'LIKE' END || ' ''' || p_type || ''' AND tag <> ''mart.sales_by_day''' ||
+       CASE WHEN p_size % 3 = 0 THEN ' AND list[1] = nextval(''s'')' ELSE '' END AS translated,
+       CASE WHEN p_size % 3 = 0 THEN 'ARRAY;NEXTVAL' ELSE '' END AS needs_review
+FROM part
 """)
 def translate_postgres(spark, d):
     like = F.when(F.col("p_size") > 25, "ILIKE").otherwise("LIKE")
+    odd = F.when(F.col("p_size") % 3 == 0, " AND list[1] = nextval('s')").otherwise("")
     q = read_table(spark, d, "part").select("p_partkey", F.concat(
-        F.lit("SELECT '"), "p_name", F.lit("'::text, "), F.col("p_size").cast("string"),
-        F.lit("::int8, price::numeric, now( ) FROM mart.sales_by_day WHERE name "), like, F.lit(" '"), "p_type", F.lit("'"),
+        F.lit("SELECT '"), "p_name", F.lit("'::text, ("), F.col("p_size").cast("string"),
+        F.lit(" + 1)::int8, sum(price)::numeric(12,2), 'now() at noon', now( ), code::varchar(3), s.x::int::double precision, \"Odd Name\" "
+              "FROM mart.sales_by_day WHERE name "), like, F.lit(" '"), "p_type", F.lit("' AND tag <> 'mart.sales_by_day'"), odd,
     ).alias("sql_text"))
     out = translate.translate_queries(q, "sql_text", "postgres")
     return out.select(

@@ -392,8 +392,7 @@ WITH {_DIFF_SQL},
 e AS (SELECT c.*, coalesce(j.sd, j.bd) AS event_time FROM cells c JOIN j ON c.o_orderkey = j.o_orderkey)
 SELECT o_orderkey, change, column_name,
        CASE WHEN o_orderkey % 303 = 0 AND column_name = 'o_orderstatus' THEN 'LEGACY-BUG'
-            WHEN change = 'changed' AND (lower(trim(src_value)) = lower(trim(build_value))
-                 OR round(TRY_CAST(src_value AS DECIMAL(38,6)), 1) = round(TRY_CAST(build_value AS DECIMAL(38,6)), 1)) THEN 'TYPE-NUANCE'
+            WHEN change = 'changed' AND lower(trim(src_value)) = lower(trim(build_value)) THEN 'TYPE-NUANCE'
             WHEN change <> 'changed' AND event_time <= {_PREV} THEN 'LATE-DATA'
             WHEN change <> 'changed' AND event_time >= {_WM} - INTERVAL 30 DAY THEN 'TIMING'
             WHEN event_time > {_PREV} THEN 'INCREMENTAL-LOGIC'

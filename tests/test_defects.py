@@ -177,12 +177,15 @@ def test_drift_reasons(spark, base):
         (7, "changed", "qty", "1", "2", dt.datetime(2024, 1, 2)),
         (8, "changed", "status", "O", "F", dt.datetime(2024, 1, 2)),
     ], "id int, change string, column_name string, src_value string, build_value string, event_time timestamp_ntz")
-    waived = spark.createDataFrame([(8, "status", "LEGACY-BUG")], "id int, column_name string, reason_code string")
-    out = diff.drift_reason(cells, t, "event_time", mistyped=["qty"], waivers=waived)
-    assert [r["reason_code"] for r in out.orderBy("id").collect()] == [
-        "TYPE-NUANCE", "TYPE-NUANCE", "LATE-DATA", "TIMING", "INCREMENTAL-LOGIC", "TRANSLATION", "SCHEMA", "LEGACY-BUG",
-    ]
-    assert {r["reason_code"] for r in out.collect()} <= set(diff.REASON_CODES)
+    waived = spark.createDataFrame([(8, "status", "LEGACY-BUG"), (8, "status", "SOURCE-CHANGE")], "id int, column_name string, reason_code string")
+    rest = ["LATE-DATA", "TIMING", "INCREMENTAL-LOGIC", "TRANSLATION", "SCHEMA", "LEGACY-BUG"]
+    for scales, second in ((None, "TRANSLATION"), ({"price": 2}, "TYPE-NUANCE"), ({"price": 3}, "TRANSLATION"), ({"other": 1}, "TRANSLATION")):
+        out = diff.drift_reason(cells, t, "event_time", mistyped=["qty"], waivers=waived, scales=scales)
+        assert [r["reason_code"] for r in out.orderBy("id").collect()] == ["TYPE-NUANCE", second, *rest]
+        assert {r["reason_code"] for r in out.collect()} <= set(diff.REASON_CODES)
+    null_key = cells.where("id = 6").withColumn("id", F.lit(None).cast("int"))
+    pardon = spark.createDataFrame([(None, "status", "LEGACY-BUG")], "id int, column_name string, reason_code string")
+    assert diff.drift_reason(null_key, t, "event_time", waivers=pardon).first()["reason_code"] == "LEGACY-BUG"
 
 
 def test_tolerance(spark):

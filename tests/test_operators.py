@@ -391,14 +391,48 @@ def test_access_gate(spark):
     assert audit == {"unknown_principal": "bob"}
 
 
-def test_translation(spark):
-    q = spark.createDataFrame([("SELECT now()::timestamptz, x::double precision, current_timestamp FROM a WHERE b ILIKE 'c' AND nextval('s') > 0",)], "q string")
-    r = translate.translate_queries(q, "q", "postgres").first()
-    assert r["translated"].startswith("SELECT CAST(current_timestamp() AS TIMESTAMP)") or "current_timestamp()" in r["translated"]
-    assert "CAST(x AS DOUBLE)" in r["translated"] and r["needs_review"] == "ILIKE;nextval"
-    t = spark.createDataFrame([("FROM dbo.Sales s JOIN dbo.SalesTax x JOIN xdbo.Sales",)], "q string")
-    got = t.select(translate.repoint_tables(F.col("q"), {"dbo.sales": "gold.sales"}).alias("q")).first()["q"]
-    assert got == "FROM gold.sales s JOIN dbo.SalesTax x JOIN xdbo.Sales"
+def parses(spark, sql: str) -> bool:
+    try:
+        spark._jsparkSession.sessionState().sqlParser().parseQuery(sql)
+        return True
+    except Exception:  # noqa: BLE001 - any parse error
+        return False
+
+
+@pytest.mark.parametrize("dialect,text,want", [
+    ("postgres", "(a+b)::int", "CAST((a+b) AS INT)"), ("postgres", "sum(x)::int", "CAST(sum(x) AS INT)"),
+    ("postgres", "x::numeric(10,2)", "CAST(x AS DECIMAL(10,2))"), ("postgres", "c::varchar(10)", "left(CAST(c AS STRING), 10)"),
+    ("postgres", "'call now() at noon'", "'call now() at noon'"), ("postgres", "now ( )::timestamptz", "CAST(current_timestamp() AS TIMESTAMP)"),
+    ("postgres", "x::int::double precision", "CAST(CAST(x AS INT) AS DOUBLE)"), ("postgres", "a and (b)::bool", "a and CAST((b) AS BOOLEAN)"),
+    ("postgres", "'it''s'::text -- x::int", "CAST('it''s' AS STRING) -- x::int"), ("postgres", "t.\"My Col\"::text", "CAST(t.`My Col` AS STRING)"),
+    ("postgres", "f(g(x), ')')::date", "CAST(f(g(x), ')') AS DATE)"), ("postgres", "x RLIKE 'a\\d'", "x RLIKE 'a\\\\d'"),
+    ("postgres", "b ILIKE 'c' AND string_agg(x, ',') = ''", "b ILIKE 'c' AND string_agg(x, ',') = ''"),
+    ("tsql", "ISNULL([my col], '[x]')", "coalesce(`my col`, '[x]')"), ("tsql", "LEN(GETDATE())", "length(current_timestamp())"),
+    ("tsql", "s.len + len_x", "s.len + len_x"),
+])
+def test_translation_of_code(spark, dialect, text, want):
+    got, review = translate.translate_text(text, dialect)
+    assert (got, review) == (want, "") and parses(spark, f"SELECT {got}")
+
+
+@pytest.mark.parametrize("dialect,text,flags", [
+    ("postgres", "a[1]", "ARRAY"), ("postgres", "x::int[]", "ARRAY;CAST int[]"), ("postgres", "x::uuid", "CAST uuid"),
+    ("postgres", "nextval('s') + E'a'", "PREFIXED_LITERAL;NEXTVAL"), ("postgres", "$$a$$", "DOLLAR_QUOTE"),
+    ("tsql", "SELECT TOP 5 x", "TOP"), ("tsql", "SELECT TOP (10) x", "TOP"), ("tsql", "CONVERT(int, x)", "CONVERT"),
+    ("tsql", "DATEADD(day, 1, d)", "DATEADD"), ("tsql", "a[1]", "SUBSCRIPT"), ("tsql", "@v + #t", "VARIABLE;TEMP_TABLE"),
+])
+def test_translation_names_what_it_leaves(dialect, text, flags):
+    got, review = translate.translate_text(text, dialect)
+    assert got == text and review == flags
+
+
+def test_translation_of_tables(spark):
+    q = spark.createDataFrame([("SELECT x::int FROM dbo.Sales s JOIN dbo.SalesTax x JOIN xdbo.Sales WHERE c = 'dbo.sales' AND y.dbo.sales = 1",), (None,)], "q string")
+    r = translate.translate_queries(q, "q", "postgres").collect()
+    assert r[0]["translated"].startswith("SELECT CAST(x AS INT) FROM") and r[1]["translated"] is None and r[1]["needs_review"] == ""
+    got = q.select(translate.repoint_tables(F.col("q"), {"dbo.sales": "gold.sales"}).alias("q")).collect()
+    assert got[0]["q"] == "SELECT x::int FROM gold.sales s JOIN dbo.SalesTax x JOIN xdbo.Sales WHERE c = 'dbo.sales' AND y.dbo.sales = 1"
+    assert got[1]["q"] is None
 
 
 # --- certification ----------------------------------------------------------
