@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tableproof.operators.parity import CHECKS, SAMPLE_CHECKS
+from tableproof.operators.parity import CHECKS, PROFILES, SAMPLE_CHECKS
 
 
 def _green(env: str, checks: Sequence[str], checkpoint: str | None = None) -> Column:
@@ -33,18 +33,32 @@ def latest_attempt(results: DataFrame) -> DataFrame:
 
 def pipeline_gate(
     results: DataFrame,
+    contract: DataFrame | None = None,
     checkpoints: Sequence[str] = ("T+7", "T+14"),
     require_both: bool = True,
     require_soak: bool = True,
 ) -> DataFrame:
-    """State per pipeline from its check rows: BLOCKED, PROVISIONAL or CERTIFIED."""
-    soak = [_green("soak", CHECKS, c) for c in checkpoints]
-    per = latest_attempt(results).groupBy("pipeline").agg(
+    """State per pipeline from its check rows: BLOCKED, PROVISIONAL or CERTIFIED.
+
+    Checks are folded per table, and a pipeline is as green as its least table. ``contract``
+    (pipeline, table_name) names the tables that must be proved: one without rows is red, and
+    so is a pipeline that has none. Soak checkpoints need the delta check beside the ten.
+    """
+    soak = [_green("soak", PROFILES["soak"], c) for c in checkpoints]
+    tables = latest_attempt(results).groupBy("pipeline", "table_name").agg(
         _green("dev", SAMPLE_CHECKS).alias("dev_ok"),
         _green("sit", CHECKS).alias("sit_ok"),
         (reduce(lambda a, b: a & b, soak) if soak else F.lit(False)).alias("soak_ok"),
         (F.count_if(F.col("env") == "soak") > 0).alias("soaked"),
     )
+    if contract is not None:
+        wanted = contract.select("pipeline", "table_name").distinct()
+        tables = wanted.join(tables, ["pipeline", "table_name"], "full")
+    red = F.lit(False)
+    per = tables.groupBy("pipeline").agg(
+        *[F.bool_and(F.coalesce(c, red)).alias(c) for c in ("dev_ok", "sit_ok", "soak_ok")],
+        F.bool_or(F.coalesce("soaked", red)).alias("soaked"),
+    )
     build_ok = F.col("dev_ok") & F.col("sit_ok") if require_both else F.col("sit_ok")
     soaking = F.lit(require_soak) & ~F.col("soak_ok")
     return per.select(
@@ -58,11 +72,25 @@ def pipeline_gate(
     )
 
 
-def certification_record(gates: DataFrame, watermarks: DataFrame, by: str, evidence: Column) -> DataFrame:
-    """Frozen evidence row of every certified pipeline (``watermarks``: pipeline, watermark)."""
-    return gates.where("status = 'CERTIFIED'").join(watermarks, "pipeline", "left").select(
+def certification_record(
+    gates: DataFrame, watermarks: DataFrame, by: str, evidence: Column, soak: DataFrame | None = None,
+    checkpoints: Sequence[str] = ("T+7", "T+14"),
+) -> DataFrame:
+    """Frozen evidence row of every certified pipeline (``watermarks``: pipeline, watermark).
+
+    ``soak`` (pipeline, checkpoint, passed) gives ``soak_windows``, the green checkpoints in their order.
+    """
+    out = gates.where("status = 'CERTIFIED'").join(watermarks, "pipeline", "left")
+    if soak is None:
+        out = out.withColumn("soak_windows", F.lit(""))
+    else:
+        green = soak.groupBy("pipeline").agg(F.concat_ws(";", *[
+            F.max(F.when((F.col("checkpoint") == c) & F.col("passed"), c)) for c in checkpoints
+        ]).alias("soak_windows"))
+        out = out.join(green, "pipeline", "left")
+    return out.select(
         "pipeline", "watermark", F.lit(by).alias("certified_by"), evidence.alias("evidence"),
-        F.lit(";".join(CHECKS)).alias("checks"), "status",
+        F.lit(";".join(CHECKS)).alias("checks"), F.coalesce("soak_windows", F.lit("")).alias("soak_windows"), "status",
     )
 
 
@@ -89,9 +117,17 @@ def system_state(gates: DataFrame, reports: DataFrame | None = None) -> DataFram
     )
 
 
-def blocking(gates: DataFrame) -> DataFrame:
-    """What stands in the way: blocked pipelines, or the provisional ones when none is blocked."""
-    worst = gates.select(F.col("pipeline"), F.when(F.col("status") == "CERTIFIED", 2).when(F.col("status") == "PROVISIONAL", 1).otherwise(0).alias("rank"))
+def blocking(gates: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """What stands in the way: blocked pipelines, or, when none is blocked, the provisional ones and the open reports.
+
+    Reports (obj_id, done) show as one entry ``BI:<done>/<total>``.
+    """
+    rank = F.when(F.col("status") == "CERTIFIED", 2).when(F.col("status") == "PROVISIONAL", 1).otherwise(0)
+    worst = gates.select(F.col("pipeline"), rank.alias("rank"))
+    if reports is not None:
+        done = reports.agg(F.count_if("done").alias("d"), F.count("*").alias("n")).where("d < n")
+        entry = F.concat(F.lit("BI:"), F.col("d").cast("string"), F.lit("/"), F.col("n").cast("string"))
+        worst = worst.unionAll(done.select(entry, F.lit(1)))
     least = worst.agg(F.min("rank").alias("least")).where("least < 2")
     return worst.join(F.broadcast(least), F.col("rank") == F.col("least")).select("pipeline")
 

@@ -1,7 +1,8 @@
 """Registered queries: gates, certification states, dashboards, monitors.
 
-The check results come from the data: every customer's orders are one unit of work,
-compared between ``orders`` and its defective build.
+The check results come from the data: every customer is one unit of work with two contracted tables. ``orders`` is
+compared with its defective build; the rows of ``customer`` follow from the account balance, some red, some
+missing, some tables without any row.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from tableproof.operators import certify, diff
-from tableproof.operators.parity import CHECKS, SAMPLE_CHECKS
+from tableproof.operators.parity import CHECKS, PROFILES, SAMPLE_CHECKS
 from tableproof.plans.pair import ORDERS, PAIR_SQL, build, source
 from tableproof.plans.registry import query
-from tableproof.session import fresh_path
+from tableproof.session import fresh_path, materialize
 from tableproof.sources import tables
 from tableproof.sources.tables import read_table
 
@@ -26,12 +27,14 @@ _RULES = {
 }
 
 
-def _red(check: str) -> str:
+def _red(check: str, point: str) -> str:
+    if check == "soak_delta_parity":
+        return "(missing + extra > 0)" if point == "T+7" else "(missing + extra + changed > 0)"
     return f"({_RULES[check]})" if check in _RULES else "false"
 
 
 def units(spark, d) -> DataFrame:
-    """Per customer: differing rows by kind, and the last order."""
+    """Per customer: differing rows by kind, and the last order. Written: a query compares the tables once."""
     drift = diff.row_diff(source(spark, d), build(spark, d), ORDERS).select(
         F.coalesce("src.o_custkey", "build.o_custkey").alias("o_custkey"),
         F.when(F.col("change") == "missing_in_build", F.col("n_rows")).otherwise(0).alias("missing"),
@@ -41,33 +44,57 @@ def units(spark, d) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     orders = source(spark, d).select("o_custkey", zero.alias("missing"), zero.alias("extra"), zero.alias("changed"), F.col("o_orderdate").alias("last_order"))
     both = orders.unionByName(drift, allowMissingColumns=True)
-    return both.groupBy("o_custkey").agg(
+    per = both.groupBy("o_custkey").agg(
         F.sum("missing").alias("missing"), F.sum("extra").alias("extra"), F.sum("changed").alias("changed"),
         F.max("last_order").alias("last_order"),
     ).withColumn("pipeline", F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")))
+    return materialize(per, "units")
 
 
 _RUNS = [
-    ("dev", "build", SAMPLE_CHECKS), ("sit", "build", CHECKS), ("soak", "T+7", CHECKS), ("soak", "T+14", CHECKS),
+    ("dev", "build", SAMPLE_CHECKS), ("sit", "build", CHECKS), ("soak", "T+7", PROFILES["soak"]), ("soak", "T+14", PROFILES["soak"]),
 ]
+_CONTRACT = ("orders", "customer")
 
 
-def check_results(spark, d) -> DataFrame:
-    """Result rows of every unit. Units without recent orders never reach T+14; units whose
-    only trouble is changed values fix it at the second attempt of the dev sample check."""
-    u = units(spark, d)
-    rows = [
-        F.struct(
-            F.lit(env).alias("env"), F.lit(point).alias("checkpoint"), F.lit(check).alias("check_name"), F.lit(1).alias("attempt"),
-            (~F.expr(_red(check))).alias("passed"),
-        )
-        for env, point, checks in _RUNS for check in checks
-    ]
+def contract(u: DataFrame) -> DataFrame:
+    return u.select("pipeline", F.explode(F.array(*[F.lit(t) for t in _CONTRACT])).alias("table_name"))
+
+
+def check_results(spark, d, u: DataFrame) -> DataFrame:
+    """Result rows of every unit's two tables. Units without recent orders never reach T+14; units whose only trouble
+    is changed values fix it at the second attempt of the dev sample check."""
+    def runs(passed) -> list:
+        return [
+            F.struct(
+                F.lit(env).alias("env"), F.lit(point).alias("checkpoint"), F.lit(check).alias("check_name"), F.lit(1).alias("attempt"),
+                passed(env, point, check).alias("passed"),
+            )
+            for env, point, checks in _RUNS for check in checks
+        ]
+
+    rows = runs(lambda env, point, check: ~F.expr(_red(check, point)))
     rows.append(F.struct(
         F.lit("dev").alias("env"), F.lit("build").alias("checkpoint"), F.lit("row_level_sample").alias("check_name"),
         F.lit(2).alias("attempt"), F.expr("missing + extra = 0").alias("passed"),
     ))
-    out = u.select("pipeline", F.lit("orders").alias("table_name"), "last_order", F.inline(F.array(*rows)))
+    orders = u.select("pipeline", F.lit("orders").alias("table_name"), "last_order", F.inline(F.array(*rows)))
+
+    balance = F.col("c_acctbal")
+
+    def own(env, point, check):
+        if (env, check) == ("sit", "row_level_sample"):
+            return balance >= 0
+        if (point, check) == ("T+7", "soak_delta_parity"):
+            return (balance < 500) | (balance >= 1000)
+        return F.lit(True)
+
+    balances = read_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    customers = u.join(balances, "o_custkey").where(balance <= 9000).select(
+        "pipeline", F.lit("customer").alias("table_name"), "last_order", "c_acctbal", F.inline(F.array(*runs(own)))
+    )
+    gap = (F.col("env") == "dev") & (F.col("check_name") == "idempotency") & (balance >= 0) & (balance < 500)
+    out = orders.unionByName(customers.where(~gap).drop("c_acctbal"))
     recent = F.col("last_order") >= F.lit("2001-01-01").cast("timestamp_ntz")
     return out.where((F.col("checkpoint") != "T+14") | recent)
 
@@ -77,7 +104,10 @@ def _values(rows) -> str:
 
 
 _ROWS = [(e, p, c, 1) for e, p, checks in _RUNS for c in checks]
-_CASE = "CASE check_name " + " ".join(f"WHEN '{c}' THEN NOT ({r})" for c, r in _RULES.items()) + " ELSE true END"
+_CASE = (
+    "CASE check_name " + " ".join(f"WHEN '{c}' THEN NOT ({r})" for c, r in _RULES.items())
+    + " WHEN 'soak_delta_parity' THEN missing + extra + CASE WHEN checkpoint = 'T+14' THEN changed ELSE 0 END = 0 ELSE true END"
+)
 RESULTS_SQL = f"""
 {PAIR_SQL},
 dr AS (SELECT coalesce(s.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN b.o_orderkey IS NULL THEN 1 ELSE 0 END AS missing,
@@ -86,18 +116,28 @@ dr AS (SELECT coalesce(s.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN b.o_ord
        FROM s FULL JOIN b ON s.o_orderkey = b.o_orderkey),
 un AS (SELECT o_custkey, 'cust_' || o_custkey AS pipeline, sum(missing) AS missing, sum(extra) AS extra, sum(changed) AS changed, max(last_order) AS last_order
        FROM dr GROUP BY o_custkey),
+runs AS (SELECT * FROM (VALUES {_values(_ROWS)}) v(env, checkpoint, check_name, attempt)),
 res AS (
   SELECT pipeline, 'orders' AS table_name, env, checkpoint, check_name, CAST(attempt AS INTEGER) AS attempt, {_CASE} AS passed, last_order
-  FROM un, (VALUES {_values(_ROWS)}) v(env, checkpoint, check_name, attempt)
-  WHERE checkpoint <> 'T+14' OR last_order >= TIMESTAMP '2001-01-01'
-  UNION ALL SELECT pipeline, 'orders', 'dev', 'build', 'row_level_sample', 2, missing + extra = 0, last_order FROM un),
-latest AS (SELECT pipeline, env, checkpoint, check_name, arg_max(passed, attempt) AS passed FROM res GROUP BY ALL),
-g0 AS (SELECT pipeline,
+  FROM un, runs WHERE checkpoint <> 'T+14' OR last_order >= TIMESTAMP '2001-01-01'
+  UNION ALL SELECT pipeline, 'orders', 'dev', 'build', 'row_level_sample', 2, missing + extra = 0, last_order FROM un
+  UNION ALL SELECT pipeline, 'customer', env, checkpoint, check_name, CAST(attempt AS INTEGER),
+         NOT (env = 'sit' AND check_name = 'row_level_sample' AND c_acctbal < 0)
+         AND NOT (checkpoint = 'T+7' AND check_name = 'soak_delta_parity' AND c_acctbal >= 500 AND c_acctbal < 1000), last_order
+  FROM un JOIN customer ON c_custkey = o_custkey, runs
+  WHERE c_acctbal <= 9000 AND NOT (env = 'dev' AND check_name = 'idempotency' AND c_acctbal >= 0 AND c_acctbal < 500)
+    AND (checkpoint <> 'T+14' OR last_order >= TIMESTAMP '2001-01-01')),
+latest AS (SELECT pipeline, table_name, env, checkpoint, check_name, arg_max(passed, attempt) AS passed FROM res GROUP BY ALL),
+g1 AS (SELECT pipeline, table_name,
          count(*) FILTER (env = 'dev' AND passed AND check_name IN ({', '.join(f"'{c}'" for c in SAMPLE_CHECKS)})) = {len(SAMPLE_CHECKS)} AS dev_ok,
          count(*) FILTER (env = 'sit' AND passed) = {len(CHECKS)} AS sit_ok,
-         count(*) FILTER (env = 'soak' AND passed) = {2 * len(CHECKS)} AS soak_ok,
+         count(*) FILTER (checkpoint = 'T+7' AND passed) = {len(CHECKS) + 1} AND count(*) FILTER (checkpoint = 'T+14' AND passed) = {len(CHECKS) + 1} AS soak_ok,
          count(*) FILTER (env = 'soak') > 0 AS soaked
-       FROM latest GROUP BY pipeline),
+       FROM latest GROUP BY ALL),
+g0 AS (SELECT c.pipeline, bool_and(coalesce(dev_ok, false)) AS dev_ok, bool_and(coalesce(sit_ok, false)) AS sit_ok,
+         bool_and(coalesce(soak_ok, false)) AS soak_ok, bool_or(coalesce(soaked, false)) AS soaked
+       FROM (SELECT pipeline, unnest({list(_CONTRACT)}) AS table_name FROM un) c LEFT JOIN g1 ON g1.pipeline = c.pipeline AND g1.table_name = c.table_name
+       GROUP BY c.pipeline),
 gates AS (SELECT pipeline, CASE WHEN dev_ok THEN 'PASS' ELSE 'FAIL' END AS dev_state, CASE WHEN sit_ok THEN 'PASS' ELSE 'FAIL' END AS sit_state,
             CASE WHEN NOT (dev_ok AND sit_ok) THEN 'PENDING' WHEN soak_ok THEN 'PASS' WHEN soaked THEN 'FAIL' ELSE 'PENDING' END AS soak_state,
             CASE WHEN NOT (dev_ok AND sit_ok) THEN 'BLOCKED' WHEN soak_ok THEN 'CERTIFIED' ELSE 'PROVISIONAL' END AS status
@@ -106,26 +146,36 @@ gates AS (SELECT pipeline, CASE WHEN dev_ok THEN 'PASS' ELSE 'FAIL' END AS dev_s
 
 @query("check_results", f"WITH {RESULTS_SQL} SELECT pipeline, table_name, env, checkpoint, check_name, attempt, passed FROM res")
 def check_results_rows(spark, d):
-    return check_results(spark, d).drop("last_order")
+    return check_results(spark, d, units(spark, d)).drop("last_order")
 
 
-def gates(spark, d) -> DataFrame:
-    return certify.pipeline_gate(check_results(spark, d))
+def gates(spark, d, u: DataFrame) -> DataFrame:
+    return certify.pipeline_gate(check_results(spark, d, u), contract(u))
 
 
 @query("certification_gate", f"WITH {RESULTS_SQL} SELECT * FROM gates")
 def certification_gate(spark, d):
-    return gates(spark, d)
+    return gates(spark, d, units(spark, d))
+
+
+_SOAK = """
+soak AS (SELECT pipeline, checkpoint, CAST(last_order AS DATE) + CAST(days AS INTEGER) AS ran_at,
+           CAST(missing + extra + CASE WHEN checkpoint = 'T+14' THEN changed ELSE 0 END AS BIGINT) AS drift_rows,
+           missing + extra + CASE WHEN checkpoint = 'T+14' THEN changed ELSE 0 END = 0 AS passed
+         FROM un, (VALUES ('T+7', 7), ('T+14', 14)) v(checkpoint, days))"""
 
 
 @query("certification_record", f"""
-WITH {RESULTS_SQL}
-SELECT g.pipeline, last_order AS watermark, 'parity' AS certified_by, 'checks/' || g.pipeline AS evidence, '{';'.join(CHECKS)}' AS checks, status
+WITH {RESULTS_SQL}, {_SOAK}
+SELECT g.pipeline, last_order AS watermark, 'parity' AS certified_by, 'checks/' || g.pipeline AS evidence, '{';'.join(CHECKS)}' AS checks,
+       (SELECT coalesce(string_agg(checkpoint, ';' ORDER BY ran_at), '') FROM soak WHERE soak.pipeline = g.pipeline AND passed) AS soak_windows, status
 FROM gates g JOIN un ON un.pipeline = g.pipeline WHERE status = 'CERTIFIED'
 """)
 def certification_record(spark, d):
-    marks = units(spark, d).select("pipeline", F.col("last_order").alias("watermark"))
-    return certify.certification_record(gates(spark, d), marks, "parity", F.concat(F.lit("checks/"), "pipeline"))
+    u = units(spark, d)
+    marks = u.select("pipeline", F.col("last_order").alias("watermark"))
+    evidence = F.concat(F.lit("checks/"), "pipeline")
+    return certify.certification_record(gates(spark, d, u), marks, "parity", evidence, soak_rows(u))
 
 
 # --- reports ----------------------------------------------------------------
@@ -203,7 +253,7 @@ WHERE env = 'sit'
 def write_results(spark, d):
     """The results of a phase, appended to the results table and read back."""
     path = fresh_path(spark, "results")
-    rows = check_results(spark, d).where("env = 'sit'").drop("last_order")
+    rows = check_results(spark, d, units(spark, d)).where("env = 'sit'").drop("last_order")
     tables.write_results(rows.withColumn("reason_code", F.when(~F.col("passed"), "TRANSLATION")), path)
     return spark.read.parquet(path)
 
@@ -232,12 +282,23 @@ SELECT t.*, r.*, CASE WHEN total = 0 OR blocked > 0 THEN 'MIGRATION_IN_PROGRESS'
        ELSE 'SYSTEM_PROVISIONAL' END AS status FROM t, r
 """)
 def system_state(spark, d):
-    return certify.system_state(gates(spark, d), reports(spark, d))
+    return certify.system_state(gates(spark, d, units(spark, d)), reports(spark, d))
 
 
 @query("blocking", f"WITH {RESULTS_SQL} SELECT pipeline FROM gates WHERE status = 'BLOCKED'")
 def blocking(spark, d):
-    return certify.blocking(gates(spark, d))
+    return certify.blocking(gates(spark, d, units(spark, d)), reports(spark, d))
+
+
+@query("blocking_reports", f"""
+WITH {RESULTS_SQL}, {_REPORTS}
+SELECT pipeline FROM gates WHERE status = 'PROVISIONAL'
+UNION ALL SELECT 'BI:' || count(*) FILTER (done) || '/' || count(*) FROM rep
+""")
+def blocking_reports(spark, d):
+    """What is left once nothing is blocked any more: provisional units, and the reports as one entry."""
+    left = gates(spark, d, units(spark, d)).where("status <> 'BLOCKED'")
+    return certify.blocking(left, reports(spark, d))
 
 
 def waves(spark, d) -> DataFrame:
@@ -254,17 +315,17 @@ SELECT coalesce(wave, 99) AS wave, count(*) FILTER (status = 'CERTIFIED') AS cer
 FROM gates g LEFT JOIN wv ON wv.pipeline = g.pipeline GROUP BY 1
 """)
 def by_wave(spark, d):
-    return certify.by_wave(gates(spark, d), waves(spark, d))
+    return certify.by_wave(gates(spark, d, units(spark, d)), waves(spark, d))
 
 
 # --- dashboards -------------------------------------------------------------
 
-def jobs(spark, d) -> DataFrame:
+def jobs(spark, d, u: DataFrame) -> DataFrame:
     """Status row per unit: its gate, wave and soak dates."""
-    u = units(spark, d).select("pipeline", F.col("last_order").alias("soak_started_at"))
+    started = u.select("pipeline", F.col("last_order").alias("soak_started_at"))
     due = F.col("soak_started_at") + F.expr("INTERVAL 14 DAYS")
     return (
-        gates(spark, d).join(waves(spark, d), "pipeline", "left").join(u, "pipeline")
+        gates(spark, d, u).join(waves(spark, d), "pipeline", "left").join(started, "pipeline")
         .withColumn("wave", F.coalesce("wave", F.lit(99))).withColumn("soak_due_at", due)
         .withColumn("status", F.when((F.col("status") == "PROVISIONAL") & (F.col("soak_state") == "FAIL"), "SOAKING").otherwise(F.col("status")))
     )
@@ -284,7 +345,7 @@ SELECT wave, count(*) AS total, count(*) FILTER (dev_state = 'PASS') AS dev_pass
 FROM jobs GROUP BY wave
 """)
 def v_progress(spark, d):
-    return certify.v_progress(jobs(spark, d))
+    return certify.v_progress(jobs(spark, d, units(spark, d)))
 
 
 @query("v_funnel", f"""
@@ -294,19 +355,18 @@ SELECT count(*) AS pipelines, count(*) FILTER (dev_state = 'PASS') AS cleared_de
 FROM jobs
 """)
 def v_funnel(spark, d):
-    return certify.v_funnel(jobs(spark, d))
+    return certify.v_funnel(jobs(spark, d, units(spark, d)))
 
 
 @query("v_drift", f"""
 WITH {RESULTS_SQL} SELECT pipeline, table_name, env, checkpoint, check_name, attempt, passed FROM res WHERE NOT passed
 """)
 def v_drift(spark, d):
-    return certify.v_drift(check_results(spark, d)).drop("last_order")
+    return certify.v_drift(check_results(spark, d, units(spark, d))).drop("last_order")
 
 
-def soak_rows(spark, d) -> DataFrame:
+def soak_rows(u: DataFrame) -> DataFrame:
     """Both checkpoints of every unit; T+7 runs on the unit's state, T+14 only where orders are recent."""
-    u = units(spark, d)
     due = F.explode(F.array(F.struct(F.lit("T+7").alias("checkpoint"), F.lit(7).alias("days")), F.struct(F.lit("T+14").alias("checkpoint"), F.lit(14).alias("days"))))
     rows = u.select("pipeline", "missing", "extra", "changed", "last_order", due.alias("c")).select("*", "c.*")
     drift = F.col("missing") + F.col("extra") + F.when(F.col("checkpoint") == "T+14", F.col("changed")).otherwise(0)
@@ -316,13 +376,6 @@ def soak_rows(spark, d) -> DataFrame:
     )
 
 
-_SOAK = """
-soak AS (SELECT pipeline, checkpoint, CAST(last_order AS DATE) + CAST(days AS INTEGER) AS ran_at,
-           CAST(missing + extra + CASE WHEN checkpoint = 'T+14' THEN changed ELSE 0 END AS BIGINT) AS drift_rows,
-           missing + extra + CASE WHEN checkpoint = 'T+14' THEN changed ELSE 0 END = 0 AS passed
-         FROM un, (VALUES ('T+7', 7), ('T+14', 14)) v(checkpoint, days))"""
-
-
 @query("v_soak_watch", f"""
 WITH {RESULTS_SQL}, {_JOBS}, {_SOAK}
 SELECT j.pipeline, wave, sit_state, soak_state, status, CAST(date_diff('day', DATE '2001-08-01', CAST(soak_due_at AS DATE)) AS INTEGER) AS days_remaining,
@@ -331,14 +384,15 @@ FROM jobs j LEFT JOIN soak ON soak.pipeline = j.pipeline WHERE status IN ('PROVI
 """)
 def v_soak_watch(spark, d):
     today = F.lit(dt.date(2001, 8, 1))
-    return certify.v_soak_watch(jobs(spark, d), soak_rows(spark, d), today).select(
+    u = units(spark, d)
+    return certify.v_soak_watch(jobs(spark, d, u), soak_rows(u), today).select(
         "pipeline", "wave", "sit_state", "soak_state", "status", "days_remaining", "checkpoint", "ran_at", "drift_rows", "passed"
     )
 
 
 @query("restart_soak", f"WITH {RESULTS_SQL}, {_SOAK} SELECT pipeline, max(ran_at) AS soak_start FROM soak WHERE NOT passed GROUP BY pipeline")
 def restart_soak(spark, d):
-    return certify.restart_soak(soak_rows(spark, d))
+    return certify.restart_soak(soak_rows(units(spark, d)))
 
 
 @query("gate_crossings", f"""
@@ -381,7 +435,7 @@ SELECT check_name, count(*) AS runs, count(*) FILTER (NOT passed) AS red,
        CAST(round(CAST(count(*) FILTER (NOT passed) AS DOUBLE) / count(*), 4) AS DECIMAL(6,4)) AS red_rate FROM res GROUP BY check_name
 """)
 def parity_drift(spark, d):
-    return certify.parity_drift(check_results(spark, d))
+    return certify.parity_drift(check_results(spark, d, units(spark, d)))
 
 
 @query("job_success_rate", """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F, types as T
 
 from tableproof import FK, SampleSpec
 from tableproof.operators import certify, filters, governance, lineage, merge, sampling, synth, translate
-from tableproof.operators.parity import CHECKS, SAMPLE_CHECKS, stamp
+from tableproof.operators.parity import CHECKS, PROFILES, SAMPLE_CHECKS, stamp
 from tableproof.sources import extract, tables
 
 DAY = dt.datetime(2024, 1, 1)
@@ -439,7 +439,7 @@ def test_translation_of_tables(spark):
 
 def check_rows(unit, dev=True, sit=True, soak=("T+7", "T+14"), skip=(), soak_ok=True):
     rows = [(unit, "dev", "build", c, dev) for c in SAMPLE_CHECKS] + [(unit, "sit", "build", c, sit) for c in CHECKS if c not in skip]
-    return rows + [(unit, "soak", w, c, soak_ok) for w in soak for c in CHECKS]
+    return rows + [(unit, "soak", w, c, soak_ok) for w in soak for c in PROFILES["soak"]]
 
 
 def test_gates(spark):
@@ -461,6 +461,24 @@ def test_gates(spark):
     assert {r["pipeline"]: r["status"] for r in certify.pipeline_gate(retry).collect()}["red"] == "CERTIFIED"
 
 
+def test_a_pipeline_is_as_green_as_its_least_table(spark):
+    schema = "pipeline string, env string, checkpoint string, check_name string, passed boolean, table_name string, attempt int"
+    full = [(*r, "a", 1) for r in check_rows("p")]
+
+    def state(rows, contract=None):
+        c = None if contract is None else spark.createDataFrame(contract, "pipeline string, table_name string")
+        return {r["pipeline"]: r["status"] for r in certify.pipeline_gate(spark.createDataFrame(rows, schema), c).collect()}
+
+    assert state(full) == {"p": "CERTIFIED"}
+    assert state(full + [("p", "dev", "build", "schema_parity", True, "b", 1)]) == {"p": "BLOCKED"}
+    assert state(full, [("p", "a"), ("p", "b")]) == {"p": "BLOCKED"}
+    assert state(full, [("p", "a"), ("q", "a")]) == {"p": "CERTIFIED", "q": "BLOCKED"}
+    for point in ("T+7", "T+14"):
+        red = [(*r[:4], r[4] and not (r[2] == point and r[3] == "soak_delta_parity"), *r[5:]) for r in full]
+        assert state(red) == {"p": "PROVISIONAL"}
+        assert state([r for r in full if not (r[2] == point and r[3] == "soak_delta_parity")]) == {"p": "PROVISIONAL"}
+
+
 def test_system_states(spark):
     def state(statuses, reports=None):
         g = spark.createDataFrame([(str(i), s) for i, s in enumerate(statuses)], "pipeline string, status string")
@@ -476,6 +494,11 @@ def test_system_states(spark):
     g = spark.createDataFrame([("a", "CERTIFIED"), ("b", "PROVISIONAL")], "pipeline string, status string")
     assert [r["pipeline"] for r in certify.blocking(g).collect()] == ["b"]
     assert certify.blocking(g.where("status = 'CERTIFIED'")).count() == 0
+    reports = spark.createDataFrame([("x", True), ("y", False)], "obj_id string, done boolean")
+    assert sorted(r["pipeline"] for r in certify.blocking(g, reports).collect()) == ["BI:1/2", "b"]
+    blocked = g.unionAll(spark.createDataFrame([("c", "BLOCKED")], g.schema))
+    assert [r["pipeline"] for r in certify.blocking(blocked, reports).collect()] == ["c"]
+    assert certify.blocking(g.where("status = 'CERTIFIED'"), reports.where("done")).count() == 0
 
 
 def test_shared_folder_must_be_named_on_a_cluster():
