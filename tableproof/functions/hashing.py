@@ -47,6 +47,16 @@ def exact_text(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
+def keyed_text(columns: Sequence[str]) -> Column:
+    """Text of a key that differs whenever a value or a null differs: each value behind its length, nulls as ``-``."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+
+
+def is_finite(col: Column) -> Column:
+    return ~F.isnan(col) & (F.abs(col) != float("inf"))
+
+
 def report_text(col: Column, dtype: T.DataType) -> Column:
     """Engine-independent text of a value for reports (doubles at 6 decimals)."""
     if is_fractional(dtype):
@@ -57,9 +67,14 @@ def report_text(col: Column, dtype: T.DataType) -> Column:
 
 
 def exact_sum(col: Column, dtype: T.DataType) -> Column:
-    """Sum that does not depend on the order of rows."""
+    """Sum that does not depend on the order of rows; null where a double in it has no decimal form of 24 digits.
+
+    The sum of doubles is a rounded figure for reports. What decides about equality is
+    the hash sum of the values (``side_summary``), which no rounding touches.
+    """
     if is_fractional(dtype):
-        return F.sum(col.try_cast("decimal(30,6)"))
+        exact = col.try_cast("decimal(30,6)")
+        return F.when(F.count(exact) == F.count(col), F.sum(exact))
     if isinstance(dtype, T.DecimalType):
         return F.sum(col)
     return F.sum(col.cast("decimal(20,0)"))

@@ -7,8 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tableproof.functions.hashing import report_text
-from tableproof.operators.parity import SIGN, differing_keys, key_state, pinned, shared_columns, tagged
+from tableproof.functions.hashing import exact_text, is_fractional, report_text
+from tableproof.operators.parity import SIGN, differing_keys, key_state, pinned, row_keys, shared_columns, tagged
 from tableproof.session import materialize
 from tableproof.target import Target
 
@@ -30,14 +30,21 @@ def row_diff(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
     Keys with row hashes are compared first, which shuffles a few bytes per row. The
     keys that differ are written, so that their size is known, and only their rows
     are fetched and compared value by value: two scans, whatever is done with the
-    result. Equal rows cancel, and rows of a repeated key are never paired.
+    result. Equal rows cancel, and rows of a repeated key are never paired. Without a key
+    whole rows are compared: they are missing or extra, and ``src`` and ``build`` hold them.
     """
     cols = shared_columns(source, build, t)
-    keys = list(t.keys)
+    keys = row_keys(t, cols)
     both = pinned(source, build, t, cols)
     suspects = materialize(differing_keys(key_state(both, keys, cols)).select(*keys), "differing-keys")
     diff = signed_difference(both.join(suspects, _null_safe(both, suspects, keys), "left_semi"), cols)
     diff = materialize(diff, "differing-rows")
+    if not t.keys:
+        whole = F.struct(*cols)
+        return diff.select(
+            F.when(F.col("net") > 0, "missing_in_build").otherwise("extra_in_build").alias("change"), F.abs("net").alias("n_rows"),
+            F.when(F.col("net") > 0, whole).alias("src"), F.when(F.col("net") < 0, whole).alias("build"),
+        )
     values = F.struct(*[F.col(c) for c in cols if c not in keys])
     per_key = diff.groupBy(*keys).agg(
         F.count_if(F.col("net") > 0).alias("s_variants"),
@@ -69,13 +76,22 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]):
 
 
 def column_diff(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
-    """One row per differing cell; whole missing or extra rows show as ``column_name = '*'``."""
+    """One row per differing cell; whole missing or extra rows show as ``column_name = '*'``.
+
+    Without a key every difference is a whole row, shown as JSON.
+    """
+    if not t.keys:
+        return row_diff(source, build, t).select(
+            "change", "n_rows", F.lit("*").alias("column_name"),
+            *[F.to_json(side, {"ignoreNullFields": "false"}).alias(f"{side}_value") for side in ("src", "build")],
+        )
     cols = [c for c in shared_columns(source, build, t) if c not in t.keys]
     types = tagged(source, build, cols).schema
     diff = row_diff(source, build, t)
 
     def text(side: str, c: str):
-        return report_text(F.col(f"{side}.{c}"), types[c].dataType)
+        show = exact_text if is_fractional(types[c].dataType) else report_text
+        return show(F.col(f"{side}.{c}"), types[c].dataType)
 
     cells = F.array(*[
         F.when(

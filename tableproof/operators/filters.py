@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tableproof.functions.hashing import keyed_text, row_hash
 from tableproof.target import Watermark
 
 # Schema name -> layer.
@@ -65,15 +66,8 @@ def layer_of(table: Column, layers: dict[str, str] | None = None) -> Column:
 
 
 def surrogate_key(columns: Sequence[str], digest: str = "xxhash64") -> Column:
-    """Deterministic surrogate for a natural key: stable across runs and partitions."""
-    if digest == "md5":
-        return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
-    return F.xxhash64(*[F.col(c) for c in columns])
-
-
-def rows_with_pattern(columns: Sequence[str], patterns: Sequence[str]) -> list[str]:
-    """Column names that contain one of the patterns, case-insensitively."""
-    return [c for c in columns if any(p in c.lower() for p in patterns)]
+    """Deterministic surrogate for a natural key: stable across runs and partitions, nulls told apart by column."""
+    return F.md5(keyed_text(columns)) if digest == "md5" else row_hash(columns)
 
 
 def late_rows(df: DataFrame, event_col: str, load_col: str, delay: str) -> DataFrame:

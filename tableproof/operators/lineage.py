@@ -99,11 +99,15 @@ def table_dependencies(edges: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_dependencies(io: DataFrame, edges: DataFrame) -> DataFrame:
-    """Producer -> consumer through a table, and child -> parent for executed pipelines."""
+def pipelines_of(objects: DataFrame) -> DataFrame:
+    return objects.where(F.col("type").isin(*PIPELINE_TYPES)).select(F.col("object_key").alias("pipeline")).distinct()
+
+
+def pipeline_dependencies(io: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Producer -> consumer through a table, and child -> parent for executed pipelines, with or without own tables."""
     w = io.where("mode = 'write'").select(F.col("pipeline").alias("src"), "table")
     r = io.where("mode = 'read'").select(F.col("pipeline").alias("dst"), "table")
-    known = io.select("pipeline").distinct()
+    known = pipelines_of(objects)
     runs = of_type(edges, EXECUTES).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     for end in ("src", "dst"):
         runs = runs.join(known.withColumnRenamed("pipeline", end), end, "left_semi").select("src", "dst")
@@ -327,18 +331,18 @@ def order_audit(tables: DataFrame, reads: DataFrame, writes: DataFrame, publishe
     )
 
 
-def references(io: DataFrame, edges: DataFrame) -> DataFrame:
-    """(pipeline, table): reads, configuration reads included."""
+def references(io: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """(pipeline, table): reads, configuration reads of any pipeline included."""
     config = table_edges(edges, CONFIG).select(F.col("src").alias("pipeline"), "table")
-    known = io.select("pipeline").distinct()
+    known = pipelines_of(objects)
     return io.where("mode = 'read'").select("pipeline", "table").unionAll(
         config.join(known, "pipeline", "left_semi")
     ).distinct()
 
 
-def upstream_closure(io: DataFrame, edges: DataFrame) -> DataFrame:
+def upstream_closure(io: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
     """(pipeline, table): everything a pipeline refers to, through the producers of what it reads."""
-    refs = references(io, edges)
+    refs = references(io, edges, objects)
 
     def table(c: str):
         return F.concat(F.lit("t:"), F.col(c))
@@ -368,7 +372,7 @@ def resolved_references(closure: DataFrame, io: DataFrame, objects: DataFrame) -
 
 
 def traversability_score(closure: DataFrame, io: DataFrame, objects: DataFrame) -> DataFrame:
-    """Share of a pipeline's references that resolve, and the first that does not."""
+    """Share of a pipeline's references that resolve, and the first that does not; 1 for a pipeline without any."""
     refs = resolved_references(closure, io, objects)
     per = refs.groupBy("pipeline").agg(
         F.count("*").alias("refs_total"),
@@ -376,7 +380,26 @@ def traversability_score(closure: DataFrame, io: DataFrame, objects: DataFrame)
         F.min(F.when(~F.col("resolved"), F.col("table"))).alias("first_unresolved"),
     )
     share = (F.col("refs_resolved") / F.col("refs_total")).cast("decimal(20,10)")
-    return per.withColumn("score", F.round(share, 4).cast("decimal(6,4)"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("decimal(6,4)")
+    return pipelines_of(objects).join(per, "pipeline", "left").select(
+        "pipeline", F.coalesce("refs_total", zero).alias("refs_total"), F.coalesce("refs_resolved", zero).alias("refs_resolved"),
+        "first_unresolved", F.coalesce(F.round(share, 4).cast("decimal(6,4)"), one).alias("score"),
+    )
+
+
+def traversability_gate(scores: DataFrame, io: DataFrame, objects: DataFrame) -> DataFrame:
+    """One row: how many pipelines resolve in full, how many defined objects nobody can identify, and the verdict.
+
+    A defined table or view is identified by its definition or by a producer, so only nameless ones are left.
+    """
+    defined = objects.where(F.col("type").isin(*TABLE_TYPES, VIEW_TYPE)).select(F.lower("name").alias("table"))
+    n = scores.agg(
+        F.count("*").alias("pipelines_scored"), F.count_if(F.col("refs_resolved") == F.col("refs_total")).alias("pipelines_at_100")
+    )
+    t = defined.agg(F.count("*").alias("tables_views"), F.count_if(F.coalesce("table", F.lit("")) == "").alias("unidentified"))
+    names = ("pipelines_scored", "pipelines_at_100", "tables_views", "unidentified")
+    one = n.unionByName(t, True).agg(*[F.max(c).alias(c) for c in names])
+    return one.withColumn("passed", (F.col("pipelines_scored") == F.col("pipelines_at_100")) & (F.col("unidentified") == 0))
 
 
 def landing_set(io: DataFrame) -> DataFrame:
@@ -391,10 +414,23 @@ def parity_targets(io: DataFrame, layers: dict[str, str] | None = None) -> DataF
     return written.withColumn("layer", layer_of(F.col("table"), layers)).where(F.col("layer").isin("silver", "gold"))
 
 
+def pipeline_table_counts(io: DataFrame, objects: DataFrame, layers: dict[str, str] | None = None) -> DataFrame:
+    """Per pipeline, tables or not, the sizes of its landing set and of its parity targets."""
+    landed = landing_set(io).groupBy("pipeline").agg(F.count("*").alias("n_landing"))
+    proved = parity_targets(io, layers).groupBy("pipeline").agg(F.count("*").alias("n_parity"))
+    zero = F.lit(0).cast("bigint")
+    return pipelines_of(objects).join(landed, "pipeline", "left").join(proved, "pipeline", "left").select(
+        "pipeline", F.coalesce("n_landing", zero).alias("n_landing"), F.coalesce("n_parity", zero).alias("n_parity")
+    )
+
+
 def predecessor_gate(dependencies: DataFrame, status: DataFrame) -> DataFrame:
-    """Per pipeline of ``status`` (pipeline, status): blocked while any predecessor is not certified."""
-    open_ = status.where(F.col("status") != "CERTIFIED").select(F.col("pipeline").alias("src"))
-    waiting = dependencies.join(open_, "src").groupBy(F.col("dst").alias("pipeline")).agg(
+    """Per pipeline of ``status`` (pipeline, status): blocked until every predecessor is known to be certified.
+
+    A predecessor without a status row blocks like one that is not certified.
+    """
+    certified = status.where(F.col("status") == "CERTIFIED").select(F.col("pipeline").alias("src"))
+    waiting = dependencies.join(certified, "src", "left_anti").groupBy(F.col("dst").alias("pipeline")).agg(
         F.count("*").alias("n_blocking"), F.min("src").alias("first_blocking")
     )
     return status.join(waiting, "pipeline", "left").select(

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tableproof.operators.diff import row_diff
 from tableproof.operators.filters import delta_window, typed_literal
-from tableproof.session import materialize
+from tableproof.session import fresh_path, materialize
 from tableproof.target import Target, Watermark
 
 OPEN_END = "9999-12-31"
@@ -144,6 +145,8 @@ def cdc_snapshot(prev: DataFrame, curr: DataFrame, keys: Sequence[str]) -> DataF
     """Change rows that turn ``prev`` into ``curr``: I, U with new values, D with the old ones."""
     diff = row_diff(prev, curr, Target("snapshot", tuple(keys)))
     values = [c for c in prev.columns if c not in keys]
+    if not keys:  # whole rows come and go, repeated ones as often as they do
+        diff = diff.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), "n_rows"))).drop("__n")
     op = F.when(F.col("change") == "changed", "U").when(F.col("change") == "missing_in_build", "D").otherwise("I")
     row = F.when(F.col("change") == "missing_in_build", F.col("src")).otherwise(F.col("build"))
     return diff.select(op.alias("op"), *keys, row.alias("__row")).select("op", *keys, *[F.col(f"__row.{c}").alias(c) for c in values])
@@ -199,26 +202,34 @@ def advance_watermark(control: DataFrame, loads: DataFrame, run_ts: dt.datetime)
 
 
 def sql_steps(spark: SparkSession, inputs: Mapping[str, DataFrame], steps: Sequence[tuple[str, str]]) -> DataFrame:
-    """Named SQL steps in order; a step sees the inputs and every earlier step. Returns the last."""
-    out = None
-    for name, df in inputs.items():
-        df.createOrReplaceTempView(name)
+    """Named SQL steps in order; a step sees the inputs and every earlier step. Returns the last.
+
+    Steps name each other as ``{name}``, which stands for this run's own frame: no view is
+    left in the session, so runs with the same step names cannot meet.
+    """
+    known = dict(inputs)
     for name, sql in steps:
-        out = spark.sql(sql)
-        out.createOrReplaceTempView(name)
-    return out
+        used = {n: df for n, df in known.items() if "{" + n + "}" in sql}
+        known[name] = spark.sql(sql, **used)
+    return known[steps[-1][0]]
 
 
-def dynamic_sql_expand(spark: SparkSession, config: DataFrame, template: str, max_rows: int = 1000) -> DataFrame:
+def dynamic_sql_expand(spark: SparkSession, config: DataFrame, template: str, per_job: int = 100) -> DataFrame:
     """One SELECT per configuration row, all in one result.
 
-    Configuration rows make the plan, so they are read on the driver; a table that
-    is too long to be configuration is refused.
+    Each SELECT is a plan of its own, so configuration rows pass through the driver, one by one, and
+    every ``per_job`` of them run as one job that appends to a table: plans stay small however many rows there
+    are. For one template over one table, joining the table with the configuration is cheaper.
     """
-    rows = config.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} configuration rows")
-    return reduce(DataFrame.unionByName, [spark.sql(template.format(**r.asDict())) for r in rows])
+    path, schema = fresh_path(spark, "expanded"), None
+    rows = config.toLocalIterator()
+    while chunk := list(islice(rows, per_job)):
+        part = reduce(DataFrame.unionByName, [spark.sql(template.format(**r.asDict())) for r in chunk])
+        part.write.mode("append").parquet(path)
+        schema = schema or part.schema
+    if schema is None:
+        raise ValueError("no configuration rows")
+    return spark.read.schema(schema).parquet(path)
 
 
 def dim_date(bounds: DataFrame, from_col: str, to_col: str) -> DataFrame:
@@ -234,26 +245,19 @@ def dim_date(bounds: DataFrame, from_col: str, to_col: str) -> DataFrame:
     )
 
 
-def sessionize(events: DataFrame, user_col: str, ts_col: str, gap_seconds: int, bucket: str = "hour") -> DataFrame:
+def sessionize(events: DataFrame, user_col: str, ts_col: str, gap_seconds: int) -> DataFrame:
     """Sessions per user: events at most ``gap_seconds`` apart belong together.
 
-    Events first form sessions within (user, time bucket), which splits a hot user
-    over the buckets. These partial sessions are more than a gap or a bucket edge
-    apart, so their number per user is bounded by the time span, not by the events,
-    and the second window only joins them up.
+    Events within one time slot of that width always do, so they are first counted per user and slot,
+    combined on the map side: a hot user is one row per slot. Slots of a user are at most as many as the
+    time span has, and only they go through a window that joins them up.
     """
-    gap = F.expr(f"INTERVAL {gap_seconds} SECONDS")
-    local = Window.partitionBy(user_col, "__bucket").orderBy(ts_col)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = (
-        events.select(user_col, ts_col, F.date_trunc(bucket, ts_col).alias("__bucket"))
-        .withColumn("__prev", F.lag(ts_col).over(local))
-        .withColumn("__new", (F.col("__prev").isNull() | (F.col(ts_col) > F.col("__prev") + gap)).cast("int"))
-        .withColumn("__no", F.sum("__new").over(upto))
-    )
-    partial = marked.groupBy(user_col, "__bucket", "__no").agg(
+    micros = max(1, gap_seconds * 1_000_000)
+    at = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    partial = events.groupBy(user_col, (at - F.pmod(at, F.lit(micros))).alias("__slot")).agg(
         F.min(ts_col).alias("start"), F.max(ts_col).alias("last"), F.count("*").alias("views")
-    )
+    ).where(F.col("start").isNotNull())
+    gap = F.expr(f"INTERVAL {gap_seconds} SECONDS")
     chain = Window.partitionBy(user_col).orderBy("start")
     joined = (
         partial.withColumn("__prev", F.lag("last").over(chain))

@@ -16,6 +16,8 @@ from tableproof.functions.hashing import (
     exact_sum,
     exact_text,
     hash_sum,
+    is_finite,
+    is_fractional,
     is_numeric,
     report_text,
     row_hash,
@@ -59,6 +61,11 @@ def shared_columns(source: DataFrame, build: DataFrame, t: Target) -> list[str]:
     return [c for c in source.columns if c in other]
 
 
+def row_keys(t: Target, columns: Sequence[str]) -> list[str]:
+    """The target's keys; a table without a key is compared as a bag, its whole rows being the keys."""
+    return list(t.keys) or list(columns)
+
+
 def aligned(source: DataFrame, build: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Both sides with the same columns. Columns of unequal type are compared as text."""
     def side(df: DataFrame) -> DataFrame:
@@ -193,12 +200,13 @@ def differing_keys(state: DataFrame) -> DataFrame:
 
 
 def key_parity_rows(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
-    """Keys on one side only."""
+    """Keys on one side only; whole rows for a table without a key."""
+    keys = row_keys(t, shared_columns(source, build, t))
     return (
-        key_state(pinned(source, build, t, t.keys), t.keys)
+        key_state(pinned(source, build, t, keys), keys)
         .where((F.col("src_rows") == 0) | (F.col("build_rows") == 0))
         .withColumn("side", F.when(F.col("build_rows") == 0, "missing_in_build").otherwise("extra_in_build"))
-        .select("side", *t.keys)
+        .select("side", *keys)
     )
 
 
@@ -218,7 +226,9 @@ def key_results(state: DataFrame, t: Target) -> DataFrame:
         F.count_if(F.col("build_rows") > 1).alias("build_dupes"),
         F.count_if(differs).alias("differing"),
     )
-    clean = (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("src_dupes") == 0) & (F.col("build_dupes") == 0)
+    clean = (F.col("missing") == 0) & (F.col("extra") == 0)
+    if t.keys:  # without a key, rows may repeat
+        clean = clean & (F.col("src_dupes") == 0) & (F.col("build_dupes") == 0)
     rows = [_verdict(
         "key_parity", clean,
         F.concat(F.lit("missing="), "missing", F.lit(" dupes="), "src_dupes"),
@@ -232,7 +242,8 @@ def key_results(state: DataFrame, t: Target) -> DataFrame:
 
 
 def key_parity(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
-    return key_results(key_state(pinned(source, build, t, t.keys), t.keys), t)
+    keys = row_keys(t, shared_columns(source, build, t))
+    return key_results(key_state(pinned(source, build, t, keys), keys), t)
 
 
 # --- 4 checksum -------------------------------------------------------------
@@ -289,6 +300,15 @@ def side_summary(df: DataFrame, columns: Sequence[str], approx: bool = False) ->
             (exact_sum(F.col(c), dtype).cast("string") if is_numeric(dtype) else nothing).alias(f"sum_{i}"),
             (F.max(F.length(F.col(c).cast("string"))) if wide else F.lit(None).cast("int")).alias(f"wid_{i}"),
         ]
+        if is_fractional(dtype):
+            # Rounded figures are for the report; the hash sum of the values tells the least drift.
+            v = F.col(c)
+            aggs += [
+                F.count_if(F.isnan(v)).alias(f"nan_{i}"), F.count_if(~is_finite(v) & ~F.isnan(v)).alias(f"inf_{i}"),
+                hash_sum(F.when(v.isNotNull(), F.xxhash64(v + F.lit(0.0)))).cast("string").alias(f"hsh_{i}"),
+            ]
+        else:
+            aggs += [F.lit(None).cast(k).alias(f"{n}_{i}") for n, k in (("nan", "bigint"), ("inf", "bigint"), ("hsh", "string"))]
         if approx:
             aggs.append(F.approx_count_distinct(c).alias(f"dis_{i}"))
     return df.agg(*aggs)
@@ -306,6 +326,9 @@ def unfold_summary(wide: DataFrame, columns: Sequence[str], approx: bool = False
             F.col(f"min_{i}").alias("min_value"),
             F.col(f"max_{i}").alias("max_value"),
             F.col(f"sum_{i}").alias("sum_value"),
+            F.col(f"nan_{i}").alias("nan_count"),
+            F.col(f"inf_{i}").alias("infinite_count"),
+            F.col(f"hsh_{i}").alias("value_hash"),
             *([F.col(f"dis_{i}").alias("distinct_count")] if approx else []),
         )
         for i, c in enumerate(columns)
@@ -341,31 +364,50 @@ def each_side(fn: Callable[[DataFrame], DataFrame], source: DataFrame, build: Da
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Profile of one table, one row per column: rows, non-null, null, distinct, min, max, sum."""
     columns = list(columns or df.columns)
-    stats = unfold_summary(side_summary(df, columns, approx), columns, approx)
+    stats = unfold_summary(side_summary(df, columns, approx), columns, approx).drop("value_hash")
     # Both inputs have one row per column.
     return stats if approx else stats.join(_distinct(df, columns), "column_name")
 
 
-_PROFILE = ("row_count", "non_null", "null_count", "distinct_count", "min_value", "max_value", "sum_value")
+_PROFILE = (
+    "row_count", "non_null", "null_count", "min_value", "max_value", "sum_value", "nan_count", "infinite_count", "value_hash",
+)
+
+
+def _distinct_of_both(both: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column the distinct values of each side of a tagged union: one aggregate per column for both sides."""
+    def one(c: str) -> DataFrame:
+        per_value = both.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(
+            F.max(SIGN).alias("hi"), F.min(SIGN).alias("lo")
+        )
+        return per_value.agg(
+            F.count_if(F.col("hi") == 1).alias("src_distinct_count"), F.count_if(F.col("lo") == -1).alias("build_distinct_count")
+        ).select(F.lit(c).alias("column_name"), "*")
+
+    return reduce(DataFrame.unionAll, [one(c) for c in columns])
 
 
 def column_parity_rows(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
     """Both profiles side by side, one row per column, with the two verdicts."""
     cols = shared_columns(source, build, t)
-    return _side_by_side(each_side(lambda df: column_profile(df, cols), *aligned(*_at_watermark(source, build, t), cols)))
+    sides = aligned(*_at_watermark(source, build, t), cols)
+    profile = each_side(lambda df: unfold_summary(side_summary(df, cols), cols), *sides)
+    return _side_by_side(profile, _distinct_of_both(tagged(*sides, cols), cols))
 
 
-def _side_by_side(profile: DataFrame) -> DataFrame:
+def _side_by_side(profile: DataFrame, distinct: DataFrame) -> DataFrame:
+    # Both inputs have a row or two per column.
     both = profile.groupBy("column_name").agg(*[
         F.max(F.when(F.col(SIGN) == sign, F.col(x))).alias(f"{name}_{x}")
         for x in _PROFILE for name, sign in (("src", 1), ("build", -1))
-    ])
+    ]).join(distinct, "column_name")
 
     def same(*names: str):
         return reduce(lambda a, b: a & b, [F.col(f"src_{x}").eqNullSafe(F.col(f"build_{x}")) for x in names])
 
     return both.withColumn(
-        "aggregates_ok", same("non_null", "distinct_count", "min_value", "max_value", "sum_value")
+        "aggregates_ok",
+        same("non_null", "distinct_count", "min_value", "max_value", "sum_value", "nan_count", "infinite_count", "value_hash"),
     ).withColumn("nulls_ok", same("null_count", "distinct_count"))
 
 
@@ -404,7 +446,9 @@ def orphans(child: DataFrame, parent: DataFrame, fk: FK) -> DataFrame:
 
 
 def referential_integrity(child: DataFrame, parents: Mapping[str, DataFrame], fks: Sequence[FK], t: Target) -> DataFrame:
-    """One result row for all foreign keys of the table."""
+    """One result row for all foreign keys of the table; a table without any cannot break one."""
+    if not fks:
+        return result(child.sparkSession.range(1), t, "referential_integrity", F.lit(True), F.lit(0), F.lit("no foreign keys"))
     each = [
         orphans(as_of(child, t.watermark_col, t.watermark), parents[fk.parent_table], fk)
         .agg(F.count("*").alias("n_values"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
@@ -487,8 +531,15 @@ def run_profile(
     fks: Sequence[FK] = (),
     contract: Sequence[str] | None = None,
     rebuild: Callable[[], DataFrame] | None = None,
+    part_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Result rows of every check of a phase (``dev``, ``sit`` or ``soak``)."""
+    """Result rows of every check of a phase (``dev``, ``sit`` or ``soak``), one per check of the phase, always.
+
+    Tables without keys are compared as bags, tables without foreign keys pass that check. With
+    ``part_cols`` the row counts must also agree for each of their values. Idempotency can only be
+    shown by a second build: without ``rebuild`` it is red. A build that is a costly plan should be
+    written first; every check reads it.
+    """
     wanted = PROFILES[env]
     cols = shared_columns(source, build, t)
     both = pinned(source, build, t, cols)
@@ -497,21 +548,48 @@ def run_profile(
         # scan; its two rows are written, so that every check below reads them from there.
         sides = aligned(*_at_watermark(source, build, t), cols)
         one = materialize(each_side(lambda df: side_summary(df, cols), *sides), "summary")
-        distinct = each_side(lambda df: _distinct(df, cols), *sides)
-        profile = unfold_summary(one, cols).join(distinct, [SIGN, "column_name"])
-        parts = [_summary_results(one, source, build, cols, t), _column_results(_side_by_side(profile), t)]
+        summary = _summary_results(one, source, build, cols, t)
+        if part_cols:
+            summary = summary.where("check_name <> 'row_count'").unionAll(_counted_parts(source, build, t, part_cols))
+        distinct = _distinct_of_both(tagged(*sides, cols), cols)
+        parts = [summary, _column_results(_side_by_side(unfold_summary(one, cols), distinct), t)]
     else:
         parts = [schema_parity(source, build, t)]
-    parts.append(key_results(key_state(both, t.keys or cols, cols), t))
-    if fks:
-        parts.append(referential_integrity(build, parents or {}, fks, t))
+    parts.append(key_results(key_state(both, row_keys(t, cols), cols), t))
+    parts.append(referential_integrity(build, parents or {}, fks, t))
     parts.append(no_extra_output(build, contract or source.columns, t))
-    parts.append(idempotency(rebuild or (lambda: build), t))
+    if rebuild is None:
+        not_run = F.lit(None).cast("string")
+        parts.append(result(build.sparkSession.range(1), t, "idempotency", F.lit(False), not_run, F.lit("not run")))
+    elif "content_checksum" in wanted and t.watermark is None and set(build.columns) <= set(cols):
+        # The summary already has the first build's checksum.
+        parts.append(_idempotent(one, rebuild(), cols, source, t))
+    else:
+        parts.append(idempotency(rebuild, t))
     if "soak_delta_parity" in wanted:
         parts.append(soak_delta_parity(source, build, t))
     return reduce(DataFrame.unionAll, parts)
 
 
+def _counted_parts(source: DataFrame, build: DataFrame, t: Target, part_cols: Sequence[str]) -> DataFrame:
+    """``row_count`` over the values of the partition columns: all of them must agree."""
+    n = partition_row_count(source, build, t, part_cols).agg(
+        F.coalesce(F.sum("src_rows"), F.lit(0)).alias("s"), F.coalesce(F.sum("build_rows"), F.lit(0)).alias("b"),
+        F.count_if(~F.col("passed")).alias("bad"),
+    )
+    return result(n, t, "row_count", F.col("bad") == 0, F.col("s"), F.concat(F.col("b").cast("string"), F.lit(" red_partitions="), "bad"))
+
+
+def _idempotent(one: DataFrame, second: DataFrame, cols: Sequence[str], source: DataFrame, t: Target) -> DataFrame:
+    """``idempotency`` from the first build's summary row and one pass over a second build."""
+    again = aligned(source, second, cols)[1].agg(F.count("*").alias("n"), hash_sum(row_hash(cols)).alias("h"))
+    first = one.where(F.col(SIGN) == -1).select(F.col("__rows").alias("src_rows"), F.col("__hash").alias("src_hash"))
+    both = first.select("*", F.lit(None).cast("bigint").alias("build_rows"), F.lit(None).cast("decimal(38,0)").alias("build_hash")).unionAll(
+        again.select(F.lit(None).cast("bigint"), F.lit(None).cast("decimal(38,0)"), "n", F.col("h").cast("decimal(38,0)"))
+    ).agg(*[F.max(c).alias(c) for c in ("src_rows", "src_hash", "build_rows", "build_hash")])
+    return _checksum_result(both, t, "idempotency")
+
+
 def _summary_results(one: DataFrame, source: DataFrame, build: DataFrame, cols: Sequence[str], t: Target) -> DataFrame:
     """``schema_parity``, ``row_count`` and ``content_checksum`` from the summary rows of both sides."""
     src, new = F.col(SIGN) == 1, F.col(SIGN) == -1

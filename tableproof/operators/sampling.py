@@ -9,13 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableproof.functions.hashing import md5_key, row_hash
 from tableproof.operators.parity import value_counts
+from tableproof.operators.results import with_positions
 from tableproof.session import materialize
 from tableproof.target import FK, SampleSpec
 
-# Rows of one boundary group that may be sorted for the last few picks.
-_SORTABLE = 100_000
-
-
 def order_digits(keys: Sequence[str], seed: int, digest: str) -> list[Column]:
     """The sampling order as 16-bit digits, most significant first."""
     if digest == "md5":
@@ -33,48 +30,28 @@ def _hash_digits(h: Column) -> list[Column]:
 def top_by_digits(df: DataFrame, digits: Sequence[Column], rows: int) -> DataFrame:
     """Exactly the first ``rows`` rows in digit order, without sorting the table.
 
-    Each step counts rows per value of the next digit (at most 65,536 counts) and
-    finds the value at which the running count passes ``rows``. Everything below
-    it is taken where it lies; only the rows of that one value go on to the next
-    digit, until so few are left that they can be sorted. The last digits must tell
-    all rows apart that are not equal.
+    Rows are counted per value of the first digit (at most 65,536 counts), which gives the value
+    at which the running count passes ``rows``. Everything below it is taken where it lies; the rows
+    of that one value are numbered in the order of all digits, over as many range partitions as
+    they need. The other digits must tell all rows apart that are not equal.
     """
     if rows <= 0:
         return df.limit(0)
-    cut, need = [], rows
-    undecided = F.lit(True)
-    for digit in digits:
-        counts = df.where(undecided).groupBy(digit.alias("d")).agg(F.count("*").alias("n"))
-        found = None
-        for d, n in sorted(counts.collect()):  # at most 65,536 pairs
-            if n >= need:
-                found = (d, n)
-                break
-            need -= n
-        if found is None:  # fewer rows than asked for
-            return df
-        cut.append(found[0])
-        undecided = undecided & (digit == F.lit(found[0]))
-        if found[1] == need:
-            return df.where(_below(digits, cut) | undecided)
-        if found[1] <= _SORTABLE:
+    counts = df.groupBy(digits[0].alias("d")).agg(F.count("*").alias("n"))
+    need, cut = rows, None
+    for d, n in sorted(counts.collect()):  # at most 65,536 pairs
+        if n >= need:
+            cut = (d, n)
             break
-    else:
-        # A large group that no digit tells apart: copies of one row (or no digits left).
-        # Which copies are taken makes no difference, so one is repeated.
-        copy = df.where(undecided).limit(1).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(need)))).drop("__copy")
-        return df.where(_below(digits, cut)).unionAll(copy)
-    rest = df.where(undecided).orderBy(*digits, *df.columns).limit(need)
-    return df.where(_below(digits, cut)).unionAll(rest)
-
-
-def _below(digits: Sequence[Column], cut: Sequence[int]) -> Column:
-    """Digit sequence strictly below the cut, compared lexicographically."""
-    out, prefix = F.lit(False), F.lit(True)
-    for digit, value in zip(digits, cut):
-        out = out | (prefix & (digit < F.lit(value)))
-        prefix = prefix & (digit == F.lit(value))
-    return out
+        need -= n
+    if cut is None:  # fewer rows than asked for
+        return df
+    if cut[1] == need:
+        return df.where(digits[0] <= F.lit(cut[0]))
+    names = [f"__d{i}" for i in range(len(digits))]
+    edge = df.where(digits[0] == F.lit(cut[0])).withColumns(dict(zip(names, digits)))
+    first = with_positions(edge, names).where(F.col("position") < need).select(*df.columns)
+    return df.where(digits[0] < F.lit(cut[0])).unionByName(first)
 
 
 def seed_sample(
@@ -187,8 +164,7 @@ def sample_manifest(samples: Mapping[str, DataFrame], specs: Sequence[SampleSpec
 # --- key inference ----------------------------------------------------------
 
 def infer_keys(df: DataFrame) -> DataFrame:
-    """Columns whose values identify a row: no nulls, and as many values as rows.
-    """
+    """Columns whose values identify a row: no nulls, and as many values as rows."""
     cols = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
     return value_counts(df, cols).withColumn("is_key", F.col("distinct_count") == F.col("row_count"))
 
@@ -224,4 +200,7 @@ def infer_fks(tables: Mapping[str, DataFrame], pks: Mapping[str, str], alias: Ma
             "child_rows", "resolved_rows",
             (F.col("child_rows") == F.col("resolved_rows")).alias("is_fk"),
         ))
+    if not parts:
+        schema = "child_table string, child_column string, parent_table string, parent_key string, child_rows bigint, resolved_rows bigint, is_fk boolean"
+        return next(iter(tables.values())).sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionAll, parts)

@@ -111,8 +111,7 @@ def map_grants(spark, d):
     return governance.map_grants(grants(spark, d), objects, _schemas(objects))
 
 
-@query("access_audit", f"""
-WITH {ESTATE_SQL}, {_GRANTS},
+_FINDINGS = """
 pr AS (SELECT 'USER_' || c_custkey AS principal FROM customer WHERE c_acctbal > 0),
 ob AS (SELECT lower(name) AS name FROM objects UNION SELECT split_part(name, '.', 1) FROM objects WHERE contains(name, '.')),
 con AS (SELECT 'conn_' || s_suppkey AS connection, s_nationkey AS n FROM supplier),
@@ -123,11 +122,24 @@ f AS (
   UNION ALL SELECT 'unresolved_object', object FROM (SELECT DISTINCT object FROM gr) WHERE lower(object) NOT IN (SELECT name FROM ob)
   UNION ALL SELECT 'bad_secret_connection', connection FROM (SELECT DISTINCT connection FROM sec) WHERE lower(connection) NOT IN (SELECT connection FROM con)
   UNION ALL SELECT 'unsecured_connection', connection FROM con WHERE n > 0 AND connection NOT IN (SELECT lower(connection) FROM sec)
-  UNION ALL SELECT 'unmasked_column', tbl || '.text' FROM cls WHERE upper(c) = 'PII' AND trim(mask) = ''),
+  UNION ALL SELECT 'unmasked_column', tbl || '.text' FROM cls WHERE upper(c) = 'PII' AND trim(mask) = '')"""
+
+
+@query("access_audit", f"""
+WITH {ESTATE_SQL}, {_GRANTS}, {_FINDINGS},
 k AS (SELECT unnest(['unknown_principal', 'unresolved_object', 'bad_secret_connection', 'unsecured_connection', 'unmasked_column', 'no_principals', 'no_sensitive_columns']) AS finding)
 SELECT k.finding, count(item) AS n_findings, min(item) AS first_item, count(item) = 0 AS passed FROM k LEFT JOIN f ON f.finding = k.finding GROUP BY k.finding
 """)
 def access_audit(spark, d):
+    return _audit(spark, d)
+
+
+@query("access_gate", f"WITH {ESTATE_SQL}, {_GRANTS}, {_FINDINGS} SELECT count(item) = 0 AS passed, count(item) AS n_findings FROM f")
+def access_gate(spark, d):
+    return governance.access_gate(_audit(spark, d))
+
+
+def _audit(spark, d):
     objects = estate.objects(spark, d)
     names = objects.select("name").unionAll(_schemas(objects).select(F.col("schema").alias("name")))
     principals = read_table(spark, d, "customer").where("c_acctbal > 0").select(

@@ -69,13 +69,13 @@ pdep AS (
   SELECT DISTINCT w.pipeline AS src, r.pipeline AS dst FROM pio w JOIN pio r ON w.tbl = r.tbl
   WHERE w.mode = 'write' AND r.mode = 'read' AND w.pipeline <> r.pipeline
   UNION SELECT dst, src FROM edges WHERE et = 'EXECUTES_PIPELINE'
-    AND dst IN (SELECT pipeline FROM pio) AND src IN (SELECT pipeline FROM pio))"""
+    AND dst IN (SELECT name FROM objects WHERE type = 'PIPELINE') AND src IN (SELECT name FROM objects WHERE type = 'PIPELINE'))"""
 
 
 @query("producer_consumer_deps", f"WITH {ESTATE_SQL}, {_PDEP} SELECT src, dst FROM pdep")
 def producer_consumer_deps(spark, d):
-    edges, _, io = _io(spark, d)
-    return lineage.pipeline_dependencies(io, edges)
+    edges, objects, io = _io(spark, d)
+    return lineage.pipeline_dependencies(io, edges, objects)
 
 
 @query("cycles", f"""
@@ -121,7 +121,7 @@ def table_kind(spark, d):
 
 _UPSTREAM = """
 refs AS (SELECT pipeline, tbl FROM pio WHERE mode = 'read'
-         UNION SELECT src, dst FROM edges WHERE et = 'READS_CONFIG' AND src IN (SELECT pipeline FROM pio)),
+         UNION SELECT src, dst FROM edges WHERE et = 'READS_CONFIG' AND src IN (SELECT name FROM objects WHERE type = 'PIPELINE')),
 step AS (SELECT DISTINCT w.tbl AS src, r.tbl AS dst FROM pio w JOIN refs r ON r.pipeline = w.pipeline WHERE w.mode = 'write'),
 up AS (
   WITH RECURSIVE u(pipeline, tbl) AS (SELECT pipeline, tbl FROM refs UNION SELECT u.pipeline, s.dst FROM u JOIN step s ON s.src = u.tbl)
@@ -135,21 +135,33 @@ x AS (SELECT pipeline, tbl, tbl IN (SELECT tbl FROM known) AS ok FROM up)"""
 
 @query("upstream_closure", f"WITH {ESTATE_SQL}, {_UPSTREAM} SELECT pipeline, tbl AS \"table\" FROM up")
 def upstream_closure(spark, d):
-    edges, _, io = _io(spark, d)
-    return lineage.upstream_closure(io, edges)
+    edges, objects, io = _io(spark, d)
+    return lineage.upstream_closure(io, edges, objects)
 
 
 @query("traversability_score", f"""
 WITH {ESTATE_SQL}, {_UPSTREAM},
 {_RESOLVED}
-SELECT pipeline, count(*) AS refs_total, count(*) FILTER (ok) AS refs_resolved,
+SELECT name AS pipeline, count(tbl) AS refs_total, count(tbl) FILTER (ok) AS refs_resolved,
        min(tbl) FILTER (NOT ok) AS first_unresolved,
-       CAST(round(CAST(count(*) FILTER (ok) AS DOUBLE) / count(*), 4) AS DECIMAL(6,4)) AS score
-FROM x GROUP BY pipeline
+       CAST(coalesce(round(CAST(count(tbl) FILTER (ok) AS DOUBLE) / nullif(count(tbl), 0), 4), 1) AS DECIMAL(6,4)) AS score
+FROM objects LEFT JOIN x ON x.pipeline = name WHERE type = 'PIPELINE' GROUP BY name
 """)
 def traversability_score(spark, d):
     edges, objects, io = _io(spark, d)
-    return lineage.traversability_score(lineage.upstream_closure(io, edges), io, objects)
+    return lineage.traversability_score(lineage.upstream_closure(io, edges, objects), io, objects)
+
+
+@query("traversability_gate", f"""
+WITH {ESTATE_SQL}, {_UPSTREAM}, {_RESOLVED},
+p AS (SELECT count(*) AS n, count(*) FILTER (name NOT IN (SELECT pipeline FROM x WHERE NOT ok)) AS full_n FROM objects WHERE type = 'PIPELINE')
+SELECT n AS pipelines_scored, full_n AS pipelines_at_100, (SELECT count(*) FROM objects WHERE type IN ('TABLE', 'VIEW')) AS tables_views,
+       CAST(0 AS BIGINT) AS unidentified, n = full_n AS passed FROM p
+""")
+def traversability_gate(spark, d):
+    edges, objects, io = _io(spark, d)
+    scores = lineage.traversability_score(lineage.upstream_closure(io, edges, objects), io, objects)
+    return lineage.traversability_gate(scores, io, objects)
 
 
 @query("unresolved_references", f"""
@@ -157,7 +169,7 @@ WITH {ESTATE_SQL}, {_UPSTREAM}, {_RESOLVED} SELECT pipeline, tbl AS "table" FROM
 """)
 def unresolved_references(spark, d):
     edges, objects, io = _io(spark, d)
-    refs = lineage.resolved_references(lineage.upstream_closure(io, edges), io, objects)
+    refs = lineage.resolved_references(lineage.upstream_closure(io, edges, objects), io, objects)
     return refs.where("NOT resolved").select("pipeline", "table")
 
 
@@ -182,23 +194,37 @@ def parity_targets(spark, d):
 
 _STATUS = """
 stat AS (SELECT 'job_' || user_id AS pipeline, CASE WHEN max(value) FILTER (event_type = 'error') > 120 THEN 'PROVISIONAL' ELSE 'CERTIFIED' END AS status
-         FROM events GROUP BY user_id)"""
+         FROM events WHERE user_id % 7 <> 3 GROUP BY user_id)"""
+
+
+@query("pipeline_table_counts", f"""
+WITH {ESTATE_SQL},
+l AS (SELECT pipeline, tbl FROM pio WHERE mode = 'read' EXCEPT SELECT pipeline, tbl FROM pio WHERE mode = 'write'),
+t AS (SELECT DISTINCT pipeline, tbl FROM pio WHERE mode = 'write' AND split_part(tbl, '.', 1) NOT IN ('ods', 'src', 'qlik', 'metadata') AND NOT starts_with(tbl, 'az_'))
+SELECT name AS pipeline, (SELECT count(*) FROM l WHERE l.pipeline = name) AS n_landing, (SELECT count(*) FROM t WHERE t.pipeline = name) AS n_parity
+FROM objects WHERE type = 'PIPELINE'
+""")
+def pipeline_table_counts(spark, d):
+    _, objects, io = _io(spark, d)
+    return lineage.pipeline_table_counts(io, objects)
 
 
 @query("predecessor_gate", f"""
 WITH {ESTATE_SQL}, {_PDEP}, {_STATUS},
-w AS (SELECT d.dst AS pipeline, count(*) AS n, min(d.src) AS f FROM pdep d JOIN stat s ON s.pipeline = d.src AND s.status <> 'CERTIFIED' GROUP BY d.dst)
+w AS (SELECT d.dst AS pipeline, count(*) AS n, min(d.src) AS f FROM pdep d LEFT JOIN stat s ON s.pipeline = d.src
+      WHERE coalesce(s.status, 'UNKNOWN') <> 'CERTIFIED' GROUP BY d.dst)
 SELECT s.pipeline, CASE WHEN n > 0 THEN 'BLOCKED' ELSE status END AS status, coalesce(n, 0) AS n_blocking, f AS first_blocking
 FROM stat s LEFT JOIN w ON w.pipeline = s.pipeline
 """)
 def predecessor_gate(spark, d):
-    edges, _, io = _io(spark, d)
+    """Every seventh job has no status yet; orchestrators never have one."""
+    edges, objects, io = _io(spark, d)
     worst = F.max(F.when(F.col("event_type") == "error", F.col("value")))
-    status = read_table(spark, d, "events").groupBy("user_id").agg(worst.alias("worst")).select(
+    status = read_table(spark, d, "events").where("user_id % 7 <> 3").groupBy("user_id").agg(worst.alias("worst")).select(
         F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("pipeline"),
         F.when(F.col("worst") > 120, "PROVISIONAL").otherwise("CERTIFIED").alias("status"),
     )
-    return lineage.predecessor_gate(lineage.pipeline_dependencies(io, edges), status)
+    return lineage.predecessor_gate(lineage.pipeline_dependencies(io, edges, objects), status)
 
 
 @query("layer_of", f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -158,9 +159,9 @@ WHERE units > 50 GROUP BY 1
 def sql_steps(spark, d):
     inputs = {"step_orders": read_table(spark, d, "orders"), "step_lines": read_table(spark, d, "lineitem")}
     return merge.sql_steps(spark, inputs, [
-        ("step_units", "SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS units FROM step_lines GROUP BY l_orderkey"),
-        ("step_big", "SELECT o.o_orderpriority, u.units FROM step_orders o JOIN step_units u ON o.o_orderkey = u.l_orderkey WHERE u.units > 50"),
-        ("step_out", "SELECT o_orderpriority, count(*) AS n_orders, sum(units) AS units FROM step_big GROUP BY o_orderpriority"),
+        ("step_units", "SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS units FROM {step_lines} GROUP BY l_orderkey"),
+        ("step_big", "SELECT o.o_orderpriority, u.units FROM {step_orders} o JOIN {step_units} u ON o.o_orderkey = u.l_orderkey WHERE u.units > 50"),
+        ("step_out", "SELECT o_orderpriority, count(*) AS n_orders, sum(units) AS units FROM {step_big} GROUP BY o_orderpriority"),
     ])
 
 
@@ -215,16 +216,57 @@ def watermark_extract(spark, d):
 
 
 @query("metadata_multi_ingest", f"""
-SELECT 'orders' AS table_name, max(o_orderdate) AS wm, count(*) AS loaded_rows FROM orders WHERE o_orderdate > {_PREV} AND o_orderdate <= {_WM}
-UNION ALL
-SELECT 'lineitem', max(l_shipdate), count(*) FROM lineitem WHERE l_shipdate > TIMESTAMP '1999-01-01' AND l_shipdate <= {_WM}
+WITH landed AS (
+  SELECT 'orders' AS table_name, o_orderkey AS key, o_orderdate AS wm FROM orders WHERE o_orderdate > {_PREV} AND o_orderdate <= {_WM}
+  UNION ALL SELECT 'lineitem', l_orderkey, l_shipdate FROM lineitem WHERE l_shipdate > TIMESTAMP '1999-01-01' AND l_shipdate <= {_WM})
+SELECT 'landed' AS kind, table_name, key, wm, CAST(NULL AS VARCHAR) AS status FROM landed
+UNION ALL SELECT 'load', table_name, count(*), max(wm), NULL FROM landed GROUP BY table_name
+UNION ALL SELECT 'control', c.table_name, NULL, greatest(c.wm, l.wm), CASE WHEN l.wm IS NOT NULL THEN 'SUCCESS' ELSE 'NEW' END
+FROM (VALUES ('orders', {_PREV}), ('lineitem', TIMESTAMP '1999-01-01'), ('customer', TIMESTAMP '1990-01-01')) c(table_name, wm)
+LEFT JOIN (SELECT table_name, max(wm) AS wm FROM landed GROUP BY table_name) l ON l.table_name = c.table_name
 """)
 def metadata_multi_ingest(spark, d):
     control = spark.createDataFrame(
         [("orders", "o_orderdate", PREV), ("lineitem", "l_shipdate", dt.datetime(1999, 1, 1))],
         "table_name string, watermark_col string, watermark_value timestamp_ntz",
     )
-    return extract.metadata_multi_ingest(control, lambda t: read_table(spark, d, t), WATERMARK)[1]
+    extracts, loads = extract.metadata_multi_ingest(control, lambda t: read_table(spark, d, t), WATERMARK)
+    loads = materialize(loads, "loads")
+    landed = [
+        tables.land_bronze(df, fresh_path(spark, f"bronze-{t}")).select(
+            F.lit("landed").alias("kind"), F.lit(t).alias("table_name"), F.col(key).alias("key"), F.col(wm).alias("wm"), F.lit(None).cast("string").alias("status")
+        )
+        for t, df, key, wm in (("orders", extracts["orders"], "o_orderkey", "o_orderdate"), ("lineitem", extracts["lineitem"], "l_orderkey", "l_shipdate"))
+    ]
+    idle = spark.createDataFrame([("customer", "c_since", dt.datetime(1990, 1, 1))], control.schema)
+    registry = control.unionAll(idle).select("*", F.lit(None).cast("timestamp_ntz").alias("last_run_ts"), F.lit("NEW").alias("status"))
+    advanced = merge.advance_watermark(registry, loads.select("table_name", "wm"), dt.datetime(2024, 2, 1))
+    return landed[0].unionAll(landed[1]).unionAll(
+        loads.select(F.lit("load"), "table_name", "loaded_rows", "wm", F.lit(None).cast("string"))
+    ).unionAll(advanced.select(F.lit("control"), "table_name", F.lit(None).cast("bigint"), "watermark_value", "status"))
+
+
+@query("replace_window", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, count(*) AS n FROM orders
+WHERE o_orderstatus <> 'F' OR year(o_orderdate) < 2000 GROUP BY 1, 2
+""")
+def replace_window(spark, d):
+    """Years from 2000 on are rebuilt without finished orders; earlier partitions stay as they were."""
+    path = fresh_path(spark, "by-year")
+    per_year = read_table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), "o_orderstatus").agg(F.count("*").alias("n"))
+    per_year.repartition("year").write.partitionBy("year").parquet(path)
+    merge.replace_window(per_year.where("year >= 2000 AND o_orderstatus <> 'F'"), path, "year")
+    return spark.read.parquet(path)
+
+
+@query("replace_table", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def replace_table(spark, d):
+    """A catalog table made twice; the second content stays, and no table beside it."""
+    name = f"proof_{uuid.uuid4().hex}"
+    segments = read_table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    tables.replace_table(segments.limit(0), name)
+    tables.replace_table(segments, name)
+    return spark.table(name)
 
 
 @query("file_intake", "SELECT event_id, ts, user_id, event_type, CAST(value AS DECIMAL(12,2)) AS value, props FROM events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tableproof.operators import diff, filters, parity
 from tableproof.plans.pair import ORDERS, PAIR_SQL, PINNED, PREV, WATERMARK, build, source
@@ -104,7 +104,10 @@ def _profile_sql(table: str, cols: list[tuple[str, str]], where: str = "") -> st
     return "\nUNION ALL\n".join(
         f"SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS non_null, count(*) - count({c}) AS null_count, "
         f"{shown[k].format(x=f'min({c})')} AS min_value, {shown[k].format(x=f'max({c})')} AS max_value, "
-        f"{total[k].format(c=c)} AS sum_value, count(DISTINCT {c}) AS distinct_count FROM {table} {where}"
+        f"{total[k].format(c=c)} AS sum_value, "
+        f"{f'count(*) FILTER (isnan({c}))' if k == 'dbl' else 'CAST(NULL AS BIGINT)'} AS nan_count, "
+        f"{f'count(*) FILTER (isinf({c}))' if k == 'dbl' else 'CAST(NULL AS BIGINT)'} AS infinite_count, "
+        f"count(DISTINCT {c}) AS distinct_count FROM {table} {where}"
         for c, k in cols
     )
 
@@ -148,6 +151,36 @@ def column_aggregates(spark, d):
     ], "aggregates_ok")
 
 
+_DOUBLES = ("same", "tiny", "nan", "huge", "swapped")
+
+
+@query("column_aggregates_doubles", "WITH " + """
+n AS (SELECT event_id, value AS same, value AS tiny, CASE WHEN event_id % 50 = 0 THEN CAST('nan' AS DOUBLE) ELSE value END AS nan,
+             CASE WHEN event_id % 50 = 1 THEN 1e30 ELSE value END AS huge, CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS swapped FROM events),
+m AS (SELECT event_id, value AS same, CASE WHEN event_id % 50 = 2 THEN value + 1e-7 ELSE value END AS tiny,
+             CASE WHEN event_id % 50 = 0 THEN CAST('inf' AS DOUBLE) ELSE value END AS nan,
+             CASE WHEN event_id % 50 = 1 THEN 2e30 ELSE value END AS huge, CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS swapped FROM events)
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, NOT EXISTS (SELECT 1 FROM (SELECT {c} AS v, 1 AS g FROM n UNION ALL SELECT {c}, -1 FROM m) GROUP BY v HAVING sum(g) <> 0) AS aggregates_ok"
+    for c in _DOUBLES
+))
+def column_aggregates_doubles(spark, d):
+    """Doubles with NaN against infinity, values no decimal holds, and drift in the seventh decimal."""
+    v, at = F.col("value"), F.col("event_id") % 50
+    swapped = F.when(F.col("event_id") % 2 == 0, v).otherwise(-v)
+
+    def side(tiny, odd: str, huge: float) -> DataFrame:
+        return read_table(spark, d, "events").select(
+            "event_id", v.alias("same"), tiny.alias("tiny"), F.when(at == 0, F.lit(float(odd))).otherwise(v).alias("nan"),
+            F.when(at == 1, F.lit(huge)).otherwise(v).alias("huge"), swapped.alias("swapped"),
+        )
+
+    rows = parity.column_parity_rows(
+        side(v, "nan", 1e30), side(F.when(at == 2, v + F.lit(1e-7)).otherwise(v), "inf", 2e30), Target("events", ("event_id",), _DOUBLES)
+    )
+    return rows.select("column_name", "aggregates_ok")
+
+
 _NULLABLE = """
 n AS (SELECT event_id, user_id, CASE WHEN value < 100 THEN value END AS value FROM events),
 m AS (SELECT event_id, user_id, CASE WHEN value < 90 THEN value END AS value FROM events)"""
@@ -481,6 +514,60 @@ def run_profile_soak(spark, d):
     return _profile(spark, d, "soak")
 
 
+_LINES = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+_LINE_PAIR = f"""
+ls AS (SELECT {_LINES} FROM lineitem),
+lb AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_partkey % 53 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
+              l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+       FROM lineitem WHERE l_orderkey % 89 <> 0
+       UNION ALL SELECT * FROM ls WHERE l_orderkey % 83 = 0),
+ld AS (SELECT {_LINES}, sum(g) AS net FROM (SELECT *, 1 AS g FROM ls UNION ALL SELECT *, -1 FROM lb) GROUP BY {_LINES} HAVING sum(g) <> 0)"""
+
+
+def _lines(spark, d) -> tuple[DataFrame, DataFrame]:
+    """``lineitem``, which has no key, and a build with rows lost, repeated and changed."""
+    s = read_table(spark, d, "lineitem")
+    quantity = F.when(F.col("l_partkey") % 53 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    b = s.where(F.col("l_orderkey") % 89 != 0).withColumn("l_quantity", quantity)
+    return s, b.unionByName(s.where(F.col("l_orderkey") % 83 == 0))
+
+
+@query("row_diff_keyless", f"""
+WITH {_LINE_PAIR}
+SELECT CASE WHEN net > 0 THEN 'missing_in_build' ELSE 'extra_in_build' END AS change, CAST(abs(net) AS BIGINT) AS n_rows,
+       l_orderkey, l_partkey, l_linenumber, l_quantity, l_shipdate FROM ld
+""")
+def row_diff_keyless(spark, d):
+    out = diff.row_diff(*_lines(spark, d), Target("lineitem"))
+    return out.select("change", "n_rows", *[
+        F.coalesce(f"src.{c}", f"build.{c}").alias(c) for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
+    ])
+
+
+@query("key_parity_keyless", f"""
+WITH {_LINE_PAIR}
+SELECT 'missing_in_build' AS side, l_orderkey, l_linenumber, l_quantity FROM (SELECT * FROM ls EXCEPT SELECT * FROM lb)
+UNION ALL SELECT 'extra_in_build', l_orderkey, l_linenumber, l_quantity FROM (SELECT * FROM lb EXCEPT SELECT * FROM ls)
+""")
+def key_parity_keyless(spark, d):
+    return parity.key_parity_rows(*_lines(spark, d), Target("lineitem")).select("side", "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("run_profile_keyless", f"""
+WITH {_LINE_PAIR}, v(check_name, passed) AS (VALUES
+  ('schema_parity', true), ('row_count', (SELECT count(*) FROM ls) = (SELECT count(*) FROM lb) AND NOT EXISTS (
+     SELECT 1 FROM (SELECT l_returnflag, 1 AS g FROM ls UNION ALL SELECT l_returnflag, -1 FROM lb) GROUP BY 1 HAVING sum(g) <> 0)),
+  ('key_parity', NOT EXISTS (SELECT * FROM ls EXCEPT SELECT * FROM lb) AND NOT EXISTS (SELECT * FROM lb EXCEPT SELECT * FROM ls)),
+  ('content_checksum', NOT EXISTS (SELECT 1 FROM ld)), ('column_aggregates', (SELECT count(*) FROM ls) = (SELECT count(*) FROM lb)),
+  ('null_distribution', {" AND ".join(f"(SELECT count(DISTINCT {c}) FROM ls) = (SELECT count(DISTINCT {c}) FROM lb)" for c in _LINES.split(", "))}),
+  ('referential_integrity', true), ('no_extra_output', true), ('idempotency', false), ('row_level_sample', NOT EXISTS (SELECT 1 FROM ld)))
+SELECT 'lineitem' AS table_name, check_name, passed FROM v
+""")
+def run_profile_keyless(spark, d):
+    """Ten rows for a table without key and foreign keys; the build is not repeated, so idempotency is not shown."""
+    return parity.run_profile("sit", *_lines(spark, d), Target("lineitem"), part_cols=["l_returnflag"]).select("table_name", "check_name", "passed")
+
+
 # --- pinning, conforming, keys ----------------------------------------------
 
 @query("as_of", f"SELECT * FROM orders WHERE o_orderdate <= {_WM}")
@@ -505,12 +592,16 @@ def conform(spark, d):
 
 
 @query("surrogate_key", """
-SELECT c_custkey, md5(concat_ws('|', c_custkey, c_mktsegment)) AS customer_key FROM customer
+WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS a, CASE WHEN c_acctbal < 0 THEN c_mktsegment END AS b FROM customer)
+SELECT c_custkey, md5(length(CAST(c_custkey AS VARCHAR)) || ':' || c_custkey || '|' || CASE WHEN a IS NULL THEN '-' ELSE length(a) || ':' || a END
+                      || '|' || CASE WHEN b IS NULL THEN '-' ELSE length(b) || ':' || b END) AS customer_key FROM c
 """)
 def surrogate_key(spark, d):
-    return read_table(spark, d, "customer").select(
-        "c_custkey", filters.surrogate_key(["c_custkey", "c_mktsegment"], "md5").alias("customer_key")
+    """A three-column key in which nulls change places."""
+    c = read_table(spark, d, "customer").select(
+        "c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("a"), F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment")).alias("b")
     )
+    return c.select("c_custkey", filters.surrogate_key(["c_custkey", "a", "b"], "md5").alias("customer_key"))
 
 
 @query("late_rows", """

@@ -136,9 +136,14 @@ def replication_manifest(spark, d):
 # --- key inference ----------------------------------------------------------
 
 _KEYED = {
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_size"],
-    "events": ["event_id", "user_id", "event_type", "ts"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"],
 }
 
 
@@ -149,7 +154,7 @@ _KEYED = {
 ))
 def infer_keys(spark, d):
     return reduce(DataFrame.unionAll, [
-        sampling.infer_keys(read_table(spark, d, t).select(cols)).select(F.lit(t).alias("table_name"), "*") for t, cols in _KEYED.items()
+        sampling.infer_keys(read_table(spark, d, t)).select(F.lit(t).alias("table_name"), "*") for t in _KEYED
     ])
 
 

@@ -34,29 +34,27 @@ def stream_dedup(spark, d):
     return _plain(ops.drain(ops.stream_dedup(twice, ["event_id"], "ts", "1 hour"), "stream-dedup"), "ts")
 
 
-@query("stream_sessions", f"""
-WITH {SESSIONS_SQL}
-SELECT * FROM p WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
-""")
+@query("stream_sessions", f"WITH {SESSIONS_SQL} SELECT * FROM p")
 def stream_sessions(spark, d):
-    """Sessions that the watermark (newest event - 10 minutes) has closed."""
-    closed = ops.stream_sessions(event_stream(spark, d), "user_id", "ts", "30 minutes", "10 minutes")
-    return _plain(ops.drain(closed, "stream-sessions"), "session_start", "session_end")
+    """All sessions: a closing row behind the last event lets the watermark pass the open ones."""
+    stream, close = ops.closing_row(event_stream(spark, d), "ts")
+    sessions = ops.stream_sessions(stream, "user_id", "ts", "30 minutes", "10 minutes")
+    return _plain(ops.drain(sessions, "stream-sessions", close), "session_start", "session_end")
 
 
 @query("stream_window_parity", """
-WITH t AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS src_rows,
-                  count(*) FILTER (NOT (event_type = 'error' AND value > 150)) AS build_rows FROM events GROUP BY 1)
-SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, src_rows, build_rows, src_rows = build_rows AS passed
-FROM t WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, count(*) AS src_rows,
+       count(*) FILTER (NOT (event_type = 'error' AND value > 150)) AS build_rows,
+       count(*) FILTER (event_type = 'error' AND value > 150) = 0 AS passed
+FROM events GROUP BY 1, 2
 """)
 def stream_window_parity(spark, d):
-    """Events against a feed that lost its largest errors, per closed day."""
+    """Events against a feed that lost its largest errors, per day, the last one included."""
     cols = ["event_id", "ts", "user_id", "event_type", "value"]
-    src = event_stream(spark, d)
+    src, close = ops.closing_row(event_stream(spark, d), "ts")
     lossy = event_stream(spark, d).where("NOT (event_type = 'error' AND value > 150)")
     windows = ops.stream_window_parity(src, lossy, cols, "ts", "1 day", "1 hour")
-    return _plain(ops.drain(windows, "stream-parity"), "window_start", "window_end")
+    return _plain(ops.drain(windows, "stream-parity", close), "window_start", "window_end")
 
 
 @query("stream_upsert", CHANGE_SQL)

@@ -27,17 +27,6 @@ def read_estate(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFra
     return read("objects", OBJECT_COLUMNS), read("edges", EDGE_COLUMNS)
 
 
-def read_security(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """Principals, grants and classification, each from its CSV file."""
-    # The columns of the security tables.
-    layouts = {
-        "principals": ("principal", "type", "member_of", "source_role", "description"),
-        "grants": ("principal", "object", "privilege"),
-        "classification": ("table", "column", "classification", "mask"),
-    }
-    return {n: spark.read.csv(f"{directory}/{n}.csv", schema=_strings(c), header=True) for n, c in layouts.items()}
-
-
 BI_SCHEMA = T.StructType([
     T.StructField("obj_id", T.StringType()),
     T.StructField("system", T.StringType()),

@@ -7,8 +7,9 @@ Event times are TIMESTAMP, because watermarks do not accept timestamps without z
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tableproof.functions.hashing import hash_sum, row_hash
@@ -23,18 +24,48 @@ def stream_intake(
     return spark.readStream.format(fmt).schema(schema).options(maxFilesPerTrigger=files_per_batch, **options).load(path)
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Append everything available to a new table in the shared folder, exactly once."""
+def drain(stream: DataFrame, label: str, then: Callable[[], None] | None = None) -> DataFrame:
+    """Append everything available to a new table in the shared folder, exactly once.
+
+    ``then`` is called when all of it is in, and the query goes on from where it stopped: what it
+    adds to the sources, such as a row that closes the open windows, comes after every row before.
+    """
     spark = stream.sparkSession
     path = fresh_path(spark, label)
-    query = (
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-progress")
-        .outputMode("append").trigger(availableNow=True).start(path)
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        (
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-progress")
+            .outputMode("append").trigger(availableNow=True).start(path)
+        ).awaitTermination()
+
+    run()
+    if then is not None:
+        then()
+        run()
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def closing_row(stream: DataFrame, ts_col: str, far: str = "2999-01-01") -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with one more source, and what puts the closing row there: far ahead in time, null otherwise.
+
+    It moves the watermark past every window, so all of them close; its own window stays open and is
+    never written.
+    """
+    spark = stream.sparkSession
+    path = fresh_path(spark, "closing")
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    closing = spark.readStream.schema(stream.schema).parquet(path)
+
+    def close() -> None:
+        row = spark.range(1).select(*[
+            (F.lit(far) if f.name == ts_col else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema
+        ])
+        row.write.mode("append").parquet(path)
+
+    return stream.unionByName(closing), close
+
+
 def stream_dedup(stream: DataFrame, keys: Sequence[str], ts_col: str, delay: str) -> DataFrame:
     """Drop replays of a key that arrive within ``delay``; state is dropped after it."""
     return stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -80,20 +111,27 @@ def stream_upsert(
     Each batch first collapses to the last change per key. The change log keeps one
     row per key and batch under the batch number, so a repeated batch overwrites
     itself, and the table is the base with the collapsed log applied: a batch never
-    rewrites the whole table.
+    rewrites the whole table. Of changes with one sequence number the batch keeps the one
+    that ``delta_apply`` would. A feed without any change leaves the base as it is.
     """
     spark = stream.sparkSession
     path = fresh_path(spark, label)
+    order = [seq_col, op_col, *[c for c in base.columns if c not in keys]]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        dedup(batch, keys, [seq_col]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        dedup(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}-progress")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    log = spark.read.schema(stream.schema).option("basePath", path).parquet(path)
+    try:
+        log = spark.read.schema(stream.schema).option("basePath", path).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return base
     return delta_apply(base, log, keys, op_col, seq_col)
 
 

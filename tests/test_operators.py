@@ -30,12 +30,12 @@ def test_top_by_digits_equals_sort_and_limit(spark, digest, rows):
     assert tuples(sampling.seed_sample(df, ["id"], rows, digest=digest)) == want
 
 
-def test_sample_walks_down_the_digits(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "_SORTABLE", 0)
+def test_sample_goes_by_all_digits(spark):
     df = spark.range(1000)
     digits = [(F.col("id") % 10).cast("int"), (F.col("id") % 100).cast("int"), F.col("id").cast("int")]
-    want = sorted(range(1000), key=lambda i: (i % 10, i % 100, i))[:333]
-    assert sorted(r["id"] for r in sampling.top_by_digits(df, digits, 333).collect()) == sorted(want)
+    want = sorted(range(1000), key=lambda i: (i % 10, i % 100, i))
+    for rows in (100, 333, 999):
+        assert sorted(r["id"] for r in sampling.top_by_digits(df, digits, rows).collect()) == sorted(want[:rows])
 
 
 def test_sample_with_a_hot_key_keeps_the_exact_size(spark):
@@ -44,8 +44,7 @@ def test_sample_with_a_hot_key_keeps_the_exact_size(spark):
         assert sampling.seed_sample(df, ["k"], rows).count() == rows
 
 
-def test_sample_of_copies_keeps_the_exact_size(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "_SORTABLE", 5)
+def test_sample_of_copies_keeps_the_exact_size(spark):
     df = spark.range(900).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("k"))
     for rows in (1, 399, 401, 650, 899):
         got = tuples(sampling.seed_sample(df, ["k"], rows))
@@ -217,8 +216,9 @@ def test_sessions_with_a_hot_user(spark):
                 start, n = t, 0
             last, n = t, n + 1
     df = spark.createDataFrame(events, "u int, ts timestamp_ntz").repartition(5)
-    for bucket in ("hour", "day", "minute"):
-        assert tuples(merge.sessionize(df, "u", "ts", 1800, bucket).drop("session_key")) == want
+    assert tuples(merge.sessionize(df, "u", "ts", 1800).drop("session_key")) == want
+    plan = merge.sessionize(df, "u", "ts", 1800)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and "partial_count" in plan  # both windows run over slots
 
 
 def test_retention_and_backfill(spark):
@@ -237,9 +237,32 @@ def test_replace_window(spark, tmp_path):
     assert tuples(spark.read.parquet(path).select("v", "day")) == Counter([(1, "a"), (9, "b")])
 
 
-def test_config_table_too_long(spark):
+def test_config_table_of_any_length(spark):
+    out = merge.dynamic_sql_expand(spark, spark.range(7), "SELECT {id} AS x", per_job=3)
+    assert sorted(r["x"] for r in out.collect()) == list(range(7))
     with pytest.raises(ValueError):
-        merge.dynamic_sql_expand(spark, spark.range(5), "SELECT {id} AS x", max_rows=4)
+        merge.dynamic_sql_expand(spark, spark.range(0), "SELECT {id} AS x")
+
+
+def test_sql_steps_leave_no_views(spark):
+    steps = [("a", "SELECT x + 1 AS x FROM {t}"), ("b", "SELECT sum(x) AS s FROM {a} WHERE x IN (SELECT x + 1 FROM {t})")]
+    first = merge.sql_steps(spark, {"t": spark.range(3).toDF("x")}, steps)
+    second = merge.sql_steps(spark, {"t": spark.range(5).toDF("x")}, steps)
+    assert first.first()["s"] == 6 and second.first()["s"] == 15
+    assert not {r.name for r in spark.catalog.listTables()} & {"a", "b", "t"}
+
+
+def test_tables_without_key(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "k int, v string")
+    assert tuples(merge.cdc_snapshot(a, b, [])) == Counter([("D", 1, "x"), ("I", 3, "y")])
+    assert sampling.infer_fks({"a": a}, {"a": "k"}).count() == 0
+
+
+def test_surrogates_tell_nulls_apart(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a|", "b"), ("a", "|b"), (None, None), ("-", "-")], "x string, y string")
+    for digest in ("md5", "xxhash64"):
+        assert df.select(filters.surrogate_key(["x", "y"], digest).alias("k")).distinct().count() == 6
 
 
 # --- sources ----------------------------------------------------------------
