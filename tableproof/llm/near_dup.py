@@ -15,12 +15,15 @@ Exactness, case by case:
   *sparse* and adds the keys of its sketch over all shingles, and one common key where even these
   are too few. Of a linked pair, either one set has enough blocks or both are sparse.
 * Sets with equal keys are first compared with the least of them only. Where that leaves several
-  components under one key, members of different components are compared by compact sketches in
-  chunks inside tasks, and what remains is verified on the sets. Pairs of one component need no test.
+  components under one key, members of different components are compared in chunks inside tasks. Compact
+  sketches, whose Hamming distance is a lower bound too, sort out most pairs; of the rest, tasks return spanning
+  forests between components, nearest pairs first, which are verified on the sets. Rounds repeat with more
+  forests, or with all pairs left where they are few, until every pair that the sketches allow is verified or within one component.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tableproof.llm import shingles as sh
 from tableproof.llm.graph import components
 from tableproof.llm.joins import lookup_join
-from tableproof.session import materialize
+from tableproof.session import fresh_path, materialize
 
 #: Bits of the filter that keeps unneeded sets out of a shuffle; a full filter costs time, not results.
 FILTER_BITS = 1 << 22
@@ -50,8 +53,8 @@ class Jaccard:
     frequent_sample: int = 4000
     #: Members of one chunk when sets under one key are compared; a sketch is 16 KB at most.
     chunk_members: int = 2048
-    #: Candidates a chunk returns per pair of components in the first round; doubled every round.
-    per_components: int = 64
+    #: Spanning forests a chunk returns in the first round, sixteen times as many in each further one.
+    forests: int = 1
 
     def bands(self) -> np.ndarray:
         """Lower bounds of the size bands, up to the largest int."""
@@ -198,8 +201,24 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "key bigint, center bigint, sid bigint")
 
 
-def _wanted_sets(docs: DataFrame, p: Jaccard, wanted: np.ndarray) -> DataFrame:
-    """sid and set (packed) of the texts whose sid may be wanted."""
+def _compact(tokens: np.ndarray) -> np.ndarray:
+    """Parity sketch of eight to sixteen bits per shingle, a power of two up to 2**17 bits."""
+    width = 1 << min(17, max(6, (8 * len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch on fewer bits: halves are XOR-ed, as if it had been made that narrow."""
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+def _wanted_sets(docs: DataFrame, p: Jaccard, wanted: np.ndarray) -> Stored:
+    """sid, size, compact sketch and set (packed) of the texts whose sid may be wanted, bucketed by sid."""
+    schema = "sid bigint, size bigint, bits binary, tokens binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw, seen = sh.powers(), set()
@@ -208,21 +227,57 @@ def _wanted_sets(docs: DataFrame, p: Jaccard, wanted: np.ndarray) -> DataFrame:
             for lo, hi, flat, sizes in sh.each_slice(batch.column(1), p.words, pw):
                 sid, ends = sh.set_ids(flat, sizes), np.cumsum(sizes)
                 hit = bits[(sid & np.uint64(FILTER_BITS - 1)).astype(np.int64)] & (sizes > 0)
-                ids, packed = [], []
+                rows = []
                 for i in np.flatnonzero(hit):
                     if sid[i] not in seen:
                         seen.add(sid[i])
-                        ids.append(sid[i])
-                        packed.append(flat[ends[i] - sizes[i] : ends[i]].tobytes())
+                        tokens = flat[ends[i] - sizes[i] : ends[i]]
+                        rows.append((sid[i], sizes[i], _compact(tokens).tobytes(), tokens.tobytes()))
                 if len(seen) > 1 << 18:
                     seen.clear()
-                if ids:
-                    yield pa.RecordBatch.from_arrays([_signed(np.array(ids, np.uint64)), pa.array(packed, pa.binary())], names=["sid", "tokens"])
+                if rows:
+                    ids, n, sketch, packed = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [_signed(np.array(ids, np.uint64)), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(packed, pa.binary())],
+                        names=["sid", "size", "bits", "tokens"],
+                    )
+
+    # Equal sets are equal rows but for their task, so any of them will do.
+    return Stored(docs.mapInArrow(run, schema), "sid")
+
 
-    return docs.mapInArrow(run, "sid bigint, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+class Stored:
+    """A table in the shared folder, bucketed by one key and with one row per key, so that joins on it shuffle only the other side."""
 
+    def __init__(self, rows: DataFrame, key: str):
+        self.spark, self.name = rows.sparkSession, f"near_dup_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        others = [F.first(c).alias(c) for c in rows.columns if c != key]
+        rows.repartition(n, key).groupBy(key).agg(*others).write.format("parquet").option(
+            "path", fresh_path(self.spark, "sets")
+        ).bucketBy(n, key).sortBy(key).saveAsTable(self.name)
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: Jaccard) -> DataFrame:
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> None:
+        """Takes the name out of the catalog; the files stay, as with every intermediate table."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
+
+def _paired(pairs: DataFrame, sets: Stored, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with these columns of both sets, as ``a_...`` and ``b_...``.
+
+    b is looked up in the bucketed table. a may be the center of very many pairs, so its columns are
+    shuffled, those of centers only, and Spark can split the pairs of one center.
+    """
+    named = lambda side: [F.col("sid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]]
+    centers = pairs.select(F.col("a").alias("sid")).distinct()
+    left = sets.rows().select("sid", *columns).join(centers, "sid", "left_semi").select(*named("a"))
+    return pairs.join(sets.rows().select(*named("b")), "b").join(left, "a")
+
+
+def _verified(pairs: DataFrame, sets: Stored, p: Jaccard) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,29 +293,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: Jaccard) -> DataFrame:
                 ok[i] = 100 * common >= p.percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
-    a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("left"))
-    b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("right"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right")
+    both = _paired(pairs, sets, "tokens").select("a", "b", "a_tokens", "b_tokens")
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _compact(tokens: np.ndarray) -> np.ndarray:
-    """Parity sketch of eight to sixteen bits per shingle, a power of two up to 2**17 bits."""
-    width = 1 << min(17, max(6, (8 * len(tokens) - 1).bit_length()))
-    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def _far(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two sketches, on the bits of the narrower."""
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, n) ^ _folded(y, n)).sum())
 
 
-def _folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """The sketch on fewer bits: halves are XOR-ed, as if it had been made that narrow."""
-    while len(bits) > words:
-        half = len(bits) // 2
-        bits = bits[:half] ^ bits[half:]
-    return bits
+def _allowed(pairs: DataFrame, sets: Stored, p: Jaccard) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow, with ``gap``, their distance in parts of the largest allowed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_a, size_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            far = np.array([
+                _far(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                for x, y in zip(batch.column(4), batch.column(5))
+            ], np.int64)
+            most = (100 - p.percent) * (size_a + size_b)
+            ok = ((100 + p.percent) * far <= most) & (100 * np.minimum(size_a, size_b) >= p.percent * np.maximum(size_a, size_b))
+            yield pa.RecordBatch.from_arrays(
+                [c.filter(pa.array(ok)) for c in batch.columns[:2]] + [pa.array((far / np.maximum(most, 1))[ok])], names=["a", "b", "gap"]
+            )
 
-def _compare(rows: list[tuple], first: int, second: int, p: Jaccard, most: int) -> Iterator[tuple[int, int, bool]]:
-    """Pairs of different components in one group whose sketches allow a link: (a, b, whether some were held back)."""
+    both = _paired(pairs, sets, "size", "bits").select("a", "b", "a_size", "b_size", "a_bits", "b_bits")
+    return both.mapInArrow(run, "a bigint, b bigint, gap double")
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Positions of a spanning forest of the edges (u, v), earlier edges first: every tree takes its first edge outward, in rounds."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = np.arange(len(nodes))
+    a, b = ends[: len(u)], ends[len(u) :]
+    at = np.arange(len(u))
+    taken: list[int] = []
+    while len(at):
+        both = np.concatenate([label[a[at]], label[b[at]]])
+        best = np.full(len(nodes), len(u))
+        np.minimum.at(best, both, np.concatenate([at, at]))
+        for e in np.unique(best[best < len(u)]).tolist():
+            x, y = a[e], b[e]
+            while label[x] != x:
+                x = label[x]
+            while label[y] != y:
+                y = label[y]
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                taken.append(e)
+        while (deeper := label[label]).tolist() != label.tolist():
+            label = deeper
+        at = at[label[a[at]] != label[b[at]]]
+    return np.array(taken, np.int64)
+
+
+def _compare(rows: list[tuple], first: int, second: int, p: Jaccard, forests: int) -> Iterator[tuple[int, int, bool]]:
+    """Edges of spanning forests between the components of one group, along pairs that the sketches allow.
+
+    (a, b, whether the group has allowed pairs that are in none of the forests)
+    """
     sid = np.array([r[0] for r in rows])
     comp = np.array([r[1] for r in rows])
     chunk = np.array([r[2] for r in rows])
@@ -277,28 +370,33 @@ def _compare(rows: list[tuple], first: int, second: int, p: Jaccard, most: int)
         if not len(to):
             continue
         far = np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        near = (100 + p.percent) * far <= (100 - p.percent) * (size[to] + size[i])
+        most = (100 - p.percent) * (size[to] + size[i])
+        near = (100 + p.percent) * far <= most
         if near.any():
-            found.append((np.full(int(near.sum()), i), to[near], far[near]))
+            found.append((np.full(int(near.sum()), i), to[near], (far / np.maximum(most, 1))[near]))
     if not found:
         return
-    x, y, far = (np.concatenate(c) for c in zip(*found))
-    held = False
-    if len(x) > most * len(rows):
-        u, v = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-        order = np.lexsort((far, v, u))
-        x, y, u, v = x[order], y[order], u[order], v[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-        at = np.flatnonzero(new)
-        rank = np.arange(len(x)) - at[np.cumsum(new) - 1]
-        held = bool((rank >= most).any())
-        x, y = x[rank < most], y[rank < most]
-    for i, j in zip(x, y):
-        yield min(int(sid[i]), int(sid[j])), max(int(sid[i]), int(sid[j])), held
-
-
-def _cross_candidates(shared: DataFrame, comps: DataFrame, sets: DataFrame, p: Jaccard, most: int) -> DataFrame:
+    x, y, gap = (np.concatenate(c) for c in zip(*found))
+    low, high = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
+    # The same order under every key, so that keys with the same sets choose the same pairs.
+    order = np.lexsort((high, low, gap))
+    low, high, u, v = low[order], high[order], comp[x][order], comp[y][order]
+    left = np.arange(len(low))
+    if forests > 1 and len(low) <= forests * len(rows):
+        # What verified links have not joined by now are mostly pairs just below the threshold.
+        for i, j in zip(low.tolist(), high.tolist()):
+            yield i, j, False
+        return
+    for _ in range(forests):
+        taken = _forest(u[left], v[left])
+        for i, j in zip(low[left[taken]].tolist(), high[left[taken]].tolist()):
+            yield i, j, len(taken) < len(left)
+        left = np.delete(left, taken)
+        if not len(left):
+            break
+
+
+def _cross_candidates(shared: DataFrame, comps: DataFrame, sets: Stored, p: Jaccard, forests: int) -> DataFrame:
     """(a, b, held): pairs under one key in different components, neither of them the key's center."""
     member = shared.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left").select(
         "key", "sid", F.coalesce("component", "sid").alias("component")
@@ -307,17 +405,7 @@ def _cross_candidates(shared: DataFrame, comps: DataFrame, sets: DataFrame, p: J
     open_keys = member.groupBy("key").agg(
         F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("greatest")
     ).where("least <> greatest").select("key", "n")
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array([_compact(t).tobytes() for t in tokens], pa.binary())],
-                names=["sid", "size", "bits"],
-            )
-
-    sketches = sets.select("sid", "tokens").mapInArrow(sketch, "sid bigint, size bigint, bits binary")
-    rows = member.join(open_keys, "key").join(sketches, "sid")
+    rows = member.join(open_keys, "key").join(sets.rows().select("sid", "size", "bits"), "sid")
     rows = rows.withColumn("chunks", F.ceil(F.col("n") / F.lit(p.chunk_members)).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -331,7 +419,7 @@ def _cross_candidates(shared: DataFrame, comps: DataFrame, sets: DataFrame, p: J
 
         def close():
             if len(rows_of) > 1:
-                yield from _compare(rows_of, group[1], group[2], p, most)
+                yield from _compare(rows_of, group[1], group[2], p, forests)
 
         def packed(pairs):
             a, b, held = zip(*pairs)
@@ -354,6 +442,39 @@ def _cross_candidates(shared: DataFrame, comps: DataFrame, sets: DataFrame, p: J
     return dealt.mapInArrow(compare, "a bigint, b bigint, held boolean").groupBy("a", "b").agg(F.bool_or("held").alias("held"))
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components so far."""
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+    both = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(~F.coalesce("a_in", "a").eqNullSafe(F.coalesce("b_in", "b"))).select("a", "b")
+
+
+def _linked(shared: DataFrame, sets: Stored, p: Jaccard) -> DataFrame:
+    """(node, component) of all sets that link with another."""
+    pairs = shared.select(F.col("center").alias("a"), F.col("sid").alias("b")).distinct()
+    near = materialize(_allowed(pairs, sets, p), "near-pairs")
+    # One link ties a set to its center's component; further pairs matter only between components.
+    best = materialize(near.groupBy("b").agg(F.min_by("a", "gap").alias("a")).select("a", "b"), "nearest-pairs")
+    edges = materialize(_verified(best, sets, p), "links")
+    comps = components(edges)
+    rest = materialize(_apart(near.join(best, ["a", "b"], "left_anti"), comps), "other-pairs")
+    edges = edges.unionByName(materialize(_verified(rest, sets, p), "links"))
+    # Keys with one set beside their center are settled now.
+    several = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = materialize(shared.join(several, "key").select("key", "sid"), "several")
+    forests = p.forests
+    while True:
+        comps = components(edges)
+        found = materialize(_cross_candidates(several, comps, sets, p, forests), "cross-pairs")
+        held = found.agg(F.bool_or("held")).first()[0]
+        if held is None:
+            return comps
+        edges = edges.unionByName(materialize(_verified(found.select("a", "b"), sets, p), "links"))
+        if not held:
+            return components(edges)
+        forests *= 16
+
+
 def near_duplicates(docs: DataFrame, p: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -373,31 +494,13 @@ def _labelled(docs: DataFrame, p: Jaccard, id_col: str = "doc_id", text_col: str
     sketched = materialize(_sketched(docs, p, stop), "sketched")
     rows = sketched.select("doc_id", "hash", "n_shingles", "sid")
     shared = materialize(_shared(sketched.where("size(keys) > 0").select(F.explode("keys").alias("key"), "sid")), "shared")
-    pairs = materialize(shared.select(F.col("center").alias("a"), F.col("sid").alias("b")).distinct(), "center-pairs")
-
     slot = lambda c: F.col(c).bitwiseAND(F.lit(FILTER_BITS - 1))
-    slots = pairs.select(F.explode(F.array(slot("a"), slot("b"))).alias("slot")).distinct().toPandas()["slot"]
+    slots = shared.select(F.explode(F.array(slot("center"), slot("sid"))).alias("slot")).distinct().toPandas()["slot"]
     flags = np.zeros(FILTER_BITS, np.uint8)
     flags[slots.to_numpy(np.int64)] = 1
-    sets = materialize(_wanted_sets(docs, p, np.packbits(flags)), "sets")
-
-    edges = materialize(_verified(pairs, sets, p), "links")
-    # Keys with one set beside their center are settled by the first comparison.
-    several = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rest = materialize(shared.join(several, "key").select("key", "sid"), "several")
-    comps = components(edges)
-    most = p.per_components
-    while True:
-        found = materialize(_cross_candidates(rest, comps, sets, p, most), "cross-pairs")
-        any_held = found.agg(F.bool_or("held")).first()[0]
-        if any_held is None:
-            break
-        more = materialize(_verified(found.select("a", "b"), sets, p), "links")
-        edges = edges.unionByName(more)
-        comps = components(edges)
-        if not any_held:
-            break
-        most *= 2
+    sets = _wanted_sets(docs, p, np.packbits(flags))
+    comps = _linked(shared, sets, p)
+    sets.close()
 
     own = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("weight"))
     own = own.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left")

@@ -68,7 +68,7 @@ def test_against_all_pairs(spark, k, percent, share):
     rng = np.random.default_rng(k * percent)
     rows = variants(rng, 12, 25, " ".join(f"passage{i}" for i in range(40)))
     rows += [(2000 + i, t) for i, (_, t) in enumerate(rows[:40])] + [(3000, None), (3001, ""), (3002, "a"), (3003, "A"), (3004, "a b")]
-    p = Jaccard(words=k, percent=percent, frequent_share=share, chunk_members=16, per_components=2)
+    p = Jaccard(words=k, percent=percent, frequent_share=share, chunk_members=16)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), p)
     assert Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows, k, percent)
 
