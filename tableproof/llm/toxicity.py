@@ -29,11 +29,11 @@ class OrdinalParams:
     least_rows: int = 4
     #: Least difference, in standard errors, between a feature's shares in the lowest and the other grades.
     screen: float = 2.5
-    l1: float = 3e-4
-    steps: int = 150
+    l1: float = 1e-3
+    steps: int = 400
     rate: float = 0.5
     #: Rows of this expected severity or more are rejected.
-    reject_at: float = 0.5
+    reject_at: float = 0.25
 
 
 @dataclass(frozen=True)
