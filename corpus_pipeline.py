@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     p = mixing.MixParams(least=1.0)
     model = mixing.train_domains(docs, _labels(spark, sf_dir), domain_of_label(), p)
     rows = mixing.mixed(docs, mixing.fit_rates(docs, model, p=p))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,15 +90,9 @@ def keep_first_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     Texts travel once, to meet their decision. The winner of a text is named by id; where several
     rows have that id and text, one of them stays.
     """
-    cols = docs.columns
-    verdict = index.ingest(docs).where("kept").select(
-        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")
-    )
-    rows = docs.withColumn("__digest", text_digest(F.col("text"))).withColumn("__id", F.col("doc_id").cast("bigint"))
-    rows = rows.alias("a").join(
-        verdict.alias("b"),
-        (F.col("a.__digest") == F.col("b.__digest")) & F.col("a.__id").eqNullSafe(F.col("b.__id")),
-        "left_semi",
-    )
-    nth = F.row_number().over(Window.partitionBy("__digest").orderBy("__id"))
-    return rows.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in cols])
+    verdict = index.ingest(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
+    # The row travels as one struct, so that no column of its can clash with those used here.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_digest(F.col("text")).alias("digest"))
+    rows = rows.join(verdict, (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("digest").orderBy("id"))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")

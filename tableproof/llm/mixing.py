@@ -199,7 +199,7 @@ def fit_rates(docs: DataFrame, model: DomainModel, shares=tempered, budget: floa
 
 
 def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with a struct ``__mix``: tokens, domain, posterior, rate, copies.
+    """``docs`` (doc_id, text and any others) as a struct ``row``, beside a struct ``mix``: tokens, domain, posterior, rate, copies.
 
     domain is the likeliest one (ties: the first by name); copies is the rate rounded up or down
     by a number in [0, 1) that the doc_id fixes, so that its expectation is the rate. Null texts count
@@ -223,4 +223,4 @@ def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
             )
 
     number = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(31)), F.lit(1 << 40)) / float(1 << 40)
-    return docs.withColumn("__mix", rate(F.col("text").cast("string"), number))
+    return docs.select(F.struct("*").alias("row"), rate(F.col("text").cast("string"), number).alias("mix"))

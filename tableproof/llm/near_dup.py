@@ -522,13 +522,14 @@ def keep_one_per_component(docs: DataFrame, p: Jaccard = Jaccard()) -> DataFrame
     Rows without words stay. Rows that share id and text (repeated rows) leave one; a component without
     ids (all null) leaves one text. Texts travel once, to meet their verdict.
     """
-    cols = docs.columns
     rated = materialize(_labelled(docs, p), "near-copies")
     first = rated.where("component IS NOT NULL AND doc_id <=> component_id").groupBy("component", "doc_id").agg(F.min("hash").alias("hash"))
     wordless = rated.where("component IS NULL").select("doc_id", "hash").distinct()
     stays = first.select("doc_id", "hash").unionByName(wordless)
-    stays = stays.select(F.col("doc_id").alias("__b_id"), F.col("hash").alias("__b_hash"))
-    rows = docs.withColumn("__id", F.col("doc_id").cast("bigint")).withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(stays, F.col("__id").eqNullSafe(F.col("__b_id")) & (F.col("__hash") == F.col("__b_hash")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
-    return rows.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in cols])
+    stays = stays.select(F.col("doc_id").alias("kept_id"), F.col("hash").alias("kept_hash"))
+    # The row travels as one struct, so that no column of its can clash with those used here.
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text).alias("hash"))
+    rows = rows.join(stays, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")

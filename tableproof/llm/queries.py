@@ -69,7 +69,7 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = mixing.train_domains(docs, _read(spark, sf_dir, "labels"), domain_of_label())
     mixture = mixing.fit_rates(docs, model)
-    return mixing.mixed(docs.select("doc_id", "text"), mixture).select("doc_id", "__mix.*")
+    return mixing.mixed(docs.select("doc_id", "text"), mixture).select("row.doc_id", "mix.*")
 
 
 @_query("op6_license_digests", sql=license_scan.scan_sql())

@@ -25,7 +25,7 @@ def test_totals_meet_targets(spark):
     want = lambda totals: np.array([0.3, 0.3, 0.4])
     mixture = fit_rates(docs, model, shares=want, p=p)
     assert np.abs(mixture.totals / mixture.targets - 1).max() < 0.02
-    rows = mixed(docs.select("doc_id", "text"), mixture).select("doc_id", "__mix.*").collect()
+    rows = mixed(docs.select("doc_id", "text"), mixture).select("row.doc_id", "mix.*").collect()
     right = np.mean([r.domain == "abc"[0 if r.doc_id % 10 < 6 else 1 if r.doc_id % 10 < 9 else 2] for r in rows if r.doc_id % 2 == 0])
     assert right > 0.97
     assert all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
@@ -55,7 +55,7 @@ def test_least_rate_keeps_every_row(spark):
     docs, labels = corpus(spark)
     p = MixParams(least=1.0)
     mixture = fit_rates(docs, train_domains(docs, labels, F.col("d"), p), p=p)
-    rows = mixed(docs.select("doc_id", "text"), mixture).select("__mix.*").collect()
+    rows = mixed(docs.select("doc_id", "text"), mixture).select("mix.*").collect()
     assert min(r.copies for r in rows) >= 1 and max(r.copies for r in rows) > 1
     assert np.abs(mixture.totals / mixture.targets - 1).max() < 0.05
 
@@ -64,8 +64,8 @@ def test_nulls_and_empty_tables(spark, docs):
     one = train_domains(docs, spark.createDataFrame([], "doc_id bigint, d string"), F.col("d"))
     assert one.domains == ("all",)
     rows = mixed(docs, fit_rates(docs, one))
-    assert rows.columns == [*docs.columns, "__mix"] and rows.count() == docs.count()
-    assert all(abs(r.rate - 1) < 1e-9 for r in rows.select("__mix.*").collect())
+    assert rows.select("row.*").columns == docs.columns and rows.count() == docs.count()
+    assert all(abs(r.rate - 1) < 1e-9 for r in rows.select("mix.*").collect())
     assert mixed(docs.limit(0), fit_rates(docs.limit(0), one)).count() == 0
     only_empty = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
     assert mixed(only_empty, fit_rates(only_empty, DomainModel(("a", "b"), np.zeros((1 << 15, 2), np.float32), np.zeros(2)))).count() == 2
