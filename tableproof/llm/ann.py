@@ -3,8 +3,10 @@
 A pseudo-random rotation (sign flips and fast Hadamard transforms, three times) turns a unit vector,
 and the signed axis nearest to it is its hash. A table joins the axes of two rotations into one
 bucket number. Queries probe buckets in the order of the sums of their two coordinates, until the
-buckets probed hold a set number of rows; the rows met in any table are ranked by their exact
-cosine. Buckets are never joined row by row: cells of buckets meet their queries in bounded blocks.
+buckets probed hold a number of rows; the rows met in any table are ranked by their exact cosine.
+That number is fitted on every run: a bounded set of queries is compared with all rows, and their
+true neighbours' buckets tell how far queries have to probe for the wanted recall, whatever the
+table's size. Buckets are never joined row by row: cells of buckets meet their queries in bounded blocks.
 """
 
 from __future__ import annotations
@@ -25,14 +27,20 @@ class CrossPolytope:
     """Parameters of the index."""
 
     tables: int = 10
-    #: A query probes a table until its buckets hold this many times the square root of all rows.
+    #: A query probes a table until its buckets hold this many times the square root of all rows, at least.
     probe_factor: float = 5.0
     least_probed: int = 64
+    #: Share of the true neighbours of the fitted queries that probing has to find, less two standard errors.
+    recall: float = 0.95
+    #: Queries that are compared with all rows, at most.
+    fit_queries: int = 512
     #: Cells that a table's buckets are dealt into.
     cells: int = 16
     #: Rows and queries that meet in one task.
     block_rows: int = 16_384
     block_queries: int = 16_384
+    #: Bytes of probe lists that one batch of dealt queries holds, about.
+    batch_bytes: int = 8 << 20
     seed: int = 17
 
 
@@ -136,7 +144,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, p: CrossPolytope = CrossPo
     signs = rotations(dim, p)
     axes = 2 * signs.shape[3]
     counts = _bucket_counts(index, signs, axes)
-    found = _search(index, _packed(shared.select("first_id", "vector")), signs, counts, axes, n, k, p)
+    asked = _packed(shared.select("first_id", "vector"))
+    least = max(p.least_probed, k + 1, int(np.ceil(p.probe_factor * np.sqrt(n))))
+    budget = max(least, _fitted_budget(index, asked, signs, counts, axes, k, p))
+    found = _search(index, asked, signs, counts, axes, budget, k, p)
     best = Window.partitionBy("first_id").orderBy(F.desc("score"), "vec_id")
     few = found.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     few = few.groupBy("first_id").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
@@ -168,9 +179,65 @@ def _bucket_counts(index: DataFrame, signs: np.ndarray, axes: int) -> np.ndarray
     return counts.reshape(len(signs), axes * axes)
 
 
-def _search(index, queries, signs, counts, axes, n, k, p: CrossPolytope) -> DataFrame:
+def _probe_order(a: np.ndarray, b: np.ndarray, filled: np.ndarray, axes: int) -> np.ndarray:
+    """Filled buckets of a table in the order in which a query with these coordinates probes them."""
+    return filled[np.argsort(-(a[filled // axes] + b[filled % axes]), kind="stable")]
+
+
+def _fitted_budget(index, queries, signs, counts, axes, k, p: CrossPolytope) -> int:
+    """Rows to probe per table so that ``p.recall`` of the true neighbours are met in one table or another.
+
+    Up to ``p.fit_queries`` queries are compared with all rows in one pass. A true neighbour is met as
+    soon as some table is probed up to its bucket, so what it needs is known without searching.
+    """
+    chosen = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.fit_queries).toArrow().combine_chunks()
+    own, asked = chosen.column(0).to_numpy(), _unit(_matrix(chosen.column(1).combine_chunks()))
+
+    def nearest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                ids, unit = batch.column(0)[lo : lo + 4096].to_numpy(), _unit(_matrix(batch.column(1)[lo : lo + 4096]))
+                score = asked @ unit.T
+                score[own[:, None] == ids] = -np.inf
+                m = min(k, len(ids))
+                at = np.argpartition(-score, m - 1, axis=1)[:, :m]
+                q, at = np.repeat(np.arange(len(own)), m), at.ravel()
+                met, back = np.unique(at, return_inverse=True)
+                codes = np.stack([_codes(unit[met], table) for table in signs], axis=1)[back]
+                ends = np.arange(len(at) + 1, dtype=np.int32) * len(signs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q), pa.array(ids[at]), pa.array(score[q, at]), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel()))],
+                    names=["q", "vec_id", "score", "codes"],
+                )
+
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    near = index.mapInArrow(nearest_rows, "q bigint, vec_id bigint, score double, codes array<bigint>").where(F.col("score") > float("-inf"))
+    near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("q", "codes").collect()
+    if not near:
+        return 0
+    q, codes = np.array([r["q"] for r in near]), np.array([r["codes"] for r in near])
+    need = np.full(len(q), counts.sum())
+    for t, table in enumerate(signs):
+        a, b = _turned(asked, table[0]), _turned(asked, table[1])
+        filled = np.flatnonzero(counts[t])
+        before = np.zeros(axes * axes, np.int64)
+        for i in np.unique(q):
+            order = _probe_order(a[i], b[i], filled, axes)
+            # A bucket is probed once those before it hold fewer rows than the budget.
+            before[order] = np.cumsum(counts[t][order]) - counts[t][order]
+            mine = q == i
+            need[mine] = np.minimum(need[mine], before[codes[mine, t]] + 1)
+    per_query = np.bincount(q, minlength=len(own))
+    asks = per_query > 0
+    for budget in np.unique(need):
+        hits = (np.bincount(q, weights=need <= budget, minlength=len(own))[asks]) / per_query[asks]
+        if hits.mean() - 2 * hits.std() / np.sqrt(len(hits)) >= p.recall:
+            return int(budget)
+    return int(need.max())
+
+
+def _search(index, queries, signs, counts, axes, budget, k, p: CrossPolytope) -> DataFrame:
     """first_id, vec_id, score: per query and block the k + 1 best of the rows in probed buckets."""
-    budget = max(p.least_probed, k + 1, int(np.ceil(p.probe_factor * np.sqrt(n))))
     cell_of = (np.arange(axes * axes) // axes) * p.cells // axes
     sizes = np.stack([np.bincount(cell_of, weights=c, minlength=p.cells) for c in counts]).astype(np.int64)
     row_blocks = np.maximum(1, -(-sizes // p.block_rows))
@@ -207,9 +274,9 @@ def _search(index, queries, signs, counts, axes, n, k, p: CrossPolytope) -> Data
             for t, table in enumerate(signs):
                 a, b = _turned(unit, table[0]), _turned(unit, table[1])
                 filled = np.flatnonzero(counts[t])
-                rows, cells, probes = [], [], []
+                rows, probes, held = [], [], 0
                 for i in range(len(ids)):
-                    order = filled[np.argsort(-(a[i][filled // axes] + b[i][filled % axes]), kind="stable")]
+                    order = _probe_order(a[i], b[i], filled, axes)
                     last = int(np.searchsorted(np.cumsum(counts[t][order]), budget)) + 1
                     probed = np.sort(order[:last])
                     cell = cell_of[probed]
@@ -218,11 +285,15 @@ def _search(index, queries, signs, counts, axes, n, k, p: CrossPolytope) -> Data
                         for r in range(row_blocks[t][c]):
                             rows.append((i, c, r))
                             probes.append(mine)
-                at = np.array([r[0] for r in rows])
-                yield out(
-                    np.full(len(rows), t), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), salted(ids[at], query_blocks),
-                    ids[at], batch.column(1).take(pa.array(at)), pa.array(probes, pa.binary()), "first_id",
-                )
+                            held += len(mine)
+                    if held < p.batch_bytes and i + 1 < len(ids):
+                        continue
+                    at = np.array([r[0] for r in rows])
+                    yield out(
+                        np.full(len(rows), t), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), salted(ids[at], query_blocks),
+                        ids[at], batch.column(1).take(pa.array(at)), pa.array(probes, pa.binary()), "first_id",
+                    )
+                    rows, probes, held = [], [], 0
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         first, second, scores = [], [], []

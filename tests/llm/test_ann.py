@@ -46,6 +46,15 @@ def test_recall(spark, dim):
     assert all(s == scores[q][i] for q, v in got.items() for i, s in v if i in scores[q])
 
 
+def test_probing_is_fitted_to_the_rows(spark):
+    """A start as small beside the table as the square root is beside a very large one."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.standard_normal(64).astype(np.float32)]) for i in range(6000)]
+    got, want = search(spark, rows, p=CrossPolytope(probe_factor=0.5, least_probed=8)), exact(rows, 5)
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]
+    assert np.mean(hits) >= 0.9 and all(len(v) == 5 for v in got.values())
+
+
 def test_copies_ties_and_unusable_rows(spark):
     rng = np.random.default_rng(4)
     same = [1.0, 2.0, 0.0, -1.0]
