@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tableproof.llm import ann, chat_format, exact_dedup, license_scan, mixing, near_dup, packing, sharding, toxicity, url_filter
+from tableproof.llm import ann, chat_format, exact_dedup, license_scan, license_texts, mixing, near_dup, packing, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,7 +75,7 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_license_digests", sql=license_scan.scan_sql())
 def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digest of every document, the licence it is, and the licences its lines announce."""
-    return license_scan.scan(_read(spark, sf_dir, "documents"), license_scan.known_digests(spark))
+    return license_scan.scan(_read(spark, sf_dir, "documents"), license_scan.known_digests(spark, license_texts.all_known()))
 
 
 @_query("op7_feistel_shards")
