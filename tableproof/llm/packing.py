@@ -141,7 +141,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Tokenizer(tokenizer)
+        encoder = Tokenizer(tokenizer, encode_special_tokens=False)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]

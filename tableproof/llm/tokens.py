@@ -3,12 +3,14 @@
 Texts are cut at spaces. A space that does not touch other white space always begins a new
 pre-token, so a word with its leading space has the same ids wherever it stands. Each different
 word of a slice is therefore encoded once, and ids are gathered by numpy. Texts in which a space
-touches white space behind it, or which end in a space, are encoded whole.
+touches white space behind it, or which end in a space, are encoded whole. Texts that contain an
+added token of the file go to the file's own tokenizer.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +34,35 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Tokenizer:
-    """Ids as the vocabulary file's tokenizer gives them without special tokens; their strings in a text are ordinary text."""
+    """Ids as the vocabulary file's tokenizer gives them when it adds no special tokens of its own.
 
-    def __init__(self, path: str):
+    ``encode_special_tokens`` is the tokenizer's: if true, added tokens that a text shows are ordinary
+    text; if false, as by the tokenizer's default, they have their own ids.
+    """
+
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = _byte_of_char()
         special = {t["content"] for t in spec["added_tokens"]}
+        self._path, self._original = path, None
+        self._added = "|".join(re.escape(t) for t in sorted(special)) if special and not encode_special_tokens else None
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self._core = tiktoken.Encoding(path, pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
         self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self._bytes[i] = len(token)
 
+    def _with_added(self, text: str) -> np.ndarray:
+        """Ids of a text that contains added tokens, by the original; it is loaded when first needed."""
+        if self._original is None:
+            import tokenizers
+
+            self._original = tokenizers.Tokenizer.from_file(self._path)
+        return np.array(self._original.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._core.encode_ordinary(text), np.uint32)
 
@@ -74,6 +90,10 @@ class Tokenizer:
 
     def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
         odd = pc.match_substring_regex(texts, _TOUCHING).to_numpy(zero_copy_only=False)
+        added = np.zeros(len(texts), bool)
+        if self._added:
+            added = pc.match_substring_regex(texts, self._added).to_numpy(zero_copy_only=False)
+            odd = odd | added
         split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         if isinstance(split, pa.ChunkedArray):
             split = split.combine_chunks()
@@ -96,7 +116,7 @@ class Tokenizer:
         nth = 0
         for i, is_odd in enumerate(odd.tolist()):
             if is_odd:
-                yield self.whole(texts[i].as_py())
+                yield (self._with_added if added[i] else self.whole)(texts[i].as_py())
             else:
                 yield flat[bounds[nth] : bounds[nth + 1]]
                 nth += 1

@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -33,6 +34,26 @@ def test_ids_are_the_tokenizers(tokenizers, rows):
     assert [x.tolist() for x in ours.encode(pa.array(rows, pa.string()))] == want
 
 
+@given(texts)
+@settings(max_examples=200, deadline=None)
+def test_ids_are_those_of_the_unmodified_tokenizer(rows):
+    ours, original = unmodified()
+    want = [e.ids for e in original.encode_batch(rows, add_special_tokens=False)]
+    assert [x.tolist() for x in ours.encode(pa.array(rows, pa.string()))] == want
+
+
+@functools.cache
+def unmodified():
+    return Tokenizer(PATH, encode_special_tokens=False), Original.from_file(PATH)
+
+
+def test_documents_that_show_an_added_token(spark):
+    text = "a <|endoftext|> b"
+    (row,) = pack_documents(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), PATH).collect()
+    ids = unmodified()[1].encode(text, add_special_tokens=False).ids + [2]
+    assert 50256 in ids and (row["length"], row["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def check_runs(histogram, limits, runs, bins):
     """Every piece has one place, bins have no gaps, and no limit is broken."""
     ranks, places = defaultdict(list), defaultdict(list)
