@@ -3,13 +3,15 @@
 A classifier fitted on labelled rows gives every document a posterior over domains, the mean over its
 words of one learnt vector per hashed word, through a softmax. A document's rate is how often it
 is expected in the mixture; the expected tokens of domain d are the sum of rate * tokens * posterior(d).
-Rates minimise the squared relative misfit to target totals, subject to rate >= least. The gradient of
-a document's rate depends on all others only through the D domain totals, so each projected-gradient step is
-one aggregate of D numbers, and any document's rate follows from its posterior and the steps' D-vectors.
+Rates minimise the squared relative misfit to target totals, subject to rate >= least; of rates that fit
+alike, those nearest to the start are taken. That optimum is max(least, start + posterior . multipliers) with
+one multiplier per domain, found by Newton steps: each is one aggregate of the D totals and of the D x D
+matrix sum(tokens * posterior * posterior') over rows whose rate is free, for a few step lengths at once.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,6 +23,8 @@ from tableproof.llm import shingles as sh
 from tableproof.llm.features import feature_rows, labelled_sample
 from tableproof.session import materialize
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class MixParams:
@@ -32,9 +36,10 @@ class MixParams:
     l2: float = 1e-6
     #: Least rate of a document; 0 lets a document be left out.
     least: float = 0.0
-    #: Projected-gradient steps, at most, and the relative misfit at which they end.
-    steps: int = 60
+    #: Relative misfit from which a target counts as one that cannot be reached.
     tolerance: float = 2e-3
+    #: Weight of the distance to the start beside the misfit; a target reached is missed by this times its multiplier.
+    ridge: float = 1e-7
 
 
 @dataclass(frozen=True)
@@ -136,6 +141,16 @@ class Mixture:
     totals: np.ndarray
     targets: np.ndarray
 
+    @property
+    def misfit(self) -> np.ndarray:
+        """Expected tokens less target, relative to the target, or to a D-th of all targets where that is zero."""
+        return (self.totals - self.targets) / np.maximum(np.where(self.targets > 0, self.targets, self.targets.mean()), 1e-9)
+
+    @property
+    def unreached(self) -> tuple[str, ...]:
+        """Domains whose targets no rates can reach together with the others."""
+        return tuple(d for d, x in zip(self.model.domains, self.misfit) if abs(x) > self.params.tolerance)
+
 
 def tempered(totals: np.ndarray, power: float = 0.7) -> np.ndarray:
     """Target shares that raise small domains: shares to a power below one, normalised."""
@@ -148,8 +163,9 @@ def fit_rates(docs: DataFrame, model: DomainModel, shares=tempered, budget: floa
 
     ``shares`` maps the domains' present totals to target shares; ``budget`` is the present total if
     not given, or, where rates have a least value of 1, what keeps every domain's target at its
-    present total or above. In the metric that weighs a rate by the document's tokens, with misfits relative
-    to present totals, the largest curvature is 1, so steps of length 1 always descend.
+    present total or above. Distances to the start weigh a rate by the document's tokens, misfits
+    are relative to present totals. Steps end on convergence; targets out of reach are logged and
+    named by the mixture.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,38 +180,64 @@ def fit_rates(docs: DataFrame, model: DomainModel, shares=tempered, budget: floa
     rows = materialize(docs.select(F.col("text").cast("string")).mapInArrow(run, "tokens bigint, posts array<double>"), "posteriors")
     k = len(model.domains)
 
-    def totals(steps: list[np.ndarray], base: float) -> np.ndarray:
+    def states(points: Sequence[np.ndarray], base: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Per vector of multipliers: domain totals, their derivative, and the sum whose gradient they are."""
+
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+            sums = np.zeros((len(points), k + k * k + 1))
             for batch in batches:
                 if batch.num_rows:
-                    tokens = batch.column(0).to_numpy()
+                    tokens = batch.column(0).to_numpy().astype(float)
                     posts = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                    total += (tokens * rates_after(posts, steps, base, p.least)) @ posts
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total)], names=["d", "total"])
-
-        out = np.zeros(k)
-        for r in rows.mapInArrow(add, "d bigint, total double").groupBy("d").agg(F.sum("total").alias("total")).collect():
-            out[r["d"]] = r["total"]
-        return out
-
-    present = totals([], 1.0) if p.least <= 1.0 else totals([], 1.0) / p.least
+                    for i, point in enumerate(points):
+                        wish = max(base, p.least) + posts @ point
+                        rate = np.maximum(p.least, wish)
+                        free = posts * (tokens * (wish > p.least))[:, None]
+                        sums[i, :k] += (tokens * rate) @ posts
+                        sums[i, k:-1] += (free.T @ posts).ravel()
+                        sums[i, -1] += tokens @ (rate * (wish - rate / 2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["at", "x"])
+
+        out = np.zeros(len(points) * (k + k * k + 1))
+        for r in rows.mapInArrow(add, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            out[r["at"]] = r["x"]
+        return [(x[:k], x[k:-1].reshape(k, k), float(x[-1])) for x in out.reshape(len(points), -1)]
+
+    zero = np.zeros(k)
+    present = states([zero], 1.0)[0][0] / max(1.0, p.least)
     share = np.asarray(shares(present), float)
     size = present.sum() if budget is None else budget
     if budget is None and p.least == 1.0:
         size = max([size, *(present[share > 0] / share[share > 0])])
     target = share * size
     base = size / present.sum() if present.sum() else 1.0
-    steps: list[np.ndarray] = []
-    now = totals(steps, base)
-    scale = np.maximum(present, 1e-9)
-    for _ in range(p.steps):
-        off = now - target
-        if np.abs(off).max(initial=0) <= p.tolerance * max(size, 1e-9) / k:
-            break
-        steps.append(off / scale)
-        now = totals(steps, base)
-    return Mixture(model, p, base, tuple(steps), now, target)
+    scale = np.maximum(present, 1e-9 * max(size, 1.0))
+    at = zero
+    now, slope, height = states([at], base)[0]
+
+    def off(point, totals):
+        return totals - target + p.ridge * scale * point
+
+    def value(point, height):
+        return height - target @ point + p.ridge / 2 * (scale * point) @ point
+
+    while np.abs(off(at, now)).max() > 1e-9 * max(size, 1e-9):
+        step = -np.linalg.solve(slope + p.ridge * np.diag(scale), off(at, now))
+        points = [at + step * 0.5**i for i in range(12)]
+        tried = states(points, base)
+        best = min(range(12), key=lambda i: value(points[i], tried[i][2]))
+        if not value(points[best], tried[best][2]) < value(at, height):
+            # Near the optimum the values differ by less than doubles tell; the gradient decides.
+            best = min(range(12), key=lambda i: np.abs(off(points[i], tried[i][0])).max())
+            if not np.abs(off(points[best], tried[best][0])).max() < np.abs(off(at, now)).max():
+                break
+        at, (now, slope, height) = points[best], tried[best]
+    mixture = Mixture(model, p, base, (-at,), now, target)
+    if mixture.unreached:
+        log.warning("mixing: out of reach: %s", ", ".join(
+            f"{d} ({t:.0f} tokens for {g:.0f})" for d, t, g in zip(model.domains, now, target) if d in mixture.unreached
+        ))
+    return mixture
 
 
 def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:

@@ -1,6 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
-from tableproof.llm.mixing import DomainModel, MixParams, fit_rates, mixed, rates_after, tempered, train_domains
+from tableproof.llm import shingles as sh
+from tableproof.llm.mixing import DomainModel, MixParams, fit_rates, mixed, posteriors_of, rates_after, tempered, train_domains
 
 
 def corpus(spark, n=1200):
@@ -73,3 +76,35 @@ def test_nulls_and_empty_tables(spark, docs):
 
 def test_tempered_shares():
     assert np.allclose(tempered(np.array([1.0, 0.0, 1.0])), [0.5, 0, 0.5]) and tempered(np.zeros(2)).sum() == 0
+
+
+def soft(prior, seed=3):
+    """A model that is sure of nothing, and texts."""
+    rng = np.random.default_rng(seed)
+    model = DomainModel(("a", "b", "c"), rng.normal(0, 1.5, (1 << 15, 3)).astype(np.float32), np.log(prior))
+    return model, [(i, " ".join(f"w{j}" for j in rng.integers(0, 5000, size=int(rng.integers(5, 60))))) for i in range(1500)]
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_small_domains_meet_their_targets(spark, least):
+    model, rows = soft([0.6, 0.39, 0.01])
+    tokens, posts = posteriors_of(pa.array([t for _, t in rows]), model, MixParams(), sh.powers())
+    # Totals that some rates have can be reached.
+    rates = 1.0 + 20.0 * (posts[:, 2] > 3 * posts[:, 2].mean())
+    want = (tokens * rates) @ posts
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    mixture = fit_rates(docs, model, lambda t: want / want.sum(), budget=want.sum(), p=MixParams(least=least))
+    assert np.abs(mixture.totals / mixture.targets - 1).max() < 1e-3 and mixture.unreached == ()
+    out = mixed(docs, mixture).select("mix.*").collect()
+    assert min(r.rate for r in out) >= least
+    assert abs(sum(r.rate * r.tokens for r in out) / mixture.targets.sum() - 1) < 1e-3
+
+
+def test_targets_out_of_reach_are_named(spark):
+    docs = spark.createDataFrame([(1, "x y z"), (2, "u v")], "doc_id bigint, text string")
+    flat = DomainModel(("a", "b"), np.zeros((1 << 15, 2), np.float32), np.log([0.9, 0.1]))
+    mixture = fit_rates(docs, flat, shares=lambda t: np.array([0.5, 0.5]))
+    assert mixture.unreached == ("a", "b") and mixture.targets.tolist() == [2.5, 2.5]
+    # The least squares of both relative misfits: totals are 4.5 r and 0.5 r.
+    r = (4.5 * 2.5 / 4.5 + 0.5 * 2.5 / 0.5) / (4.5**2 / 4.5 + 0.5**2 / 0.5)
+    assert np.allclose(mixture.totals, [4.5 * r, 0.5 * r], rtol=1e-3)
