@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tableproof.llm import ann, chat_format, exact_dedup, license_scan, license_texts, mixing, near_dup, packing, sharding, toxicity, url_filter
+from tableproof.llm import ann, chat_format, exact_dedup, license_scan, license_texts, mixing, near_dup, packing, runs, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,21 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
     labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+@_query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, loops planted in a tenth of them by their number."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = _read(spark, sf_dir, "documents").select(
+        "doc_id", runs.periodic_runs(runs.looped(F.coalesce("text", F.lit("")), number)).alias("r")
+    )
+    lines = F.transform("r.runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    best = F.col("r.strongest")
+    return found.select(
+        "doc_id", F.size("r.runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("r.strongest.length * 1000 div r.strongest.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2(F.col("r.collapsed"), 256).alias("collapsed_sha256"),
+    )
