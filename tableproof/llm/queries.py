@@ -127,15 +127,14 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, loops planted in a tenth of them by their number."""
     number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    found = _read(spark, sf_dir, "documents").select(
-        "doc_id", runs.periodic_runs(runs.looped(F.coalesce("text", F.lit("")), number)).alias("r")
-    )
-    lines = F.transform("r.runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
-    best = F.col("r.strongest")
+    planted = _read(spark, sf_dir, "documents").select("doc_id", runs.looped(F.coalesce("text", F.lit("")), number).alias("text"))
+    found = runs.periodic_runs(planted, keep=["doc_id"])
+    lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    best = F.col("strongest")
     return found.select(
-        "doc_id", F.size("r.runs").cast("bigint").alias("n_runs"),
+        "row.doc_id", F.size("runs").cast("bigint").alias("n_runs"),
         best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
-        F.expr("r.strongest.length * 1000 div r.strongest.period").alias("exponent_milli"),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
         F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
-        F.sha2(F.col("r.collapsed"), 256).alias("collapsed_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
     )

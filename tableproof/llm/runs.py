@@ -22,16 +22,18 @@ task's work; memory grows with the words of the longest one (times the logarithm
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from tableproof.llm.wordlists import cut_words, portions, word_array
 
-RESULT = "struct<words:bigint,runs:array<struct<start:bigint,length:bigint,period:bigint>>,strongest:struct<start:bigint,length:bigint,period:bigint>,collapsed:string>"
+_RUN_TYPE = "struct<start:bigint,length:bigint,period:bigint>"
+RESULT = {"words": "bigint", "runs": f"array<{_RUN_TYPE}>", "strongest": _RUN_TYPE, "collapsed": "string"}
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
 
@@ -233,31 +235,36 @@ def _result(data: np.ndarray, offsets: np.ndarray, least_exponent: int, least_le
         strongest.append({"start": int(local[at]), "length": int(length[at]), "period": int(period[at])})
     return pa.StructArray.from_arrays(
         [pa.array(counts.astype(np.int64)), runs, pa.array(strongest, _RUN), collapsed],
-        names=["words", "runs", "strongest", "collapsed"],
+        names=list(RESULT),
     )
 
 
-def periodic_runs(text: Column, least_exponent: int = 4, least_length: int = 6) -> Column:
-    """Struct column on a text column: number of words, all runs, the strongest run, and the text without repetitions.
+def periodic_runs(docs: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None, least_exponent: int = 4, least_length: int = 6) -> DataFrame:
+    """Per row of ``docs``: ``row`` (its columns, or those in ``keep``, as one struct), words, runs, strongest, collapsed.
 
     ``runs`` are in order of start, then period, counted in words from 0; ``strongest`` has the greatest
     length / period (ties: smallest start, then period; null without runs). ``collapsed`` are the words
     joined by one space, without those that any run contains after its first period. Words are runs
     of bytes other than space and 0x09 to 0x0D. Null, empty and blank texts have no words, no
-    runs and an empty ``collapsed``; a text of any length is taken whole. The column depends on its own row
-    only, so repeated rows give repeated results and other columns are never touched.
+    runs and an empty ``collapsed``; a text of any length is taken whole. A result depends on its own row
+    only, so repeated rows give repeated results, an empty table an empty one, and columns of ``docs``
+    that are named like results stay inside ``row``.
     """
     if least_exponent < 2:
         raise ValueError("a run takes two periods at least")
+    carried = docs.select(
+        F.struct(*([F.col(f"`{c}`") for c in keep] if keep is not None else ["*"])).alias("row"),
+        F.col(text_col).cast("string").alias("text"),
+    )
 
-    @F.arrow_udf(RESULT)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        empty = _result(np.zeros(0, np.uint8), np.zeros(1, np.int64), least_exponent, least_length)
-        for column in batches:
-            parts = [_result(data, offsets, least_exponent, least_length) for _, _, data, offsets in portions(column)]
-            yield pa.concat_arrays(parts or [empty])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in portions(batch.column(1)):
+                made = _result(data, offsets, least_exponent, least_length)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *made.flatten()], names=["row", *RESULT])
 
-    return run(text)
+    schema = StructType([carried.schema["row"], *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in RESULT.items()))])
+    return carried.mapInArrow(run, schema)
 
 
 def looped(text: Column, seed: Column) -> Column:

@@ -73,11 +73,11 @@ def test_suffixes_are_sorted_and_share_what_is_said():
 
 
 def test_hard_sequences():
-    many = [w for i in range(300) for w in ([1000 + i] + [1] * 9)]  # one sequence under hundreds of left words
-    for words in ([1] * 5000, [1, 2] * 3000 + [0], [1, 2] * 3000 + [9], many, [i for i in range(3000)] * 5):
+    many = [w for i in range(100) for w in ([1000 + i] + [1] * 9)]  # one sequence under hundreds of left words
+    for words in ([1] * 2000, [1, 2] * 1000 + [0], [1, 2] * 1000 + [9], many, [i for i in range(400)] * 5):
         w = np.array(words, np.int64)
         s, m, q = find_runs(w, np.zeros(len(w), np.int64), 4, 6)
-        assert sorted(zip(s.tolist(), q.tolist(), m.tolist())) == brute_runs(words)[: len(s) + 1]
+        assert list(zip(s.tolist(), q.tolist(), m.tolist())) == brute_runs(words)
 
 
 def expected(doc_id, text, plant=True):
@@ -108,17 +108,17 @@ def test_query_against_brute_force_on_the_smallest_tables(spark):
 
 
 def test_odd_rows(spark, docs, tmp_path):
-    rows = docs.select("doc_id", "text", "digest", periodic_runs(F.col("text")).alias("r")).collect()
-    assert len(rows) == docs.count()
+    rows = periodic_runs(docs.withColumn("runs", F.lit("own"))).collect()
+    assert len(rows) == docs.count() and rows[0].row.runs == "own"
     for r in rows:
-        words = words_of(r.text)
-        assert r.r.words == len(words)
+        words = words_of(r.row.text)
+        assert r.words == len(words)
         if len(words) < 3000:
             runs = brute_runs(words)
-            assert [(x.start, x.period, x.length) for x in r.r.runs] == runs and r.r.collapsed == collapsed(words, runs)
-    assert docs.limit(0).select(periodic_runs(F.col("text"))).count() == 0
+            assert [(x.start, x.period, x.length) for x in r.runs] == runs and r.collapsed == collapsed(words, runs)
+    assert periodic_runs(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([("é x é x é x é x",), ("\x00 \x00 \x00 \x00 \x00 \x00",), ("a\x0bb " * 70_000,)], "text string")
-    got = [r.r for r in odd.select(periodic_runs(F.col("text")).alias("r")).collect()]
+    got = periodic_runs(odd, keep=[]).collect()
     assert [(len(x.runs), x.strongest.length, x.strongest.period) for x in got] == [(1, 8, 2), (1, 6, 1), (1, 140_000, 2)]
     assert got[2].collapsed == "a b"
 
