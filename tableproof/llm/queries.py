@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tableproof.llm import ann, chat_format, exact_dedup, license_scan, license_texts, mixing, near_dup, packing, runs, sharding, toxicity, url_filter
+from tableproof.llm import ann, chat_format, collocations, exact_dedup, license_scan, license_texts, mixing, near_dup, packing, runs, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,6 +123,13 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+@_query("op11_top_order_phrases", sql=collocations.top_phrases_sql(2000))
+def op11_top_order_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to four words of each language."""
+    found = collocations.top_phrases(collocations.collocations(_read(spark, sf_dir, "documents")), 2000)
+    return found.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 @_query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, loops planted in a tenth of them by their number."""
