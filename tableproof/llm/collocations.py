@@ -5,10 +5,11 @@ piece, padded to the longest phrase. Only these windows are counted; a ROLLUP ov
 the counts of ever shorter prefixes, and a phrase's count is that of the prefix it is. The sum over no
 word column is the number of words.
 
-Most windows hold a pair of words that is too rare for any phrase to be counted. Pairs are first counted by
-hash into a table of bits (at most ``most_bits``, whatever the corpus): where a cell's whole
-count is below ``least``, no pair in it reaches it, and windows end before such a pair. Nothing that could
-reach ``least`` is ever cut; a cell shared with other pairs only lets more windows through.
+Most windows hold a pair of words that is too rare for any phrase to be counted. Pairs, and then the longer
+sequences made of pairs that pass, are first counted by hash into tables of bits (at most ``most_bits``, whatever
+the corpus): where a cell's whole count is below ``least``, no sequence in it reaches it, and windows
+end before it is complete. Nothing that could reach ``least`` is ever cut; a cell shared with other
+sequences only lets more windows through.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class PhraseParams:
     least: int = 30
     #: A candidate goes if a longer one around it has this percentage of its occurrences.
     absorbed_percent: int = 80
-    #: Rows of the shuffled pair filter, as a power of two, at most: 2**28 cells are 32 MB of bits on driver and executors.
+    #: Cells of a filter, as a power of two, at most: 2**28 cells are 32 MB of bits on driver and executors.
     most_bits: int = 28
     #: Bytes of text per cell up to that size.
     bytes_per_cell: int = 32
@@ -59,11 +60,32 @@ class _Portion:
         text = np.repeat(np.arange(len(counts)), counts)
         self.joined = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
 
-    def pair_cells(self, lang_hashes: np.ndarray, bits: int) -> np.ndarray:
-        """Filter cell of every pair of neighbours (also of pairs that no piece holds)."""
+    def cells(self, lang_hashes: np.ndarray, bits: int, size: int) -> np.ndarray:
+        """Filter cell of the ``size`` words from each place on (also of those that no piece holds)."""
         own = pd.util.hash_array(self.words.to_numpy(zero_copy_only=False).astype(object), categorize=False)[self.ids]
-        pair = own[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:] + lang_hashes[self.langs[1:]]
-        return (mix(pair) >> np.uint64(64 - bits)).astype(np.int64)
+        n = max(0, len(own) - size + 1)
+        gram = lang_hashes[self.langs[:n]] + np.uint64(size)
+        for j in range(size):
+            gram = gram * np.uint64(0x9E3779B97F4A7C15) + own[j : j + n]
+        return (mix(gram) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def lengths(self, lang_hashes: np.ndarray, bits: int, filters: list[np.ndarray], most: int) -> np.ndarray:
+        """Words of the window that each word leads: within its piece and as far as the filters (pairs, then longer) pass."""
+
+        def marked(table: np.ndarray, size: int) -> np.ndarray:
+            cells = self.cells(lang_hashes, bits, size)
+            return (table[cells >> 6] >> (cells & 63) & 1).astype(bool)
+
+        n = len(self.ids)
+        goes_on = self.joined & marked(filters[0], 2) if filters else self.joined
+        out, alive = np.ones(n, np.int64), np.ones(n, bool)
+        for j in range(2, most + 1):
+            m = max(0, n - j + 1)
+            alive = alive[:m] & goes_on[j - 2 : j - 2 + m]
+            if j > 2 and len(filters) > 1:
+                alive &= marked(filters[1], j)
+            out[:m][alive] = j
+        return out
 
 
 def _portions(batch: pa.RecordBatch) -> Iterator[tuple[_Portion, pa.Array, np.ndarray]]:
@@ -77,20 +99,23 @@ def _portions(batch: pa.RecordBatch) -> Iterator[tuple[_Portion, pa.Array, np.nd
             yield part, langs.dictionary, hashes
 
 
-def _pair_filter(texts: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Bit per cell: whether the pairs in it are ``least`` together."""
+def _cell_filter(texts: DataFrame, bits: int, least: int, sizes: range, filters: list) -> np.ndarray:
+    """Bit per cell: whether the sequences of ``sizes`` words in it, those that ``filters`` pass, are ``least`` together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in filters]
         for batch in batches:
             for part, _, hashes in _portions(batch):
-                cells, n = np.unique(part.pair_cells(hashes, bits)[part.joined], return_counts=True)
+                length = part.lengths(hashes, bits, known, sizes[-1])
+                found = [part.cells(hashes, bits, j)[length[: max(0, len(length) - j + 1)] >= j] for j in sizes]
+                cells, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     full = texts.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     blocks = full.groupBy(F.shiftright("cell", 6).alias("block")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")).alias("bits")
     ).toArrow()
-    out = np.zeros(max(1, 1 << max(0, bits - 6)), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[blocks.column("block").to_numpy()] = blocks.column("bits").to_numpy()
     return out
 
@@ -98,29 +123,28 @@ def _pair_filter(texts: DataFrame, bits: int, least: int) -> np.ndarray:
 def lead_windows(texts: DataFrame, p: PhraseParams) -> DataFrame:
     """(lang, w1, ..., n): windows of the words that lead them, padded with '', and how often each comes.
 
-    ``texts`` are rows (lang, text) without nulls. A window ends with its piece, at ``most_words``, or before a
-    pair of words that the filter rules out.
+    ``texts`` are rows (lang, text) without nulls. A window ends with its piece, at ``most_words``, or before
+    it would become a sequence that the filters rule out.
     """
     spark, k = texts.sparkSession, p.most_words
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, size / p.bytes_per_cell))), 6, p.most_bits))
-    marked = spark.sparkContext.broadcast(_pair_filter(texts, bits, p.least))
+    filters = []
+    for sizes in (range(2, 3), range(3, k + 1)):
+        if sizes and sizes[-1] <= k:
+            filters.append(spark.sparkContext.broadcast(_cell_filter(texts, bits, p.least, sizes, filters)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = marked.value
+        known = [f.value for f in filters]
         for batch in batches:
             for part, langs, hashes in _portions(batch):
-                n = len(part.ids)
-                cells = part.pair_cells(hashes, bits)
-                goes_on = np.zeros(n, bool)
-                goes_on[:-1] = part.joined & ((full[cells >> 6] >> (cells & 63)) & 1).astype(bool)
+                length = part.lengths(hashes, bits, known, k)
                 pad = len(part.words)
-                columns, alive = [part.ids], np.ones(n, bool)
-                for j in range(1, k):
-                    alive = alive[:-1] & goes_on[j - 1 :][: len(alive) - 1] if len(alive) > 1 else np.zeros(0, bool)
-                    column = np.full(n, pad)
-                    at = np.flatnonzero(alive)
-                    column[at] = part.ids[at + j]
+                columns = [part.ids]
+                for j in range(2, k + 1):
+                    column = np.full(len(part.ids), pad)
+                    at = np.flatnonzero(length >= j)
+                    column[at] = part.ids[at + j - 1]
                     columns.append(column)
                 # One row per distinct window of the portion.
                 code = part.langs
