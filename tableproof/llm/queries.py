@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from tableproof.llm import ann, chat_format, collocations, exact_dedup, license_scan, license_texts, mixing, near_dup, packing, runs, sharding, toxicity, url_filter
+from tableproof.llm import ann, chat_format, collocations, exact_dedup, license_scan, license_texts, mixing, near_dup, packing, runs, sharding, suffix_index, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,16 @@ def op11_top_order_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+@_query("op12_suffix_levels")
+def op12_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that documents of smaller ids hold, ingested in three batches."""
+    done = suffix_index.without_repeats(_read(spark, sf_dir, "documents"), batches=3)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @_query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, loops planted in a tenth of them by their number."""
