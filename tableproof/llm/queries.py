@@ -132,8 +132,8 @@ def op11_top_order_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op12_suffix_levels")
 def op12_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the 50-byte strings that documents of smaller ids hold, ingested in three batches."""
-    done = suffix_index.without_repeats(_read(spark, sf_dir, "documents"), batches=3)
+    """All documents without the 50-byte strings that documents of smaller ids hold; two small batches and a large one."""
+    done = suffix_index.without_repeats(_read(spark, sf_dir, "documents"), shares=(1, 1, 6))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
     return done.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
