@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableproof.operators import reach
+from tableproof.operators.components import ROUNDS_PER_TABLE, components, ends as _ends
 from tableproof.operators.filters import layer_of
 from tableproof.session import materialize
 
@@ -20,10 +22,6 @@ PIPELINE_TYPES = ("PIPELINE", "SYNAPSE_PIPELINE")
 TABLE_TYPES = ("TABLE", "CONFIG_TABLE")
 VIEW_TYPE = "VIEW"
 
-# Propagation steps between two writes: enough to outweigh the cost of a write.
-ROUNDS_PER_TABLE = 2
-
-
 def of_type(edges: DataFrame, edge_type: str) -> DataFrame:
     """Distinct (src, dst) of one edge type."""
     return edges.where(F.col("edge_type") == edge_type).select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst")).distinct()
@@ -54,22 +52,36 @@ def transitive(start: DataFrame, step: DataFrame) -> DataFrame:
 
 
 def proc_closure(edges: DataFrame) -> DataFrame:
-    """Procedures each caller reaches, directly or through other procedures."""
+    """Procedures each caller reaches, directly or through other procedures, itself only on a cycle.
+
+    The pairs are the result; they are read off a reachability index, whose rounds handle bitmaps.
+    """
     calls = of_type(edges, CALLS)
-    return transitive(calls.select(F.col("src").alias("node"), F.col("dst").alias("reached")), calls)
+    targets = reach.numbered(calls.select(F.col("dst").alias("node")))
+    return reach.members(reach.reach_index(calls, targets), targets).withColumnRenamed("member", "reached")
 
 
 def pipeline_io(edges: DataFrame, objects: DataFrame) -> DataFrame:
-    """(pipeline, mode, table): what a pipeline reads and writes itself and through its procedures."""
-    pipelines = objects.where(F.col("type").isin(*PIPELINE_TYPES)).select(F.col("object_key").alias("pipeline"))
-    reach = proc_closure(edges).select(F.col("node").alias("pipeline"), F.col("reached").alias("actor"))
-    actors = pipelines.select("pipeline", F.col("pipeline").alias("actor")).unionAll(
-        reach.join(pipelines, "pipeline", "left_semi")
-    )
-    io = table_edges(edges, READS).withColumn("mode", F.lit("read")).unionAll(
-        table_edges(edges, WRITES).withColumn("mode", F.lit("write"))
+    """(pipeline, mode, table): what a pipeline reads and writes itself and through its procedures.
+
+    Tables read or written are bits of the actor that names them, and travel up the calls; which pipeline
+    calls which procedure in the end is never written out.
+    """
+    io = table_edges(edges, READS).withColumn("mode", F.lit("read")).unionAll(table_edges(edges, WRITES).withColumn("mode", F.lit("write")))
+    named = F.concat(F.when(F.col("mode") == "read", "r:").otherwise("w:"), F.col("table"))
+    io = materialize(io.select("src", named.alias("node")), "actor-io")
+    calls = of_type(edges, CALLS)
+    targets = reach.numbered(io)
+    own = io.join(targets, "node").select(F.col("src").alias("node"), "bucket", "bit")
+    pipelines = pipelines_of(objects).select(F.col("pipeline").alias("node"))
+    mine = reach.bitmaps(own.join(pipelines, "node", "left_semi"), "node")
+    called = reach.reach_index(calls, own).join(pipelines, "node", "left_semi")
+    both = reach.united(called.unionByName(mine), "node")
+    return reach.members(both, targets).select(
+        F.col("node").alias("pipeline"),
+        F.when(F.col("member").startswith("r:"), "read").otherwise("write").alias("mode"),
+        F.substring("member", 3, 1 << 30).alias("table"),
     )
-    return actors.join(io, actors["actor"] == io["src"]).select("pipeline", "mode", "table").distinct()
 
 
 def producers_consumers(io: DataFrame) -> DataFrame:
@@ -114,78 +126,6 @@ def pipeline_dependencies(io: DataFrame, edges: DataFrame, objects: DataFrame) -
     return w.join(r, "table").where(F.col("src") != F.col("dst")).select("src", "dst").unionAll(runs).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Strongly connected component of every node: (node, component = its smallest member).
-
-    Edges that cannot lie on a cycle are trimmed. Every node left learns the smallest
-    name that reaches it and the smallest name it reaches: where both are the same
-    name, node and name are on a common cycle, so that is its component. Members of
-    one component agree on both names, so edges between nodes that do not are cut,
-    and what is left goes round again. State is one row per node, never pairs.
-    """
-    every = materialize(nodes.select("node").distinct(), "scc-nodes")
-    live = _trim(edges.select("src", "dst").where("src <> dst").distinct())
-    done = None
-    while not live.isEmpty():
-        names = _smallest_names(live)
-        found = names.where("up = down").select("node", F.col("up").alias("component"))
-        done = found if done is None else done.unionAll(found)
-        rest = names.where("up <> down")
-        s = rest.select(F.col("node").alias("src"), F.col("up").alias("u"), F.col("down").alias("v"))
-        d = rest.select(F.col("node").alias("dst"), F.col("up").alias("u"), F.col("down").alias("v"))
-        live = _trim(live.join(s, "src").join(d, ["dst", "u", "v"]).select("src", "dst"))
-    if done is None:
-        return every.select("node", F.col("node").alias("component"))
-    return every.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def _ends(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-
-
-def _trim(live: DataFrame) -> DataFrame:
-    """Drop edges that start where none arrives or end where none leaves, until all lie between such nodes."""
-    live = materialize(live, "scc-edges")
-    before = live.count()
-    while before:
-        for _ in range(ROUNDS_PER_TABLE):
-            fed = live.select(F.col("dst").alias("src")).distinct()
-            feeding = live.select(F.col("src").alias("dst")).distinct()
-            live = live.join(fed, "src", "left_semi").join(feeding, "dst", "left_semi").select("src", "dst")
-        live = materialize(live, "scc-edges")
-        after = live.count()
-        if after == before:
-            break
-        before = after
-    return live
-
-
-def _smallest_names(live: DataFrame) -> DataFrame:
-    """(node, up, down): the smallest name that reaches the node, and that it reaches, itself included."""
-    both_ways = materialize(live.select(F.inline(F.array(
-        F.struct(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(True).alias("forward")),
-        F.struct(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(False).alias("forward")),
-    ))), "scc-ways")
-    state = both_ways.select(F.col("at").alias("node")).distinct().select(
-        "node", F.col("node").alias("up"), F.col("node").alias("down")
-    )
-    state = materialize(state, "scc-names")
-    while True:
-        nxt = state.withColumns({"up0": F.col("up"), "down0": F.col("down")})
-        for _ in range(ROUNDS_PER_TABLE):
-            sent = both_ways.join(nxt, both_ways["at"] == nxt["node"]).select(
-                F.col("to").alias("node"),
-                F.when(F.col("forward"), F.col("up")).alias("up"), F.when(~F.col("forward"), F.col("down")).alias("down"),
-            )
-            nxt = sent.unionByName(nxt, allowMissingColumns=True).groupBy("node").agg(
-                F.min("up").alias("up"), F.min("down").alias("down"), F.max("up0").alias("up0"), F.max("down0").alias("down0")
-            )
-        nxt = materialize(nxt, "scc-names")
-        state = nxt.select("node", "up", "down")
-        if nxt.where("up <> up0 OR down <> down0").isEmpty():
-            return state
-
-
 def build_graph(reads: DataFrame, writes: DataFrame) -> DataFrame:
     """Edges table -> writer -> table of distinct (src, table) lists.
 
@@ -274,6 +214,22 @@ def all_tables(edges: DataFrame, objects: DataFrame) -> DataFrame:
     return used.unionAll(defined).distinct()
 
 
+def dependent_counts(edges: DataFrame) -> DataFrame:
+    """(node, n): distinct tables that writers of other tables build from a table, counted without pairs.
+
+    A writer's outputs are bitmaps; a table unites those of its readers, and its own bit, set where a
+    reader writes it too, does not count.
+    """
+    reads, writes = table_edges(edges, READS), table_edges(edges, WRITES)
+    targets = reach.numbered(writes.select(F.col("table").alias("node")))
+    outputs = reach.bitmaps(writes.select("src", F.col("table").alias("node")).join(targets, "node").select("src", "bucket", "bit"), "src")
+    fed = reach.united(reads.join(outputs, "src").select(F.col("table").alias("node"), "bucket", "bits"), "node")
+    total = fed.groupBy("node").agg(F.sum(reach.count_of()).alias("bits_set"))
+    own = reads.join(writes, ["src", "table"]).select(F.col("table").alias("node")).distinct().withColumn("own", F.lit(1))
+    n = F.col("bits_set") - F.coalesce("own", F.lit(0))
+    return total.join(own, "node", "left").select("node", n.alias("n")).where("n > 0")
+
+
 def table_kind(edges: DataFrame, objects: DataFrame) -> DataFrame:
     """Per table: derived, source or isolated; whether it has a definition; its direct dependents."""
     written = table_edges(edges, WRITES).select(F.col("table").alias("node"), F.lit(True).alias("w")).distinct()
@@ -281,7 +237,7 @@ def table_kind(edges: DataFrame, objects: DataFrame) -> DataFrame:
     defined = objects.where(
         F.col("type").isin(*TABLE_TYPES) & (F.coalesce("source_file", F.lit("")) != "")
     ).select(F.lower("name").alias("node"), F.lit(True).alias("d")).distinct()
-    dependents = table_dependencies(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    dependents = dependent_counts(edges)
     out = all_tables(edges, objects)
     for part in (written, read, defined, dependents):
         out = out.join(part, "node", "left")
@@ -340,45 +296,66 @@ def references(io: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame
     ).distinct()
 
 
-def upstream_closure(io: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
-    """(pipeline, table): everything a pipeline refers to, through the producers of what it reads."""
+def _known_tables(io: DataFrame, objects: DataFrame) -> DataFrame:
+    """Tables that are produced, defined or external."""
+    defined = objects.where(
+        F.col("type").isin(*TABLE_TYPES, VIEW_TYPE) | (F.coalesce("external_system", F.lit("")) != "")
+    ).select(F.lower("name").alias("table"))
+    return io.where("mode = 'write'").select("table").unionAll(defined).distinct()
+
+
+def reference_index(io: DataFrame, edges: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What every pipeline refers to through the producers of what it reads, as bitmaps (pipeline, bucket, bits), and the tables' numbers.
+
+    Tables that nobody produces, defines or delivers are of kind 1, all others of kind 0.
+    """
     refs = references(io, edges, objects)
 
-    def table(c: str):
+    def table(c: str) -> Column:
         return F.concat(F.lit("t:"), F.col(c))
 
-    def pipeline(c: str):
+    def pipeline(c: str) -> Column:
         return F.concat(F.lit("p:"), F.col(c))
 
     # Table -> its producers -> what they refer to: two plain edge lists instead of
     # all pairs of a producer's outputs and inputs.
-    step = io.where("mode = 'write'").select(table("table").alias("src"), pipeline("pipeline").alias("dst")).unionAll(
+    step = materialize(io.where("mode = 'write'").select(table("table").alias("src"), pipeline("pipeline").alias("dst")).unionAll(
         refs.select(pipeline("pipeline").alias("src"), table("table").alias("dst"))
-    )
-    pairs = transitive(refs.select(F.col("pipeline").alias("node"), table("table").alias("reached")), step)
-    return pairs.where(F.col("reached").startswith("t:")).select(
-        F.col("node").alias("pipeline"), F.substring("reached", 3, 1 << 30).alias("table")
-    )
+    ), "reference-steps")
+    known = _known_tables(io, objects).withColumn("known", F.lit(0))
+    tables = refs.select("table").distinct().join(known, "table", "left")
+    targets = reach.numbered(tables.select(table("table").alias("node"), "known"), F.coalesce("known", F.lit(1)))
+    found = reach.reach_index(step, targets).where(F.col("node").startswith("p:")).select(F.substring("node", 3, 1 << 30).alias("pipeline"), "bucket", "bits")
+    return materialize(found, "references"), targets.withColumn("node", F.substring("node", 3, 1 << 30))
+
+
+def upstream_closure(io: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """(pipeline, table): everything a pipeline refers to, through the producers of what it reads."""
+    found, targets = reference_index(io, edges, objects)
+    return reach.members(found, targets, "pipeline").withColumnRenamed("member", "table")
 
 
 def resolved_references(closure: DataFrame, io: DataFrame, objects: DataFrame) -> DataFrame:
     """(pipeline, table, resolved): whether each reference is produced, defined or external."""
-    produced = io.where("mode = 'write'").select("table")
-    defined = objects.where(
-        F.col("type").isin(*TABLE_TYPES, VIEW_TYPE) | (F.coalesce("external_system", F.lit("")) != "")
-    ).select(F.lower("name").alias("table"))
-    known = produced.unionAll(defined).distinct().withColumn("resolved", F.lit(True))
+    known = _known_tables(io, objects).withColumn("resolved", F.lit(True))
     return closure.join(known, "table", "left").select("pipeline", "table", F.coalesce("resolved", F.lit(False)).alias("resolved"))
 
 
-def traversability_score(closure: DataFrame, io: DataFrame, objects: DataFrame) -> DataFrame:
-    """Share of a pipeline's references that resolve, and the first that does not; 1 for a pipeline without any."""
-    refs = resolved_references(closure, io, objects)
-    per = refs.groupBy("pipeline").agg(
-        F.count("*").alias("refs_total"),
-        F.count_if("resolved").alias("refs_resolved"),
-        F.min(F.when(~F.col("resolved"), F.col("table"))).alias("first_unresolved"),
+def traversability_score(io: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Share of a pipeline's references that resolve, and the first that does not; 1 for a pipeline without any.
+
+    Counts are bits set; the first unresolved table is the least bit of the least bucket of its kind. No
+    pair of pipeline and table is made.
+    """
+    found, targets = reference_index(io, edges, objects)
+    resolved = reach.kind_of(F.col("bucket")) == 0
+    per = found.groupBy("pipeline").agg(
+        F.sum(reach.count_of()).alias("refs_total"),
+        F.coalesce(F.sum(F.when(resolved, reach.count_of())), F.lit(0)).alias("refs_resolved"),
+        F.min(F.when(~resolved, F.struct("bucket", reach.first_bit().cast("bigint").alias("bit")))).alias("at"),
     )
+    first = targets.where(reach.kind_of(F.col("bucket")) == 1).select(F.struct("bucket", "bit").alias("at"), F.col("node").alias("first_unresolved"))
+    per = per.join(first, "at", "left")
     share = (F.col("refs_resolved") / F.col("refs_total")).cast("decimal(20,10)")
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("decimal(6,4)")
     return pipelines_of(objects).join(per, "pipeline", "left").select(

@@ -149,7 +149,7 @@ FROM objects LEFT JOIN x ON x.pipeline = name WHERE type = 'PIPELINE' GROUP BY n
 """)
 def traversability_score(spark, d):
     edges, objects, io = _io(spark, d)
-    return lineage.traversability_score(lineage.upstream_closure(io, edges, objects), io, objects)
+    return lineage.traversability_score(io, edges, objects)
 
 
 @query("traversability_gate", f"""
@@ -160,7 +160,7 @@ SELECT n AS pipelines_scored, full_n AS pipelines_at_100, (SELECT count(*) FROM
 """)
 def traversability_gate(spark, d):
     edges, objects, io = _io(spark, d)
-    scores = lineage.traversability_score(lineage.upstream_closure(io, edges, objects), io, objects)
+    scores = lineage.traversability_score(io, edges, objects)
     return lineage.traversability_gate(scores, io, objects)
 
 

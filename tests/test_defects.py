@@ -32,6 +32,7 @@ def parent(spark):
 
 
 def verdicts(env, source, build, parent, t=T, **kw):
+    kw.setdefault("rebuild", lambda: build)
     out = parity.run_profile(env, source, build, t, parents={"p": parent}, fks=[FK("cust", "p", "k")], **kw)
     return {r["check_name"]: r["passed"] for r in out.collect()}
 
@@ -46,6 +47,10 @@ def test_identical_tables_are_green(base, parent):
         assert set(v) == set(PROFILES[env]) and not red(v), env
 
 
+def test_profile_without_a_rebuild_is_red_for_idempotency_only(base, parent):
+    assert red(verdicts("sit", base, base, parent, rebuild=None)) == {"idempotency"}
+
+
 def test_profile_sizes():
     assert len(SAMPLE_CHECKS) == 6 and len(CHECKS) == 10 and len(PROFILES["soak"]) == 11
 
