@@ -19,10 +19,8 @@ class TemplateTree:
 
     #: Path segments that are levels of the tree; what lies deeper is one last segment.
     depth: int = 4
-    #: A node with more children than this turns its rare children into one wildcard.
-    max_children: int = 32
-    #: A child is rare when it has less than this share of its node's pages.
-    rare_share: float = 0.05
+    #: A branch with fewer labelled pages has too thin evidence to be told from its siblings.
+    least_labelled: int = 8
     #: Chi-square (one degree of freedom) up to which a branch counts as its parent's like.
     similar: float = 3.84
     #: Labelled pages that the prior is worth in every branch.
@@ -54,8 +52,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 
 def shape_of(path: Column) -> Column:
-    """Path with ids made wildcards: long runs of hexadecimal digits, then runs of digits."""
-    return F.regexp_replace(F.regexp_replace(path, "[0-9A-Fa-f]{16,}", "*"), "[0-9]+", "*")
+    """Path with ids generalised: long runs of hexadecimal digits, then runs of digits, become ``#``, which no path holds."""
+    return F.regexp_replace(F.regexp_replace(path, "[0-9A-Fa-f]{16,}", "#"), "[0-9]+", "#")
 
 
 def _levels(shape: Column, depth: int) -> list[Column]:
@@ -65,12 +63,34 @@ def _levels(shape: Column, depth: int) -> list[Column]:
     return [*levels, F.when(F.size(parts) > depth, F.array_join(F.slice(parts, depth + 1, 1000000), "/"))]
 
 
+def _chi(n: str, g: str, all_n: str, all_g: str) -> Column:
+    """Chi-square of ``g`` good pages of ``n`` against the parent's share; 0 where there is nothing to tell apart."""
+    share = F.col(all_g) / F.col(all_n)
+    off = F.col(g) - F.col(n) * share
+    chi = F.when(F.col(all_g).isin(0) | (F.col(all_g) == F.col(all_n)) | (F.col(n) == 0), 0.0).otherwise(
+        off * off / (F.col(n) * share * (F.lit(1.0) - share))
+    )
+    return F.when(F.col(all_n) == 0, 0.0).otherwise(chi)
+
+
+def _children(shapes: DataFrame, seg: Sequence[str], i: int, tree: TemplateTree, *more: Column) -> DataFrame:
+    """Branches at level ``i``, and ``unlike``: enough labelled pages, and another share of good ones than their parent."""
+    above = ["host", *seg[:i]]
+    inner = shapes.where(F.col(seg[i - 1]).isNotNull()) if i else shapes
+    branch = shapes.where(F.col(seg[i]).isNotNull()).groupBy(*above, seg[i]).agg(F.sum("n").alias("bn"), F.sum("g").alias("bg"), *more)
+    parent = inner.groupBy(*above).agg(F.sum("n").alias("pn"), F.sum("g").alias("pg"))
+    unlike = (F.col("bn") >= tree.least_labelled) & (_chi("bn", "bg", "pn", "pg") > tree.similar)
+    return branch.join(parent, above).withColumn("unlike", unlike)
+
+
 def template_verdicts(pages: DataFrame, tree: TemplateTree) -> DataFrame:
     """One row per (host, shape) of ``pages`` (host, shape, good: 1, 0 or null): template, verdict, n_pages.
 
     Everything after the first grouping works on distinct shapes, never on pages, so a host with a
-    third of all pages is a few rows. Level by level, a node with many children turns the rare ones
-    into a wildcard. Then, from the leaves up, a branch whose share of good pages does not differ
+    third of all pages is a few rows. First every branch is tested against its parent. Then, level by
+    level, segments become a wildcard unless their branch, among those generalised so far, differs from
+    its parent, or a branch below them does; neither the number of siblings nor a branch's size counts.
+    Last, from the leaves up, a branch whose share of good pages does not differ
     from its parent's is merged into the parent. The template left is judged by its share of
     good labelled pages, smoothed towards the share among all labelled pages.
     """
@@ -80,21 +100,19 @@ def template_verdicts(pages: DataFrame, tree: TemplateTree) -> DataFrame:
     )
     shapes = shapes.select("*", *[c.alias(s) for c, s in zip(_levels(F.col("shape"), tree.depth), seg)])
     shapes = materialize(shapes, "shapes")
+    marked = shapes
+    for i in range(len(seg)):
+        unlike = _children(shapes, seg, i, tree).where("unlike").select("host", *seg[: i + 1], F.lit(i).alias(f"__d{i}"))
+        marked = marked.join(unlike, ["host", *seg[: i + 1]], "left")
+    deepest = F.greatest(*[F.coalesce(f"__d{i}", F.lit(-1)) for i in range(len(seg))])
+    shapes = materialize(marked.select(*shapes.columns, deepest.alias("deepest")), "marked")
     for i, s in enumerate(seg):
-        above = ["host", *seg[:i]]
-        children = shapes.where(F.col(s).isNotNull()).groupBy(*above, s).agg(F.sum("n_pages").alias("c"))
-        nodes = children.groupBy(*above).agg(F.count("*").alias("kids"), F.sum("c").alias("total"))
-        wide = nodes.where(F.col("kids") > tree.max_children)
-        rare = children.alias("c").join(wide.alias("w"), [F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}")) for k in above])
-        rare = rare.where(F.col("c.c") < F.col("w.total") * tree.rare_share).select(*[F.col(f"c.{k}") for k in [*above, s]])
-        on = [F.col(f"a.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*above, s]]
-        hit = shapes.alias("a").join(rare.withColumn("__rare", F.lit(True)).alias("r"), on, "left")
-        generalised = hit.select(
-            *[F.col(f"a.{c}") for c in shapes.columns if c != s],
-            F.when(F.col("r.__rare"), "*").otherwise(F.col(f"a.{s}")).alias(s),
-        )
+        children = _children(shapes, seg, i, tree, F.max("deepest").alias("below"))
+        stay = children.where(F.col("unlike") | (F.col("below") >= i)).select("host", *seg[: i + 1], F.lit(True).alias("__stay"))
+        held = shapes.join(stay, ["host", *seg[: i + 1]], "left")
+        kept = F.when(F.col(s).isNotNull() & F.col("__stay").isNull(), "*").otherwise(F.col(s))
         # Written per level: each level reads the table several times, and plans would multiply.
-        shapes = materialize(generalised, "generalised")
+        shapes = materialize(held.select(*[c for c in shapes.columns if c != s], kept.alias(s)), "generalised")
     for i in range(len(seg) - 1, -1, -1):
         s, above = seg[i], ["host", *seg[:i]]
         deeper = seg[i + 1:]
@@ -104,12 +122,7 @@ def template_verdicts(pages: DataFrame, tree: TemplateTree) -> DataFrame:
         branch = shapes.where(leaf).groupBy(*above, s).agg(F.sum("n").alias("bn"), F.sum("g").alias("bg"))
         parent = shapes.groupBy(*above).agg(F.sum("n").alias("pn"), F.sum("g").alias("pg"))
         joined = branch.alias("b").join(parent.alias("p"), [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in above])
-        share = F.col("pg") / F.col("pn")
-        off = F.col("bg") - F.col("bn") * share
-        chi = F.when(F.col("pg").isin(0) | (F.col("pg") == F.col("pn")) | (F.col("bn") == 0), 0.0).otherwise(
-            off * off / (F.col("bn") * share * (F.lit(1.0) - share))
-        )
-        like = joined.withColumn("chi", F.when(F.col("pn") == 0, 0.0).otherwise(chi)).where(F.col("chi") <= tree.similar)
+        like = joined.withColumn("chi", _chi("bn", "bg", "pn", "pg")).where(F.col("chi") <= tree.similar)
         like = like.select(*[F.col(f"b.{k}") for k in [*above, s]], F.lit(True).alias("__like"))
         hit = shapes.alias("a").join(
             like.alias("r"), [F.col(f"a.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*above, s]], "left"
@@ -171,7 +184,7 @@ def judge_urls_sql(rules: Sequence[tuple[str, str]], tree: TemplateTree = Templa
         r"""cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages)""",
         rf"""raw AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}'), '') AS host,
             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut)""",
-        "shaped AS (SELECT *, regexp_replace(regexp_replace(path, '[0-9A-Fa-f]{16,}', '*', 'g'), '[0-9]+', '*', 'g') AS shape FROM raw)",
+        "shaped AS (SELECT *, regexp_replace(regexp_replace(path, '[0-9A-Fa-f]{16,}', '#', 'g'), '[0-9]+', '#', 'g') AS shape FROM raw)",
         """grouped AS (SELECT host, shape, count(*) AS n_pages, count(good) AS n, coalesce(sum(good), 0) AS g,
             string_split(substr(shape, 2), '/') AS parts FROM shaped LEFT JOIN lab USING (page_id) GROUP BY host, shape)""",
     ]
@@ -180,16 +193,33 @@ def judge_urls_sql(rules: Sequence[tuple[str, str]], tree: TemplateTree = Templa
         + [f"CASE WHEN len(parts) > {tree.depth} THEN array_to_string(parts[{tree.depth + 1}:], '/') END AS s{tree.depth}"]
     )
     cte.append(f"t0 AS (SELECT host, shape, n_pages, n, g, {cols} FROM grouped)")
+    chi = """CASE WHEN pn = 0 OR pg = 0 OR pg = pn OR bn = 0 THEN 0.0
+        ELSE (bg - bn * (pg / pn)) * (bg - bn * (pg / pn)) / (bn * (pg / pn) * (1.0::DOUBLE - pg / pn)) END"""
+
+    def children(t: str, i: int, more: str = "") -> list[str]:
+        ks, inner = ", ".join(["host", *seg[:i]]), f"WHERE {seg[i - 1]} IS NOT NULL" if i else ""
+        return [
+            f"b_{t}_{i} AS (SELECT {ks}, {seg[i]}, sum(n)::DOUBLE AS bn, sum(g)::DOUBLE AS bg{more} FROM {t} WHERE {seg[i]} IS NOT NULL GROUP BY {ks}, {seg[i]})",
+            f"p_{t}_{i} AS (SELECT {ks}, sum(n)::DOUBLE AS pn, sum(g)::DOUBLE AS pg FROM {t} {inner} GROUP BY {ks})",
+            f"c_{t}_{i} AS (SELECT *, bn >= {tree.least_labelled} AND {chi} > {tree.similar}::DOUBLE AS unlike FROM b_{t}_{i} JOIN p_{t}_{i} USING ({ks}))",
+        ]
+
+    for i in range(len(seg)):
+        cte += children("t0", i)
+    ups = [", ".join(["host", *seg[: i + 1]]) for i in range(len(seg))]
+    cte.append(
+        "d0 AS (SELECT t0.*, greatest(" + ", ".join(f"CASE WHEN u{i}.d IS NULL THEN -1 ELSE {i} END" for i in range(len(seg))) + ") AS deepest FROM t0 "
+        + " ".join(f"LEFT JOIN (SELECT {u}, 1 AS d FROM c_t0_{i} WHERE unlike) u{i} ON {' AND '.join(f't0.{k} = u{i}.{k}' for k in u.split(', '))}" for i, u in enumerate(ups))
+        + ")"
+    )
     for i, s in enumerate(seg):
-        above = ["host", *seg[:i]]
-        ks, prev = ", ".join(above), f"t{i}"
+        t = f"d{i}"
         cte += [
-            f"ch{i} AS (SELECT {ks}, {s}, sum(n_pages) AS c FROM {prev} WHERE {s} IS NOT NULL GROUP BY ALL)",
-            f"nd{i} AS (SELECT {ks}, count(*) AS kids, sum(c) AS total FROM ch{i} GROUP BY {ks} HAVING count(*) > {tree.max_children})",
-            f"ra{i} AS (SELECT ch{i}.* FROM ch{i} JOIN nd{i} ON {same(f'ch{i}', f'nd{i}', above)} WHERE c < total * {tree.rare_share}::DOUBLE)",
-            f"t{i + 1} AS (SELECT {prev}.* REPLACE (CASE WHEN r.c IS NOT NULL THEN '*' ELSE {prev}.{s} END AS {s}) FROM {prev} LEFT JOIN ra{i} r ON {same(prev, 'r', [*above, s])})",
+            *children(t, i, ", max(deepest) AS below"),
+            f"d{i + 1} AS (SELECT {t}.* REPLACE (CASE WHEN {t}.{s} IS NOT NULL AND k.d IS NULL THEN '*' ELSE {t}.{s} END AS {s}) FROM {t} LEFT JOIN "
+            f"(SELECT {ups[i]}, 1 AS d FROM c_{t}_{i} WHERE unlike OR below >= {i}) k ON " + " AND ".join(f"{t}.{c} = k.{c}" for c in ["host", *seg[: i + 1]]) + ")",
         ]
-    prev = f"t{len(seg)}"
+    prev = f"d{len(seg)}"
     for i in range(len(seg) - 1, -1, -1):
         s, above = seg[i], ["host", *seg[:i]]
         ks = ", ".join(above)
@@ -198,8 +228,7 @@ def judge_urls_sql(rules: Sequence[tuple[str, str]], tree: TemplateTree = Templa
             f"br{i} AS (SELECT {ks}, {s}, sum(n)::DOUBLE AS bn, sum(g)::DOUBLE AS bg FROM {prev} WHERE {leaf(prev)} GROUP BY ALL)",
             f"pa{i} AS (SELECT {ks}, sum(n)::DOUBLE AS pn, sum(g)::DOUBLE AS pg FROM {prev} GROUP BY ALL)",
             f"""li{i} AS (SELECT br{i}.* FROM br{i} JOIN pa{i} ON {same(f'br{i}', f'pa{i}', above)}
-                WHERE CASE WHEN pn = 0 OR pg = 0 OR pg = pn OR bn = 0 THEN 0.0
-                    ELSE (bg - bn * (pg / pn)) * (bg - bn * (pg / pn)) / (bn * (pg / pn) * (1.0::DOUBLE - pg / pn)) END <= {tree.similar}::DOUBLE)""",
+                WHERE {chi} <= {tree.similar}::DOUBLE)""",
             f"m{i} AS (SELECT {prev}.* REPLACE (CASE WHEN l.bn IS NOT NULL AND {leaf(prev)} THEN NULL ELSE {prev}.{s} END AS {s}) FROM {prev} LEFT JOIN li{i} l ON {same(prev, 'l', [*above, s])})",
         ]
         prev = f"m{i}"

@@ -59,6 +59,35 @@ def test_many_children_become_one_wildcard(spark):
     assert {got[n].template for n in range(200, 300)} == {"s.net/help/a/post", "s.net/help/b/post"}
 
 
+def name_of(i):
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+@pytest.mark.parametrize("sections", [30, 40, 4000])
+def test_a_bad_section_is_blocked_among_any_number_of_good_ones(spark, sections):
+    pages = 100 if sections < 1000 else 12
+    urls = [f"http://s.net/{name_of(d)}/{i}" for d in range(sections) for i in range(pages)]
+    labels = [(n, int(not u.startswith(f"http://s.net/{name_of(7)}/"))) for n, u in enumerate(urls)]
+    got = judge(spark, urls, labels)
+    for n, good in labels:
+        assert got[n].verdict == ("allow" if good else "block"), (urls[n], got[n])
+
+
+def test_a_bad_branch_below_sections_of_the_average_share(spark):
+    """Every section is half bad, so only the branches below tell good from bad; other hosts are clean."""
+    urls = [f"http://hot.net/{name_of(d)}/{x}/{i}" for d in range(50) for x in ("aa" if d % 2 else "bb", "bb" if d % 2 else "aa") for i in range(20)]
+    urls += [f"http://h{name_of(j)}.net/x/{i}" for j in range(100) for i in range(40)]
+    bad = {n for n, u in enumerate(urls) if "hot.net" in u and ("/aa/" in u) == (len(u.split("/")[3]) == 1)}
+    got = judge(spark, urls, [(n, int(n not in bad)) for n in range(len(urls))])
+    assert {n for n in got if got[n].verdict == "block"} == bad
+
+
+def test_unlabelled_children_become_one_wildcard_and_long_urls_pass(spark):
+    urls = [f"http://s.net/{name_of(i)}" for i in range(100)] + ["http://s.net/" + "ab/" * 50_000]
+    got = judge(spark, urls, [(i, 1) for i in range(5)])
+    assert {r.verdict for r in got.values()} == {"allow"} and len({got[n].template for n in range(100)}) == 1
+
+
 def test_empty_tables(spark):
     assert judge(spark, []) == {}
     got = judge(spark, ["http://a.net/1", "http://a.net/1"], [(0, None), (None, 1)])
