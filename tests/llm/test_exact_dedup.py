@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
 from tableproof.llm.exact_dedup import keep_first_copies, new_index
 
 
@@ -35,6 +36,28 @@ def test_later_batches_meet_the_index(spark, docs):
     assert index.table().count() == before
 
 
+def test_a_named_batch_is_retried_without_loss(spark, docs):
+    index = new_index(spark, 4)
+    sure = lambda df: sorted((str(r.doc_id), r.text_sha256) for r in df.where("kept").collect())
+    one, two = docs.where("doc_id <= 5"), docs.where("doc_id > 2 OR doc_id IS NULL")
+    first = sure(index.ingest(one, batch="one"))
+    second = sure(index.ingest(two, batch="two"))
+    size = index.table().count()
+    assert len(first) + len(second) == size == len({r.text or "" for r in docs.collect()})
+    # Rows may lie in other partitions and another order when a batch is run again.
+    assert sure(index.ingest(two.repartition(7), batch="two")) == second
+    assert sure(index.ingest(one.orderBy(F.desc("doc_id")), batch="one")) == first
+    assert index.table().count() == size
+    assert {r.text or "" for r in keep_first_copies(one, index, batch="one").collect()} == {r.text or "" for r in one.collect()}
+
+
+def test_a_batch_that_failed_before_all_its_digests_were_added(spark, docs):
+    index = new_index(spark, 4)
+    index.ingest(docs.where("doc_id IN (2, 12)"), batch="b")
+    again = index.ingest(docs, batch="b")
+    assert len({r.text_sha256 for r in again.where("kept").collect()}) == len({r.text or "" for r in docs.collect()}) == again.where("kept").count()
+
+
 def test_plan_has_no_python_and_anti_joins_by_merge(spark, docs):
     index = new_index(spark, 4)
     plan = index.ingest(docs)._jdf.queryExecution().toString()
