@@ -2,8 +2,9 @@
 
 Words are runs of bytes other than space and 0x09 to 0x0D, with A-Z lower-cased. A text with
 fewer words than a shingle takes is one shingle, its whole sequence; a text without words has none.
-All loops over bytes and words are numpy; memory is bounded by ``WINDOW`` bytes of text (or by one
-text's words, eight bytes each, where a single text is longer).
+All loops over bytes and words are numpy; working memory is about 45 times ``WINDOW`` bytes of text
+(and eight bytes per word of one text, where a single text is longer). Texts are read where Arrow
+holds them, without a copy of the batch.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-WINDOW = 4 << 20
+WINDOW = 256 << 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -34,12 +35,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column; null counts as empty."""
-    column = column.cast(pa.large_binary())
-    if column.null_count:
-        column = column.fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.type not in (pa.string(), pa.binary(), pa.large_string(), pa.large_binary()):
+        column = column.cast(pa.large_binary())
+    wide = column.type in (pa.large_string(), pa.large_binary())
+    width = np.int64 if wide else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, width)
+    if column.null_count and (np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)] > 0).any():
+        # Nulls may hide bytes; they are written anew without.
+        return text_buffers(column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else ""))
     data = column.buffers()[2]
-    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets.astype(np.int64)
 
 
 def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
