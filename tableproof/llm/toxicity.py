@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tableproof.llm import shingles as sh
 from tableproof.llm.features import feature_rows, labelled_sample
+from tableproof.session import materialize
 
 
 @dataclass(frozen=True)
@@ -66,14 +67,12 @@ def fit_ordinal(indptr: np.ndarray, features: np.ndarray, grades: np.ndarray, p:
     n, k = len(grades), int(grades.max(initial=0)) + 1
     if len(np.unique(grades)) < 2:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.full(max(1, k - 1), 40.0))
-    row = np.repeat(np.arange(n), np.diff(indptr))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(indptr))
     high = (grades > 0).astype(float)
     shown = np.bincount(features, minlength=1 << p.bits)
     shown_high = np.bincount(features, weights=high[row], minlength=1 << p.bits)
-    share = high.mean()
-    error = np.sqrt(np.maximum(shown * share * (1 - share), 1e-9))
-    kept = np.flatnonzero((shown >= p.least_rows) & (np.abs(shown_high - shown * share) > p.screen * error))
-    place = np.full(1 << p.bits, -1, np.int64)
+    kept = np.flatnonzero(_screened(shown, shown_high, high.mean(), p))
+    place = np.full(1 << p.bits, -1, np.int32)
     place[kept] = np.arange(len(kept))
     col = place[features]
     row, col = row[col >= 0], col[col >= 0]
@@ -107,24 +106,25 @@ def fit_ordinal(indptr: np.ndarray, features: np.ndarray, grades: np.ndarray, p:
     return OrdinalModel(kept[live], w[live], theta)
 
 
-def grades_of(indptr: np.ndarray, features: np.ndarray, toxic: np.ndarray, p: OrdinalParams) -> np.ndarray:
+def _screened(shown: np.ndarray, shown_high: np.ndarray, share: float, p: OrdinalParams) -> np.ndarray:
+    """Whether enough rows show a feature and its share in the lowest grade differs from that in the others."""
+    error = np.sqrt(np.maximum(shown * share * (1 - share), 1e-9))
+    return (shown >= p.least_rows) & (np.abs(shown_high - shown * share) > p.screen * error)
+
+
+def grades_of(toxic: np.ndarray, marked: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Grades 0, 1, 2 from a yes-or-no label, for tables that record no grades.
 
     0: not toxic. A toxic row has grade 2 if at least half of the toxic rows have no larger a share of
-    features that no other sampled row shows but several toxic rows do; else 1.
+    ``marked`` features among their ``sizes``, those that several toxic rows and no other sampled row show; else 1.
     """
-    n = len(toxic)
-    row = np.repeat(np.arange(n), np.diff(indptr))
-    shown = np.bincount(features, minlength=1 << p.bits)
-    with_label = np.bincount(features, weights=toxic[row].astype(float), minlength=1 << p.bits)
-    only = (shown >= p.least_rows) & (with_label == shown)
-    share = np.bincount(row, weights=only[features].astype(float), minlength=n) / np.maximum(1, np.diff(indptr))
+    share = marked / np.maximum(1, sizes)
     middle = np.median(share[toxic > 0]) if (toxic > 0).any() else 0.0
     return np.where(toxic > 0, 1 + (share >= middle), 0).astype(np.int64)
 
 
-def sample_features(sample: DataFrame, p: OrdinalParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounded sample to the driver: row starts, distinct features of each row, targets."""
+def _sample_sets(sample: DataFrame, p: OrdinalParams) -> DataFrame:
+    """doc_id, target and the distinct features of every sampled row, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = sh.powers()
@@ -137,25 +137,66 @@ def sample_features(sample: DataFrame, p: OrdinalParams) -> tuple[np.ndarray, np
                     names=["doc_id", "target", "features"],
                 )
 
-    got = sample.select("doc_id", F.col("target").cast("int").alias("target"), "text").mapInArrow(
-        run, "doc_id bigint, target int, features array<int>"
-    ).toArrow().combine_chunks().sort_by("doc_id")
+    rows = sample.select("doc_id", F.col("target").cast("int").alias("target"), "text")
+    return materialize(rows.mapInArrow(run, "doc_id bigint, target int, features array<int>"), "toxicity-sample")
+
+
+def sample_features(sample: DataFrame, p: OrdinalParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row starts, screened features of each row, and grades of a bounded sample.
+
+    Features are counted and screened on the executors: the driver gets one count per feature that
+    ``least_rows`` rows show, and of every row only the features that the fit can use.
+    """
+    sets = _sample_sets(sample, p)
+    n, toxic_rows = sets.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0))).first()
+    counted = (
+        sets.select("target", F.explode("features").alias("feature")).groupBy("feature")
+        .agg(F.count("*").alias("shown"), F.sum("target").alias("high")).where(F.col("shown") >= p.least_rows).toArrow()
+    )
+    feature = counted.column("feature").to_numpy()
+    shown, high = counted.column("shown").to_numpy(), counted.column("high").to_numpy().astype(float)
+    # Bit 0: the fit can use it; bit 1: only toxic rows show it.
+    use = np.zeros(1 << p.bits, np.uint8)
+    use[feature] = _screened(shown, high, toxic_rows / max(n, 1), p) + 2 * (high == shown).astype(np.uint8)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            kind = use[flat]
+            marked = np.bincount(of[kind >= 2], minlength=len(sizes))
+            kept = (kind & 1) > 0
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of[kept], minlength=len(sizes)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(marked.astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept]))],
+                names=["doc_id", "target", "n", "marked", "features"],
+            )
+
+    got = sets.mapInArrow(thin, "doc_id bigint, target int, n bigint, marked bigint, features array<int>").toArrow().combine_chunks().sort_by("doc_id")
     lists = got.column("features").combine_chunks()
-    sizes = np.array([len(x) for x in lists], np.int64) if len(lists) else np.zeros(0, np.int64)
-    features = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-    return np.concatenate([[0], np.cumsum(sizes)]), features, got.column("target").to_numpy().astype(np.int64)
+    grades = grades_of(got.column("target").to_numpy(), got.column("marked").to_numpy(), got.column("n").to_numpy())
+    sizes = lists.value_lengths().to_numpy() if len(lists) else np.zeros(0, np.int64)
+    features = lists.flatten().to_numpy() if len(lists) else np.zeros(0, np.int32)
+    return np.concatenate([[0], np.cumsum(sizes)]), features, grades
 
 
 def train(docs: DataFrame, labels: DataFrame, p: OrdinalParams = OrdinalParams()) -> OrdinalModel:
     """Model from ``labels`` (doc_id, toxic) and the texts of ``docs``; without labels one that rates all rows 0."""
-    indptr, features, toxic = sample_features(labelled_sample(docs, labels, F.col("toxic").cast("int"), p.sample_rows), p)
-    if not len(toxic):
+    indptr, features, grades = sample_features(labelled_sample(docs, labels, F.col("toxic").cast("int"), p.sample_rows), p)
+    if not len(grades):
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.full(2, 40.0))
-    return fit_ordinal(indptr, features, grades_of(indptr, features, toxic, p), p)
+    return fit_ordinal(indptr, features, grades, p)
 
 
 def severity(text, model: OrdinalModel, p: OrdinalParams = OrdinalParams()):
-    """Column of array<double> on a text column: expected severity, then P(grade >= 1), P(grade >= 2), ..."""
+    """Column of array<double> on a text column: expected severity, then P(grade >= 1), P(grade >= 2), ...
+
+    Rates depend on the text alone, so repeated rows get equal ones. A null or empty text has no
+    feature and gets what the thresholds alone say; a very long text is read whole, part by part,
+    and counts each feature once. An empty table gives no rows.
+    """
     feature, weight = model.features, model.weights
 
     @F.arrow_udf("array<double>")
