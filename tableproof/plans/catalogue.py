@@ -6,6 +6,7 @@ from tableproof.plans import (
     hashtree_queries,
     inference_queries,
     lineage_queries,
+    load_queries,
     mart_queries,
     merge_queries,
     parity_queries,
@@ -16,6 +17,6 @@ from tableproof.plans.parity_queries import flagship
 from tableproof.plans.registry import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "certify_queries", "flagship", "governance_queries", "hashtree_queries", "inference_queries", "lineage_queries", "mart_queries",
+    "ORACLES", "QUERIES", "certify_queries", "flagship", "governance_queries", "hashtree_queries", "inference_queries", "lineage_queries", "load_queries", "mart_queries",
     "merge_queries", "parity_queries", "sample_queries", "stream_queries",
 ]

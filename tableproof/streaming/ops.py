@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tableproof.functions.hashing import hash_sum, row_hash
-from tableproof.operators.merge import dedup, delta_apply
+from tableproof.operators.changelog import ChangeLog
 from tableproof.session import fresh_path
 
 
@@ -108,31 +107,18 @@ def stream_upsert(
 ) -> DataFrame:
     """Apply a change stream to ``base``, batch by batch, and return the table after the last batch.
 
-    Each batch first collapses to the last change per key. The change log keeps one
-    row per key and batch under the batch number, so a repeated batch overwrites
-    itself, and the table is the base with the collapsed log applied: a batch never
-    rewrites the whole table. Of changes with one sequence number the batch keeps the one
-    that ``delta_apply`` would. A feed without any change leaves the base as it is.
+    Batches go into a ``ChangeLog``: a batch never rewrites the table, reading does not slow down with their number, and a
+    batch that the stream repeats after a failure is applied once. Of changes with one sequence number the
+    one that ``delta_apply`` would keep decides. A feed without any change leaves the base as it is.
     """
-    spark = stream.sparkSession
-    path = fresh_path(spark, label)
-    order = [seq_col, op_col, *[c for c in base.columns if c not in keys]]
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        dedup(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
+    path = fresh_path(stream.sparkSession, label)
+    log = ChangeLog(base, path, keys, op_col, seq_col)
     query = (
-        stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}-progress")
+        stream.writeStream.foreachBatch(log.append).option("checkpointLocation", f"{path}-progress")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    try:
-        log = spark.read.schema(stream.schema).option("basePath", path).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return base
-    return delta_apply(base, log, keys, op_col, seq_col)
+    return log.table()
 
 
 def event_time(ts: Column) -> Column:
