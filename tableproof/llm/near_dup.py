@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,9 @@ from tableproof.session import fresh_path, materialize
 #: Bits of the filter that keeps unneeded sets out of a shuffle; a full filter costs time, not results.
 FILTER_BITS = 1 << 22
 
+#: Bytes of an Arrow batch of texts or packed sets; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 
 @dataclass(frozen=True)
 class Jaccard:
@@ -143,33 +147,43 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _sketched(docs: DataFrame, p: Jaccard, stop: np.ndarray) -> DataFrame:
-    """doc_id, hash, n_shingles, sid and the join keys; a set's keys about once per task, not with each of its copies."""
+def _numbered(docs: DataFrame, p: Jaccard) -> DataFrame:
+    """doc_id, hash, n_shingles and sid, the number of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pw = sh.powers()
+        for batch in batches:
+            for lo, hi, flat, sizes in sh.each_slice(batch.column(1), p.words, pw):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(sizes), _signed(sh.set_ids(flat, sizes))],
+                    names=["doc_id", "hash", "n_shingles", "sid"],
+                )
+
+    return docs.mapInArrow(run, "doc_id bigint, hash bigint, n_shingles bigint, sid bigint")
+
+
+def _keyed(docs: DataFrame, p: Jaccard, stop: np.ndarray) -> DataFrame:
+    """(key, sid) of all sets; a set's keys about once per task, not with each of its copies.
+
+    The texts are shingled a second time: stored keys would take about as much disk as the texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw, seen = sh.powers(), set()
         for batch in batches:
             for lo, hi, flat, sizes in sh.each_slice(batch.column(1), p.words, pw):
                 sid = sh.set_ids(flat, sizes)
-                who, key = sketch_keys(flat, sizes, stop, p)
-                order = np.argsort(who, kind="stable")
-                who, key = who[order], key[order]
                 first = np.ones(hi - lo, bool)
                 for i, s in enumerate(sid.tolist()):
                     first[i] = s not in seen
                     seen.add(s)
                 if len(seen) > 1 << 18:
                     seen.clear()
+                who, key = sketch_keys(flat, sizes, stop, p)
                 keep = first[who]
-                counts = np.bincount(who[keep], minlength=hi - lo)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(sizes), _signed(sid),
-                     pa.ListArray.from_arrays(pa.array(offsets), _signed(key[keep]))],
-                    names=["doc_id", "hash", "n_shingles", "sid", "keys"],
-                )
+                yield pa.RecordBatch.from_arrays([_signed(key[keep]), _signed(sid[who[keep]])], names=["key", "sid"])
 
-    return docs.mapInArrow(run, "doc_id bigint, hash bigint, n_shingles bigint, sid bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "key bigint, sid bigint")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -246,6 +260,18 @@ def _wanted_sets(docs: DataFrame, p: Jaccard, wanted: np.ndarray) -> Stored:
     return Stored(docs.mapInArrow(run, schema), "sid")
 
 
+@contextmanager
+def bounded_batches(spark) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_BYTES`` for the jobs that run inside, whatever the length of rows; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Stored:
     """A table in the shared folder, bucketed by one key and with one row per key, so that joins on it shuffle only the other side."""
 
@@ -490,17 +516,24 @@ def _labelled(docs: DataFrame, p: Jaccard, id_col: str = "doc_id", text_col: str
     """Per row: doc_id, hash of the text, n_shingles, component (a set's number, null without words), component_id."""
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    with bounded_batches(docs.sparkSession):
+        return _components_of(docs, p)
+
+
+def _components_of(docs: DataFrame, p: Jaccard) -> DataFrame:
+    """``_labelled`` of (doc_id, text, hash)."""
     stop = _frequent(docs.select("text"), p)
-    sketched = materialize(_sketched(docs, p, stop), "sketched")
-    rows = sketched.select("doc_id", "hash", "n_shingles", "sid")
-    shared = materialize(_shared(sketched.where("size(keys) > 0").select(F.explode("keys").alias("key"), "sid")), "shared")
+    rows = materialize(_numbered(docs, p), "numbered")
+    shared = materialize(_shared(_keyed(docs, p, stop)), "shared")
     slot = lambda c: F.col(c).bitwiseAND(F.lit(FILTER_BITS - 1))
     slots = shared.select(F.explode(F.array(slot("center"), slot("sid"))).alias("slot")).distinct().toPandas()["slot"]
     flags = np.zeros(FILTER_BITS, np.uint8)
     flags[slots.to_numpy(np.int64)] = 1
     sets = _wanted_sets(docs, p, np.packbits(flags))
-    comps = _linked(shared, sets, p)
-    sets.close()
+    try:
+        comps = _linked(shared, sets, p)
+    finally:
+        sets.close()
 
     own = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("weight"))
     own = own.join(comps.select(F.col("node").alias("sid"), "component"), "sid", "left")
