@@ -31,14 +31,15 @@ def row_diff(source: DataFrame, build: DataFrame, t: Target) -> DataFrame:
     keys that differ are written, so that their size is known, and only their rows
     are fetched and compared value by value: two scans, whatever is done with the
     result. Equal rows cancel, and rows of a repeated key are never paired. Without a key
-    whole rows are compared: they are missing or extra, and ``src`` and ``build`` hold them.
+    whole rows are compared, in one pass: they are missing or extra, and ``src`` and ``build`` hold them.
     """
     cols = shared_columns(source, build, t)
     keys = row_keys(t, cols)
     both = pinned(source, build, t, cols)
-    suspects = materialize(differing_keys(key_state(both, keys, cols)).select(*keys), "differing-keys")
-    diff = signed_difference(both.join(suspects, _null_safe(both, suspects, keys), "left_semi"), cols)
-    diff = materialize(diff, "differing-rows")
+    if t.keys:
+        suspects = materialize(differing_keys(key_state(both, keys, cols)).select(*keys), "differing-keys")
+        both = both.join(suspects, _null_safe(both, suspects, keys), "left_semi")
+    diff = materialize(signed_difference(both, cols), "differing-rows")
     if not t.keys:
         whole = F.struct(*cols)
         return diff.select(
