@@ -1,6 +1,7 @@
 """Work per task, passes and bytes of queries that outgrew a limit; rows are the tests' own."""
 
-from tableproof.operators import diff
+from pyspark.sql import functions as F
+from tableproof.operators import diff, translate
 from tableproof.target import Target
 
 
@@ -12,3 +13,11 @@ def test_keyless_difference_takes_one_pass(spark, monkeypatch):
     got = {(r.change, r.n_rows, *(r.src or r.build)) for r in diff.row_diff(a, b, Target("t")).collect()}
     assert got == {("missing_in_build", 1, 1, "x"), ("extra_in_build", 1, 2, None), ("missing_in_build", 1, 3, "z"), ("extra_in_build", 1, 4, "z")}
     assert written == ["differing-rows"]
+
+
+def test_texts_of_one_file_are_rewritten_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(translate, "TEXTS_PER_TASK", 10)
+    q = spark.range(200).coalesce(1).select("id", F.concat(F.lit("SELECT now(), a::int8 + "), F.col("id").cast("string")).alias("q"))
+    out = translate.translate_queries(q, "q", "postgres")
+    assert out.rdd.getNumPartitions() == 21
+    assert {(r.id, r.translated) for r in out.collect()} == {(i, f"SELECT current_timestamp(), CAST(a AS BIGINT) + {i}") for i in range(200)}
