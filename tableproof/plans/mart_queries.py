@@ -16,8 +16,12 @@ from tableproof.functions.money import discount_amount, gross, money, net
 from tableproof.operators.filters import delta_window
 from tableproof.operators.merge import sessionize
 from tableproof.plans.registry import query
+from tableproof.session import tasks_for
 from tableproof.sources.tables import read_table, sync_read_model
 
+#: Lines of which one task makes distinct pairs of part and supplier.
+_OFFERS_PER_TASK = 500_000
+
 _GROSS = "CAST(l_extendedprice AS DECIMAL(12,2))"
 _DISC = "CAST(l_discount AS DECIMAL(4,2))"
 _NET = f"{_GROSS} * (CAST(1 AS DECIMAL(4,2)) - {_DISC})"
@@ -85,15 +89,16 @@ SELECT DISTINCT p_partkey, p_name, p_type AS category, s_name AS supplier, CAST(
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
 """)
 def product_catalog(spark, d):
-    offers = read_table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    p, s = read_table(spark, d, "part"), read_table(spark, d, "supplier")
-    return (
-        offers.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            "p_partkey", "p_name", F.col("p_type").alias("category"), F.col("s_name").alias("supplier"),
-            F.col("p_retailprice").cast("decimal(12,2)").alias("unit_price"),
-        ).distinct()
-    )
+    # Only narrow rows are made distinct: parts, and names of their suppliers. Joined on the part they repeat no row.
+    pairs = read_table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    n = tasks_for(pairs, _OFFERS_PER_TASK)
+    offers = pairs.repartition(n, "l_partkey", "l_suppkey").distinct()
+    s = read_table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("supplier"))
+    names = offers.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", "supplier").repartition(n, "l_partkey").distinct()
+    p = read_table(spark, d, "part").select(
+        "p_partkey", "p_name", F.col("p_type").alias("category"), F.col("p_retailprice").cast("decimal(12,2)").alias("unit_price")
+    ).distinct()
+    return names.join(p, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "p_name", "category", "supplier", "unit_price")
 
 
 @query("daily_sales_category", f"""

@@ -1,7 +1,10 @@
 """Work per task, passes and bytes of queries that outgrew a limit; rows are the tests' own."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 from tableproof.operators import diff, translate
+from tableproof.plans import mart_queries
 from tableproof.target import Target
 
 
@@ -21,3 +24,19 @@ def test_texts_of_one_file_are_rewritten_by_many_tasks(spark, monkeypatch):
     out = translate.translate_queries(q, "q", "postgres")
     assert out.rdd.getNumPartitions() == 21
     assert {(r.id, r.translated) for r in out.collect()} == {(i, f"SELECT current_timestamp(), CAST(a AS BIGINT) + {i}") for i in range(200)}
+
+
+def test_catalog_tasks_follow_the_lines(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mart_queries, "_OFFERS_PER_TASK", 100)
+    lines = spark.range(2000).select((F.col("id") % 50).alias("l_partkey"), (F.col("id") % 7).alias("l_suppkey"))
+    lines.unionAll(spark.createDataFrame([(None, 1), (3, None)], lines.schema)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(k, f"n{k}", "t", 1.5) for k in range(40)] + [(3, "n3", "t", 1.5), (3, "other", None, 2.5), (None, "x", "t", 1.0)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    suppliers = [(0, "s0"), (1, "s1"), (2, "s1"), (3, None), (3, None)]
+    spark.createDataFrame(suppliers, "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = mart_queries.product_catalog(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 21
+    met = {(i % 50, i % 7) for i in range(2000)}
+    want = {(p, n, t, s, Decimal(str(c)).quantize(Decimal("0.01"))) for p, n, t, c in parts for k, s in suppliers if (p, k) in met}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
