@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tableproof.operators.parity import value_counts
 from tableproof.session import materialize
 
-#: Relative error of the distinct sketches, and how many of them an estimate may fall short.
-SKETCH_ERROR, SKETCH_MARGIN = 0.02, 6
-#: Sketches computed in one pass over a table.
+#: Rows per slice of a table's values when sets of columns are ruled out, and how many slices at most.
+ROWS_PER_SLICE, SLICES = 100_000, 64
+#: Sets of columns tried in one pass over a table.
 SETS_PER_PASS = 48
 #: Least hashes kept per column as its signature.
 SIGNATURE = 256
@@ -34,9 +34,9 @@ def smallest_keys(df: DataFrame, most_columns: int = 3) -> DataFrame:
 
     Level by level: sets of one column, then of two, up to ``most_columns``; the first level with a key ends the
     search, so no superset of a key is looked at. A column with a null is in no key. A set goes without being
-    counted if the product of its columns' distinct counts, or ``SKETCH_MARGIN`` errors above its distinct sketch, is below
-    the number of rows. The sets left are counted exactly. All sketches of a level share passes over the table,
-    which only reads the columns in play. A table that repeats a row has no key, an empty one every column.
+    counted if the product of its columns' distinct counts is below the number of rows, or if a value that comes
+    twice is found in one slice of its values (two hashes, 128 bits, agree). The sets left are counted exactly. All slices of a level
+    share passes over the table, which only reads the columns in play. A table that repeats a row has no key, an empty one every column.
     """
     spark = df.sparkSession
     counts = {r["column_name"]: r for r in value_counts(df, _atomic(df)).collect()}
@@ -49,17 +49,23 @@ def smallest_keys(df: DataFrame, most_columns: int = 3) -> DataFrame:
     while not found and size < most_columns:
         size += 1
         sets = [s for s in combinations(usable, size) if reduce(lambda x, c: x * counts[c]["distinct_count"], s, 1) >= n]
-        likely = [s for s, estimate in zip(sets, _sketched(df, sets)) if estimate * (1 + SKETCH_MARGIN * SKETCH_ERROR) >= n]
-        found = [s for s in likely if _identifies(df, s)]
+        repeated = _repeated(df, sets, min(SLICES, n // ROWS_PER_SLICE + 1))
+        found = [s for s in sets if s not in repeated and _identifies(df, s)]
     return spark.createDataFrame([(",".join(s), len(s), n) for s in found], _KEY_SCHEMA)
 
 
-def _sketched(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> list[int]:
-    """Estimated distinct values of each set of columns."""
-    out: list[int] = []
+def _repeated(df: DataFrame, sets: Sequence[tuple[str, ...]], slices: int) -> set[tuple[str, ...]]:
+    """Sets of columns of which a value comes twice among those whose hash falls in one of ``slices``."""
+    out: set[tuple[str, ...]] = set()
     for lo in range(0, len(sets), SETS_PER_PASS):
-        part = sets[lo : lo + SETS_PER_PASS]
-        out += df.agg(*[F.approx_count_distinct(F.xxhash64(*map(_quoted, s)), SKETCH_ERROR).alias(f"s{i}") for i, s in enumerate(part)]).first()
+        tried = []
+        for i, s in enumerate(sets[lo : lo + SETS_PER_PASS]):
+            h = F.xxhash64(*map(_quoted, s))
+            picked = F.pmod(h, F.lit(slices)) == 0
+            tried.append(F.struct(F.lit(lo + i).alias("nth"), F.when(picked, h).alias("h"), F.when(picked, F.xxhash64(F.lit(1), *map(_quoted, s), h)).alias("again")))
+        rows = df.select(F.inline(F.array(*tried))).where("h IS NOT NULL")
+        twice = rows.groupBy("nth", "h", "again").agg(F.count("*").alias("n")).where("n > 1").select("nth").distinct()
+        out |= {sets[r["nth"]] for r in twice.collect()}
     return out
 
 
