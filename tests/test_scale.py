@@ -1,9 +1,11 @@
 """Work per task, passes and bytes of queries that outgrew a limit; rows are the tests' own."""
 
+import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
-from tableproof.operators import diff, translate
+from tableproof.operators import diff, inference, lineage, reach, translate
 from tableproof.plans import mart_queries
 from tableproof.target import Target
 
@@ -40,3 +42,49 @@ def test_catalog_tasks_follow_the_lines(spark, monkeypatch, tmp_path):
     want = {(p, n, t, s, Decimal(str(c)).quantize(Decimal("0.01"))) for p, n, t, c in parts for k, s in suppliers if (p, k) in met}
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def test_few_targets_make_small_bitmaps(spark):
+    own = spark.createDataFrame([("t", 0, 3), ("u", 0, 700)], "node string, bucket int, bit bigint")
+    edges = spark.createDataFrame([("p", "t"), ("p", "u"), ("q", "p")], "src string, dst string")
+    got = {r.node: [w.word for w in r.bits] for r in reach.reach_index(edges, own).collect()}
+    assert got == {"p": [0, 1], "q": [0, 1]}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dependencies_and_gate_against_pairs(spark, seed):
+    rng = random.Random(seed)
+    io = {(f"p{rng.randrange(9)}", rng.choice(["read", "write"]), f"t{rng.randrange(6)}") for _ in range(30)}
+    runs = {(f"p{rng.randrange(11)}", f"p{rng.randrange(11)}") for _ in range(8)} | {("p1", "p1")}
+    objects = spark.createDataFrame([(f"p{i}", "PIPELINE") for i in range(10)], "object_key string, type string")
+    edges = spark.createDataFrame([(a, lineage.EXECUTES, b) for a, b in runs], "src_key string, edge_type string, dst_key string")
+    pairs = {(a, c) for a, m, t in io for c, n, u in io if m == "write" and n == "read" and t == u and a != c}
+    pairs |= {(b, a) for a, b in runs if "p10" not in (a, b)}
+    frame = spark.createDataFrame(sorted(io), "pipeline string, mode string, table string")
+    got = [tuple(r) for r in lineage.pipeline_dependencies(frame, edges, objects).collect()]
+    assert sorted(got) == sorted(pairs)
+    status = spark.createDataFrame([(f"p{i}", rng.choice(["CERTIFIED", "PROVISIONAL"])) for i in range(8)], "pipeline string, status string")
+    want = lineage.predecessor_gate(spark.createDataFrame(sorted(pairs), "src string, dst string"), status)
+    assert {*map(tuple, lineage.estate_predecessor_gate(frame, edges, objects, status).collect())} == {*map(tuple, want.collect())}
+
+
+def test_unresolved_references_without_the_others(spark):
+    io = spark.createDataFrame([("a", "read", "t1"), ("a", "read", "x"), ("b", "write", "t1"), ("b", "read", "y")], "pipeline string, mode string, table string")
+    edges = spark.createDataFrame([("a", lineage.CONFIG, "c", "C")], "src_key string, edge_type string, dst_key string, dst_name string")
+    objects = spark.createDataFrame(
+        [("a", "a", "PIPELINE", None), ("b", "b", "PIPELINE", None), ("y", "Y", "TABLE", None)], "object_key string, name string, type string, external_system string"
+    )
+    got = {tuple(r) for r in lineage.unresolved_references(io, edges, objects).collect()}
+    every = lineage.resolved_references(lineage.upstream_closure(io, edges, objects), io, objects).where("NOT resolved")
+    assert got == {("a", "x"), ("a", "c")} == {tuple(r) for r in every.select("pipeline", "table").collect()}
+
+
+def test_sets_with_a_repeated_value_are_ruled_out_without_a_count(spark, monkeypatch):
+    rows = [(i, i % 40, i // 2, "x" if i % 2 else "y") for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d string").drop("a")
+    counted = []
+    exact = inference._identifies
+    monkeypatch.setattr(inference, "_identifies", lambda df, s: (counted.append(s), exact(df, s))[1])
+    assert [r.key_columns for r in inference.smallest_keys(df).collect()] == ["c,d"]
+    assert counted == [("c", "d")]
+    assert inference._repeated(df, [("b", "c"), ("c", "d"), ("b", "d")], 1) == {("b", "c"), ("b", "d")}
