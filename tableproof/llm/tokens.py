@@ -23,7 +23,7 @@ PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: A space before any white space (more than Unicode's, to be safe) or at the end.
 _TOUCHING = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 #: Bytes of text encoded together.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
