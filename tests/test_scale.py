@@ -80,7 +80,7 @@ def test_unresolved_references_without_the_others(spark):
 
 
 def test_sets_with_a_repeated_value_are_ruled_out_without_a_count(spark, monkeypatch):
-    rows = [(i, i % 40, i // 2, "x" if i % 2 else "y") for i in range(400)]
+    rows = [(i, i // 2 % 40, i // 2, "x" if i % 2 else "y") for i in range(400)]
     df = spark.createDataFrame(rows, "a int, b int, c int, d string").drop("a")
     counted = []
     exact = inference._identifies
