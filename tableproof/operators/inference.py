@@ -9,12 +9,18 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tableproof.operators.parity import value_counts
-from tableproof.session import materialize
+from tableproof.session import materialize, tasks_for
 
-#: Rows per slice of a table's values when sets of columns are ruled out, and how many slices at most.
+#: Rows per slice of a table when sets of columns are ruled out, and how many slices at most.
 ROWS_PER_SLICE, SLICES = 100_000, 64
-#: Sets of columns tried in one pass over a table.
+#: Sets of columns tried in one pass over the slices.
 SETS_PER_PASS = 48
+#: How many times finer the part of the slices is that goes first, and how often a value that is not hot comes in them at most.
+FINER, HOT = 8, 100
+#: Share of a table's rows that may repeat in a set of columns for larger sets to be counted over those rows.
+FEW = 0.1
+#: Hashes that one task counts where hardly any comes twice.
+HASHES_PER_TASK = 500_000
 #: Least hashes kept per column as its signature.
 SIGNATURE = 256
 
@@ -35,8 +41,9 @@ def smallest_keys(df: DataFrame, most_columns: int = 3) -> DataFrame:
     Level by level: sets of one column, then of two, up to ``most_columns``; the first level with a key ends the
     search, so no superset of a key is looked at. A column with a null is in no key. A set goes without being
     counted if the product of its columns' distinct counts is below the number of rows, or if a value that comes
-    twice is found in one slice of its values (two hashes, 128 bits, agree). The sets left are counted exactly. All slices of a level
-    share passes over the table, which only reads the columns in play. A table that repeats a row has no key, an empty one every column.
+    twice is found in slices of the table (two hashes, 128 bits, agree). The sets left are counted exactly, over the whole
+    table or over all rows that repeat in a set of one column less. All sets of a level share one pass over the table, which
+    only reads the columns in play. A table that repeats a row has no key, an empty one every column.
     """
     spark = df.sparkSession
     counts = {r["column_name"]: r for r in value_counts(df, _atomic(df)).collect()}
@@ -44,34 +51,100 @@ def smallest_keys(df: DataFrame, most_columns: int = 3) -> DataFrame:
         return spark.createDataFrame([], _KEY_SCHEMA)
     n = next(iter(counts.values()))["row_count"]
     usable = [c for c in _atomic(df) if counts[c]["null_count"] == 0]
-    found = [(c,) for c in usable if counts[c]["distinct_count"] == n]
+    distinct = {c: counts[c]["distinct_count"] for c in usable}
+    found = [(c,) for c in usable if distinct[c] == n]
+    # Rows whose value comes twice, as a share of all: at most so many for a column, as its slice has it for a larger set.
+    shares = {(c,): 2 - 2 * distinct[c] / max(n, 1) for c in usable}
     size = 1
     while not found and size < most_columns:
         size += 1
-        sets = [s for s in combinations(usable, size) if reduce(lambda x, c: x * counts[c]["distinct_count"], s, 1) >= n]
-        repeated = _repeated(df, sets, min(SLICES, n // ROWS_PER_SLICE + 1))
-        found = [s for s in sets if s not in repeated and _identifies(df, s)]
+        sets = [s for s in combinations(usable, size) if reduce(lambda x, c: x * distinct[c], s, 1) >= n]
+        slices, smaller, shares = min(SLICES, n // ROWS_PER_SLICE + 1), shares, {}
+        repeated = _repeated(df, sets, slices, distinct, shares)
+        found = _keys(df, [s for s in sets if s not in repeated], smaller if slices > 1 else {})
     return spark.createDataFrame([(",".join(s), len(s), n) for s in found], _KEY_SCHEMA)
 
 
-def _repeated(df: DataFrame, sets: Sequence[tuple[str, ...]], slices: int) -> set[tuple[str, ...]]:
-    """Sets of columns of which a value comes twice among those whose hash falls in one of ``slices``."""
+def _repeated(
+    df: DataFrame, sets: Sequence[tuple[str, ...]], slices: int, distinct: Mapping[str, int] | None = None, shares: dict[tuple[str, ...], float] | None = None
+) -> set[tuple[str, ...]]:
+    """Sets of columns of which a value comes twice among the rows of two of ``slices``.
+
+    Rows that agree in a set agree in each of its columns, so the slice by one column's hash holds all or none of them:
+    sets share the slice of their most distinct column. The other slice is by the hash of the row and shows hot values.
+    One pass over the table tests a hash per column, not two per set; a finer part of the slices goes first, which
+    is enough for most sets. ``shares`` takes, for sets without a hot value, how many of the rows seen repeat.
+    """
+    if not sets:
+        return set()
+    by = {s: max(s, key=lambda c: (distinct or {}).get(c, 0)) for s in sets}
+    used = [_quoted(c) for c in dict.fromkeys(c for s in sets for c in s)]
+    rows = df.select(*used, F.xxhash64(*used).alias("__row"))
+    hashes = {c: F.xxhash64(_quoted(c)) for c in by.values()}
     out: set[tuple[str, ...]] = set()
-    for lo in range(0, len(sets), SETS_PER_PASS):
-        tried = []
-        for i, s in enumerate(sets[lo : lo + SETS_PER_PASS]):
-            h = F.xxhash64(*map(_quoted, s))
-            picked = F.pmod(h, F.lit(slices)) == 0
-            tried.append(F.struct(F.lit(lo + i).alias("nth"), F.when(picked, h).alias("h"), F.when(picked, F.xxhash64(F.lit(1), *map(_quoted, s), h)).alias("again")))
-        rows = df.select(F.inline(F.array(*tried))).where("h IS NOT NULL")
-        twice = rows.groupBy("nth", "h", "again").agg(F.count("*").alias("n")).where("n > 1").select("nth").distinct()
-        out |= {sets[r["nth"]] for r in twice.collect()}
+    # The widest slices are written first, and the finer part is read from them.
+    parts = {}
+    for n in (slices, slices * FINER) if slices > 1 else ():
+        rows = parts[n] = materialize(rows.where(_in_slice([F.col("__row"), *hashes.values()], n)), "slices")
+    for n, rows in sorted(parts.items(), reverse=True) or [(1, rows)]:
+        left = [s for s in sets if s not in out]
+        for lo in range(0, len(left), SETS_PER_PASS):
+            tried = []
+            for i, s in enumerate(left[lo : lo + SETS_PER_PASS], lo):
+                h = F.xxhash64(*map(_quoted, s))
+                again = F.xxhash64(F.lit(1), *map(_quoted, s), h)
+                tried.append(rows.where(_in_slice([F.col("__row"), hashes[by[s]]], n)).select(F.lit(i).alias("nth"), h.alias("h"), again.alias("again")))
+            values = reduce(DataFrame.unionAll, tried).groupBy("nth", "h", "again").agg(F.count("*").alias("n"))
+            for r in values.groupBy("nth").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("twice"), F.max("n").alias("most")).collect():
+                if r["most"] > 1:
+                    out.add(left[r["nth"]])
+                if shares is not None and r["most"] <= HOT:
+                    shares[left[r["nth"]]] = (r["twice"] or 0) / r["n"]
     return out
 
 
+def _in_slice(hashes: Sequence[Column], slices: int) -> Column:
+    return reduce(Column.__or__, [F.pmod(h, F.lit(slices)) == 0 for h in hashes])
+
+
+def _keys(df: DataFrame, sets: Sequence[tuple[str, ...]], shares: Mapping[tuple[str, ...], float]) -> list[tuple[str, ...]]:
+    """Those of ``sets`` that identify a row.
+
+    Rows that agree in a set agree in it without one column. So where such a smaller set serves several and few rows repeat
+    in it, all those rows are found once, and the others cannot tell whether the larger sets are keys.
+    """
+    left, found = list(sets), []
+    while True:
+        served = {p: [s for s in left if set(p) < set(s)] for p, share in shares.items() if share <= FEW}
+        p = max(served, key=lambda p: (len(served[p]), -shares[p]), default=None)
+        if p is None or len(served[p]) < 2:
+            return found + [s for s in left if _identifies(df, s)]
+        rows = _agreeing(df.select(*[_quoted(c) for c in dict.fromkeys(c for s in served[p] for c in s)]), p)
+        repeated = _repeated(rows, served[p], 1)
+        found += [s for s in served[p] if s not in repeated and _identifies(rows, s)]
+        left = [s for s in left if s not in served[p]]
+
+
+def _hashes_twice(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Hashes of ``columns`` that come twice. Hardly any does, so the map side has nothing to combine; a hot value is what slices show first."""
+    hashes = df.select(F.xxhash64(*map(_quoted, columns)).alias("__h")).repartition(tasks_for(df, HASHES_PER_TASK), "__h")
+    return materialize(hashes.groupBy("__h").agg(F.count("*").alias("__n")).where("__n > 1").select("__h"), "hashes")
+
+
+def _agreeing(df: DataFrame, columns: Sequence[str], hashes: DataFrame | None = None) -> DataFrame:
+    """All rows that agree with another in ``columns``, and rows that only share the hash."""
+    h = F.xxhash64(*map(_quoted, columns)).alias("__h")
+    twice = _hashes_twice(df, columns) if hashes is None else hashes
+    return materialize(df.select("*", h).join(twice, "__h", "left_semi").drop("__h"), "agreeing")
+
+
 def _identifies(df: DataFrame, columns: Sequence[str]) -> bool:
-    """Whether no two rows agree in ``columns``; map-side counts, so a hot value costs one row per task."""
-    return df.groupBy(*map(_quoted, columns)).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty()
+    """Whether no two rows agree in ``columns``: no two hashes do, or else the rows of those hashes differ in value."""
+    used = df.select(*map(_quoted, columns))
+    hashes = _hashes_twice(used, columns)
+    if hashes.isEmpty():
+        return True
+    return _agreeing(used, columns, hashes).groupBy(*map(_quoted, columns)).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty()
 
 
 def _family(t: T.DataType) -> str | None:

@@ -88,3 +88,32 @@ def test_sets_with_a_repeated_value_are_ruled_out_without_a_count(spark, monkeyp
     assert [r.key_columns for r in inference.smallest_keys(df).collect()] == ["c,d"]
     assert counted == [("c", "d")]
     assert inference._repeated(df, [("b", "c"), ("c", "d"), ("b", "d")], 1) == {("b", "c"), ("b", "d")}
+
+
+def near_key(spark):
+    """x and y repeat in 8 of 4,008 rows; only c tells those apart."""
+    rows = [(i % 1000, i // 1000, i % 40, i % 7, i % 2) for i in range(4000)] + [(i // 2, 50, i % 2, 0, 0) for i in range(8)]
+    return spark.createDataFrame(rows, "x int, y int, c int, d int, e int")
+
+
+def test_sets_of_a_near_key_are_counted_over_its_repeated_rows(spark, monkeypatch):
+    counted = []
+    exact = inference._identifies
+    monkeypatch.setattr(inference, "_identifies", lambda df, s: (counted.append((s, df.count())), exact(df, s))[1])
+    sets = [("x", "y", "c"), ("x", "y", "d"), ("x", "y", "e")]
+    assert inference._keys(near_key(spark), sets, {("x", "y"): 0.01, ("x", "d"): 0.9}) == [("x", "y", "c")]
+    assert counted == [(("x", "y", "c"), 8)]
+
+
+def test_sets_share_slices_of_a_table_that_is_read_once(spark, monkeypatch):
+    written = []
+    real = inference.materialize
+    monkeypatch.setattr(inference, "materialize", lambda df, label: (written.append((label, df.count())), real(df, label))[1])
+    shares = {}
+    names = {"x": 1000, "y": 5, "c": 40, "d": 7, "e": 2}
+    sets = [("x", "y"), ("x", "c"), ("x", "e"), ("y", "c"), ("c", "d")]
+    got = inference._repeated(near_key(spark), sets, 8, names, shares)
+    assert {("x", "c"), ("x", "e"), ("y", "c"), ("c", "d")} - got == set() and shares.get(("x", "y"), 0) < inference.FEW < shares[("x", "c")]
+    assert [label for label, _ in written] == ["slices", "slices"] and written[1][1] < written[0][1] < 4008
+    monkeypatch.setattr(inference, "ROWS_PER_SLICE", 100)
+    assert [tuple(r) for r in inference.smallest_keys(near_key(spark)).collect()] == [("x,y,c", 3, 4008)]
