@@ -117,3 +117,27 @@ def test_sets_share_slices_of_a_table_that_is_read_once(spark, monkeypatch):
     assert [label for label, _ in written] == ["slices", "slices"] and written[1][1] < written[0][1] < 4008
     monkeypatch.setattr(inference, "ROWS_PER_SLICE", 100)
     assert [tuple(r) for r in inference.smallest_keys(near_key(spark)).collect()] == [("x,y,c", 3, 4008)]
+
+
+def test_dependencies_shuffle_no_words(spark, monkeypatch):
+    rng = random.Random(7)
+    io = sorted({(f"p{rng.randrange(700):03d}", rng.choice(["read", "write"]), f"t{rng.randrange(20)}") for _ in range(2500)})
+    runs = {("m", "p001"), ("p002", "p002"), ("p003", "p004"), ("p999", "p001")}
+    frame = spark.createDataFrame(io, "pipeline string, mode string, table string")
+    objects = spark.createDataFrame([(p, "PIPELINE") for p in {p for p, _, _ in io} | {"m"}], "object_key string, type string")
+    edges = spark.createDataFrame([(a, lineage.EXECUTES, b) for a, b in runs], "src_key string, edge_type string, dst_key string")
+    status = spark.createDataFrame([(p, "CERTIFIED" if int(p[1:]) % 3 else "PROVISIONAL") for p in sorted({p for p, _, _ in io})], "pipeline string, status string")
+    reads, writes = ([(p, t) for p, m, t in io if m == mode] for mode in ("read", "write"))
+    pairs = {(a, c) for a, t in writes for c, u in reads if t == u and a != c}
+    pairs |= {(b, a) for a, b in runs if a != "p999" and {a, b} <= {p for p, _, _ in io} | {"m"}}
+    got = lineage.pipeline_dependencies(frame, edges, objects)
+    assert "ENSURE_REQUIREMENTS" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted(pairs)
+    gate = sorted(map(tuple, lineage.estate_predecessor_gate(frame, edges, objects, status).collect()))
+    assert gate == sorted(map(tuple, lineage.predecessor_gate(got, status).collect()))
+    # Words in parts, and names that are too many to send everywhere.
+    monkeypatch.setattr(lineage, "WORDS_TO_ALL", 10)
+    monkeypatch.setattr(reach, "NAMES_TO_ALL", 0)
+    assert sorted(map(tuple, lineage.pipeline_dependencies(frame, edges, objects).collect())) == sorted(pairs)
+    assert sorted(map(tuple, lineage.estate_predecessor_gate(frame, edges, objects, status).collect())) == gate
